@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.operators.storage import shared_folder, stored
+
+__all__ = ["crc_part", "shared_folder", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, by whatever file system the path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) a temporary
-    folder is taken and set for the session's later calls.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="talkloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    Cuts the lineage: what is computed once is neither computed again nor lost
-    with an executor.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def without_nul_names(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns cannot matter."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def crc_part(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
