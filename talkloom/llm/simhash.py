@@ -116,13 +116,8 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def _bit(i: int) -> int:
-    """The mask of bit i as a signed 64-bit number."""
-    m = 1 << (BITS - 1 - i)
-    return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
-
-
 def _mask(bits: list[int]) -> int:
+    """These bits set, as a signed 64-bit number."""
     m = sum(1 << (BITS - 1 - i) for i in bits)
     return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
 
@@ -175,18 +170,12 @@ def links(distinct: DataFrame, groups: list[list[int]], chosen: list[int], most:
 
     Pairs of ordinary partition values are all there; crowded values give stars.
     """
-    probes, own = [], []
+    probes = []
     for k, (bits, t) in enumerate(zip(groups, chosen, strict=True)):
-        mask = _mask(bits)
-        if t < 0:
-            continue
-        own.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(_lit(mask)).alias("v"), F.lit(True).alias("own")))
-        for flips in itertools.chain.from_iterable(itertools.combinations(bits, d) for d in range(1, t + 1)):
-            flip = 0
-            for i in flips:
-                flip ^= _bit(i)
-            probes.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseXOR(_lit(flip)).bitwiseAND(_lit(mask)).alias("v"), F.lit(False).alias("own")))
-    keyed = distinct.select("fp", F.explode(F.array(*own, *probes)).alias("x")).select("fp", "x.k", "x.v", "x.own")
+        for flips in itertools.chain.from_iterable(itertools.combinations(bits, d) for d in range(t + 1)):
+            probes.append(F.struct(F.lit(k).alias("k"), _lit(_mask(bits)).alias("mask"), _lit(_mask(list(flips))).alias("flip"), F.lit(not flips).alias("own")))
+    keyed = distinct.select("fp", F.explode(F.array(*probes)).alias("x"))
+    keyed = keyed.select("fp", "x.k", F.col("fp").bitwiseXOR(F.col("x.flip")).bitwiseAND(F.col("x.mask")).alias("v"), "x.own")
     sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("c"), F.max("own").alias("met")).where("c > 1 AND met")
     met = stored(keyed.join(sizes.select("k", "v", (F.col("c") > most).alias("crowded")), ["k", "v"]), "met")
     quiet = met.where("NOT crowded")
@@ -194,8 +183,9 @@ def links(distinct: DataFrame, groups: list[list[int]], chosen: list[int], most:
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU) & (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
     pairs = a.join(b, ["k", "v"]).where(near).select("a", "b")
     members = met.where("crowded").select("fp").distinct()
-    around = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_lit(_bit(i))) for i in range(BITS)]))
-    meeting = members.select("fp", around.alias("z")).groupBy("z").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    flips = F.explode(F.array(*[_lit(x) for x in (0, *(_mask([i]) for i in range(BITS)))]))
+    around = members.select("fp", flips.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    meeting = around.groupBy("z").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     stars = meeting.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
