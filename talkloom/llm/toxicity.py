@@ -4,15 +4,18 @@ Tokens are runs of letters. Each has two labels, clean and toxic; the chain has
 transition weights and, for each token, the summed weights of its lower-cased
 word, its first three to six characters and its last three, hashed to ``PLACES``
 weights. Forward-backward gives every token's marginal probability of being
-toxic; a document's score comes from its expected number and its highest
-probability of toxic tokens by logistic regression.
+toxic; a document's score comes from the expected number of toxic tokens and the
+log-odds of any and of the likeliest one, by logistic regression.
 
 Training labels are of documents. Tokens are labelled from them: every token of
-a clean document is clean; a token of a toxic document is toxic if documents
-with one of its features are toxic much more often than chance. Statistics, the
-chain (by AdaGrad) and the logistic regression are fitted on a bounded sample:
-about ``per_label`` labelled rows of each label, of at most ``chars`` characters,
-drawn by a hash of the id. Scoring takes every text whole and shuffles nothing.
+a clean document is clean; a token of a toxic document is toxic if at least two
+of its features are telling: documents with them are toxic far more often than
+chance (a likelihood ratio over all labelled rows, counted by Spark; at most
+``PLACES`` sums reach the driver). Toxic documents without such a token don't
+train the chain. Only features that at least ``LEAST_DF`` toxic documents have
+get a weight. The chain (by AdaGrad) and the logistic regression are fitted on
+a bounded sample: about ``per_label`` labelled rows of each label, of at most ``chars`` characters, drawn by a hash of the id. Scoring
+takes every text whole and shuffles nothing.
 
 Forward-backward runs over all tokens of a batch as one chain in which a
 document's start forgets what came before: it is cut in equal lanes, each lane's
@@ -38,10 +41,12 @@ from pyspark.sql import types as T
 
 from talkloom.llm.common import crc_part
 
-PLACES_LOG2 = 18
+PLACES_LOG2 = 19
 PLACES = 1 << PLACES_LOG2
 KEPT, AT_ONCE = 500_000, 400_000
 LANES = 2048
+#: Toxic documents that a telling feature has at least; counts of no others reach the driver.
+LEAST_DF = 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
 tokens = re.compile(r"[^\W\d_]+").findall
 places = re.compile(r"[^\W\d_]+").finditer
@@ -62,7 +67,7 @@ class Chain:
     transitions: np.ndarray
 
     def marginals(self, s: np.ndarray, start: np.ndarray, pairs: bool = False):
-        """P(toxic) of each token from emission scores; with ``pairs`` also the expected transitions."""
+        """P(toxic) of each token and its share of log Z; with ``pairs`` also the transitions' expected uses in each token."""
         n = len(s)
         steps = max(1, -(-n // LANES))
         lanes = -(-n // steps) if n else 1
@@ -73,19 +78,21 @@ class Chain:
         m01 = e * np.where(first, t[3], t[0])
         m11 = e * np.where(first, t[3], t[2])
         m10 = np.where(first, 1.0, t[1])
-        a0, a1 = _run(m01, m11, m10)
+        a0, a1, zs = _run(m01, m11, m10)
         b0, b1 = _run_back(m01, m11, m10)
         z = a0 * b0 + a1 * b1
-        p = (a1 * b1 / z).T.ravel()[:n]
+        p, logz = (a1 * b1 / z).T.ravel()[:n], np.log(zs).T.ravel()[:n]
         if not pairs:
-            return p
+            return p, logz
         flat = lambda x: x.T.ravel()[:n]
         a0, a1, b0, b1, m01, m11, m10 = map(flat, (a0, a1, b0, b1, m01, m11, m10))
+        uses = np.zeros((4, n))
         inner = np.flatnonzero(~start)
         x00, x01 = a0[inner - 1] * b0[inner], a0[inner - 1] * m01[inner] * b1[inner]
         x10, x11 = a1[inner - 1] * m10[inner] * b0[inner], a1[inner - 1] * m11[inner] * b1[inner]
-        zz = x00 + x01 + x10 + x11
-        return p, np.array([(x01 / zz).sum(), (x10 / zz).sum(), (x11 / zz).sum(), p[start].sum()])
+        uses[:3, inner] = np.array([x01, x10, x11]) / (x00 + x01 + x10 + x11)
+        uses[3, start] = p[start]
+        return p, logz, uses
 
 
 def _scaled(a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +100,8 @@ def _scaled(a0: np.ndarray, a1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a0 / z, a1 / z
 
 
-def _run(m01: np.ndarray, m11: np.ndarray, m10: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward messages (steps x lanes), scaled to sum 1 at each token."""
+def _run(m01: np.ndarray, m11: np.ndarray, m10: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward messages (steps x lanes), scaled to sum 1 at each token, and their sums before."""
     steps, lanes = m01.shape
     p00, p01, p10, p11 = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
     for k in range(steps):
@@ -108,11 +115,13 @@ def _run(m01: np.ndarray, m11: np.ndarray, m10: np.ndarray) -> tuple[np.ndarray,
         x, y = a[0] * q00 + a[1] * q10, a[0] * q01 + a[1] * q11
         a = (x / (x + y), y / (x + y))
     a0, a1 = into[:, 0].copy(), into[:, 1].copy()
-    out0, out1 = np.empty_like(m01), np.empty_like(m01)
+    out0, out1, sums = np.empty_like(m01), np.empty_like(m01), np.empty_like(m01)
     for k in range(steps):
-        a0, a1 = _scaled(a0 + a1 * m10[k], a0 * m01[k] + a1 * m11[k])
+        a0, a1 = a0 + a1 * m10[k], a0 * m01[k] + a1 * m11[k]
+        z = sums[k] = a0 + a1
+        a0, a1 = a0 / z, a1 / z
         out0[k], out1[k] = a0, a1
-    return out0, out1
+    return out0, out1, sums
 
 
 def _run_back(m01: np.ndarray, m11: np.ndarray, m10: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +162,18 @@ class Emissions(dict):
         return x
 
 
-def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each document: log expected toxic tokens, and the log-odds of the likeliest one."""
-    out = np.zeros((len(lengths), 2))
-    out[:, 1] = -12.0
+def summary(p: np.ndarray, logz: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each document: log expected toxic tokens, and log-odds of having any and of the likeliest one."""
+    out = np.zeros((len(lengths), 3))
+    out[:, 1:] = -12.0
     full = np.flatnonzero(lengths)
     if len(full):
         first = (np.cumsum(lengths) - lengths)[full]
         out[full, 0] = np.log1p(np.add.reduceat(p, first))
-        top = np.clip(np.maximum.reduceat(p, first), 1e-6, 1 - 1e-6)
-        out[full, 1] = np.log(top / (1 - top))
+        any_ = np.clip(np.add.reduceat(logz, first), 6e-6, 30)
+        out[full, 1] = np.clip(np.log(np.expm1(any_)), -12, 12)
+        top = np.clip(np.maximum.reduceat(p, first), 6e-6, 1 - 6e-6)
+        out[full, 2] = np.log(top / (1 - top))
     return out
 
 
@@ -185,69 +196,100 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 12, seen: int = 4, odds: float = 12.0, rate: float = 0.5) -> Model | None:
-    """The chain and the logistic regression from labelled documents."""
+def telling(df: np.ndarray, docs: np.ndarray, share: float = 0.8, least: float = 24.0) -> np.ndarray:
+    """Features of whose documents (``df``: clean, toxic) at least ``share`` are toxic, by more than chance: likelihood ratio ``least``."""
+    rate, n = docs[1] / max(1, docs.sum()), np.maximum(df.sum(0), 1)
+    own = df[1] / n
+    part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-300) / q), 0)
+    g = 2 * (part(df[1], own, max(rate, 1e-9)) + part(df[0], 1 - own, max(1 - rate, 1e-9)))
+    return (own >= share) & (g >= least)
+
+
+def train(texts: list[str], labels: list[int], df: np.ndarray, docs_of: np.ndarray, epochs: int = 10, rate: float = 0.3) -> Model | None:
+    """The chain and the logistic regression from labelled documents.
+
+    ``df``: clean and toxic documents with each feature; ``docs_of``: all clean
+    and toxic documents. Both are of all labelled rows, for which the sample stands.
+    """
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return None
     words: dict[str, int] = {}
     docs = [np.array([words.setdefault(w, len(words)) for w in tokens(t)], np.int64) for t in texts]
     feats = [np.array(features(w)) for w in words]
-    number = np.array([len(f) for f in feats], np.int64)
-    flat, owner = np.concatenate(feats) if feats else np.zeros(0, np.int64), np.repeat(np.arange(len(feats)), number)
-    begin = np.cumsum(number) - number
-    df = np.zeros((2, PLACES))
-    for d, label in zip(docs, labels, strict=True):
-        if len(d):
-            f = np.unique(np.concatenate([feats[i] for i in np.unique(d)]))
-            df[label, f] += 1
-    chance = (df[1] + 0.1) / (y.sum() + 1) / ((df[0] + 0.1) / (len(y) - y.sum() + 1))
-    telling = (df[1] >= seen) & (chance >= odds)
-    toxic_word = np.zeros(len(words), bool)
-    toxic_word[owner[telling[flat]]] = True
-    use = [k for k, d in enumerate(docs) if len(d) and (not labels[k] or toxic_word[d].any())]
+    flat, owner = np.concatenate([*feats, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    toxic_word = np.bincount(owner, weights=telling(df, docs_of)[flat], minlength=len(words)) >= 2
+    useful = df[1, flat] >= LEAST_DF
+    flat, owner = flat[useful], owner[useful]
+    lengths = np.array([len(d) for d in docs])
     order = np.random.default_rng(7)
-    weights, w2 = np.zeros(PLACES), np.full(PLACES, 1e-2)
-    trans, t2 = np.array([-3.0, 0.0, 0.0, -3.0]), np.full(4, 1e-2)
+    weights, w2 = np.zeros(PLACES), np.full(PLACES, 1.0)
+    trans, t2 = np.array([-4.0, 0.0, 0.0, -4.0]), np.full(4, 1.0)
+    emit = lambda: np.bincount(owner, weights=weights[flat], minlength=len(words))
+    use = [k for k in range(len(docs)) if len(docs[k]) and (not labels[k] or toxic_word[docs[k]].any())]
     for _ in range(epochs):
         order.shuffle(use)
-        for i in range(0, len(use), 256):
-            part = use[i : i + 256]
+        for i in range(0, len(use), 512):
+            part = use[i : i + 512]
             seq = np.concatenate([docs[k] for k in part])
-            gold = np.concatenate([toxic_word[docs[k]] & bool(labels[k]) for k in part]).astype(float)
+            n = lengths[part]
             start = np.zeros(len(seq), bool)
-            start[np.cumsum([0, *[len(docs[k]) for k in part[:-1]]])] = True
-            emission = np.add.reduceat(weights[flat], begin)[seq] if len(flat) else np.zeros(len(seq))
-            p, expected = Chain(weights, trans).marginals(emission, start, pairs=True)
-            by_word = np.bincount(seq, weights=gold - p, minlength=len(words))
-            grad = np.bincount(flat, weights=by_word[owner], minlength=PLACES) - 1e-3 * weights
+            start[np.cumsum(n) - n] = True
+            p, _, uses = Chain(weights, trans).marginals(emit()[seq], start, pairs=True)
+            gold = toxic_word[seq] & np.repeat(y[part] == 1, n)
+            was, push = np.concatenate([[False], gold[:-1]]), gold - p
+            g = np.array([(gold & ~was & ~start).sum(), (~gold & was & ~start).sum(), (gold & was & ~start).sum(), gold[start].sum()]) - uses.sum(1)
+            grad = np.bincount(flat, weights=np.bincount(seq, weights=push, minlength=len(words))[owner], minlength=PLACES) - 2e-2 * weights
             w2 += grad * grad
             weights = weights + rate * grad / np.sqrt(w2)
-            inner = np.flatnonzero(~start)
-            was, now = gold[inner - 1], gold[inner]
-            g = np.array([((1 - was) * now).sum(), (was * (1 - now)).sum(), (was * now).sum(), gold[start].sum()]) - expected - 1e-3 * trans
+            g -= 1e-2 * trans
             t2 += g * g
             trans = trans + 0.1 * g / np.sqrt(t2)
-    chain = Chain(weights, trans)
-    lengths = np.array([len(d) for d in docs])
     seq = np.concatenate(docs)
     start = np.zeros(len(seq), bool)
     start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    p = chain.marginals(np.add.reduceat(weights[flat], begin)[seq], start) if len(seq) else np.zeros(0)
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    return Model(chain, _logistic(summary(p, lengths), y.astype(float), balance))
+    chain = Chain(weights, trans)
+    p, logz = chain.marginals(emit()[seq], start)[:2] if len(seq) else (np.zeros(0), np.zeros(0))
+    stands = np.where(y == 1, docs_of[1] / y.sum(), docs_of[0] / (len(y) - y.sum()))
+    return Model(chain, _logistic(summary(p, logz, lengths), y.astype(float), stands * len(y) / stands.sum()))
+
 
+def document_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """``place, clean, toxic``: in how many documents of each label a feature's place occurs."""
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 1500, chars: int = 20_000) -> Model | None:
-    """A model from about ``per_label`` rows of each label, none longer than ``chars``."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.length(text_col) <= chars))
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, known = np.zeros((2, PLACES), np.int32), {}
+        for b in batches:
+            for text, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                met = set(tokens(text.as_py() or ""))
+                if len(known) > KEPT // 4:
+                    known.clear()
+                for w in met.difference(known):
+                    known[w] = features(w)
+                if met:
+                    df[label, np.unique(np.concatenate([known[w] for w in met]))] += 1
+        place = np.flatnonzero(df.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(df[0, place].astype(np.int64)), pa.array(df[1, place].astype(np.int64))], ["place", "clean", "toxic"])
+
+    found = rows.select(text_col, F.col(label_col).cast("int")).mapInArrow(run, "place long, clean long, toxic long")
+    return found.groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500, chars: int = 20_000) -> Model | None:
+    """A model from all labelled rows' counts and about ``per_label`` rows of each label, none longer than ``chars``."""
+    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(label_col).agg(F.count("*"), F.count(F.when(F.length(text_col) <= chars, 1))).collect()}
     if len(counts) < 2:
         return None
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
+    docs_of = np.array([counts[0][0], counts[1][0]], float)
+    df = np.zeros((2, PLACES))
+    for place, clean, toxic in document_counts(rows, text_col, label_col).where(F.col("toxic") >= LEAST_DF).collect():
+        df[:, place] = clean, toxic
+    rate = F.create_map(*[F.lit(x) for k, (_, n) in counts.items() for x in (k, min(1.0, per_label / max(1, n)))])
     draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = sorted(tuple(r) for r in rows.where(draw < rate[F.col(label_col)]).select(draw, F.col(text_col), F.col(label_col)).collect())
-    return train([r[1] for r in sample], [int(r[2]) for r in sample])
+    drawn = rows.where((F.length(text_col) <= chars) & (draw < rate[F.col(label_col)]))
+    sample = sorted(tuple(r) for r in drawn.select(draw, F.col(text_col), F.col(label_col)).collect())
+    return train([r[1] for r in sample], [int(r[2]) for r in sample], df, docs_of)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, toxic_from: float = 0.5) -> DataFrame:
@@ -297,8 +339,8 @@ def _scored(m: Model, known: Emissions, texts: list[str | None], toxic_from: flo
     first = np.cumsum(lengths) - lengths
     start = np.zeros(len(s), bool)
     start[first[lengths > 0]] = True
-    p = m.chain.marginals(s, start) if len(s) else np.zeros(0)
-    scores = m.score(summary(p, lengths))
+    p, logz = m.chain.marginals(s, start)[:2] if len(s) else (np.zeros(0), np.zeros(0))
+    scores = m.score(summary(p, logz, lengths))
     spans: list[list[dict]] = [[] for _ in texts]
     hot = np.flatnonzero(p >= toxic_from)
     for k in np.unique(np.searchsorted(np.cumsum(lengths), hot, side="right")).tolist():
