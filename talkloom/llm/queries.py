@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import decontamination, language_id, mixing, simhash, token_counts, toxicity
+from talkloom.llm import decontamination, embedding_dedup, language_id, mixing, simhash, token_counts, toxicity
 from talkloom.llm.common import table
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,8 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op5_mixing, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op3_embedding_dedup, op4_toxicity, op5_mixing, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}
+    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}
