@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import decontamination, embedding_dedup, language_id, mixing, simhash, token_counts, toxicity
+from talkloom.llm import chat_format, decontamination, embedding_dedup, html_text, language_id, mixing, simhash, token_counts, toxicity
 from talkloom.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.formatted(chat_format.adversarial(table(spark, sf_dir, "conversations"))))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -41,8 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_embedding_dedup, op4_toxicity, op5_mixing, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_embedding_dedup, op4_toxicity, op5_mixing, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}
+    return {"op1_chat_format": chat_format.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}
