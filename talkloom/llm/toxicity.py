@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkloom.llm.common import crc_part
+from talkloom.llm.common import crc_part, stored
 
 PLACES_LOG2 = 19
 PLACES = 1 << PLACES_LOG2
@@ -352,6 +352,7 @@ def _scored(m: Model, known: Emissions, texts: list[str | None], toxic_from: flo
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 3, fold: int = 1, at: float = 0.7, **how) -> DataFrame:
     """Learns outside the held-out fold and scores all: id, held_out, score, predicted, n_spans."""
     known = labels.where(crc_part(id_col, folds) != fold).select(id_col, "toxic")
-    model = fit(docs.select(id_col, "text").join(known, id_col), id_col, **how)
+    labelled = stored(docs.select(id_col, "text").join(known.hint("merge"), id_col), "labelled")  # texts move once, at any size
+    model = fit(labelled, id_col, **how)
     out = score(docs.select(id_col, "text"), model, keep=[id_col])
     return out.select(id_col, (crc_part(id_col, folds) == fold).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
