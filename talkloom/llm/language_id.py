@@ -115,12 +115,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, landmarks, root @ beta)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (all of ``docs`` by default) with lang_pred and score, 0 to 1."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``keep`` columns (all of ``docs`` by default) with the language and its score, 0 to 1, under ``names``."""
     keep = keep or docs.columns
     columns = [*keep, *([] if text_col in keep else [text_col])]
     place = columns.index(text_col)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, np.packbits(model.landmarks.astype(np.uint8), axis=1), model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import chat_format, decontamination, embedding_dedup, html_text, language_id, mixing, simhash, token_counts, toxicity
+from talkloom.llm import chat_format, decontamination, embedding_dedup, html_text, language_id, mixing, simhash, token_counts, token_files, toxicity
 from talkloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -49,7 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_html_text, op3_embedding_dedup, op4_toxicity, op5_mixing, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)}
+    found = (op1_chat_format, op2_html_text, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_token_files, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
