@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from talkloom.plans import concordance_queries
+
+MODULES = [concordance_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ missing text is null; functions of null give null unless they say otherwise.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: str | Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -183,9 +189,12 @@ def unique_values(*arrays: str | Column) -> Column:
     empty = F.array().cast("array<string>")
     values = F.concat(*[F.coalesce(col(a), empty) for a in arrays])
     values = F.filter(F.transform(values, stripped), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(values, casefold)
-    marked = F.transform(values, lambda x, i: F.struct(x.alias("v"), (F.array_position(keys, casefold(x)) == i + 1).alias("first")))
-    return F.transform(F.filter(marked, lambda s: s["first"]), lambda s: s["v"])
+
+    def firsts(vs: Column, ks: Column) -> Column:
+        marked = F.transform(vs, lambda x, i: F.struct(x.alias("v"), (F.array_position(ks, F.get(ks, i)) == i + 1).alias("first")))
+        return F.transform(F.filter(marked, lambda s: s["first"]), lambda s: s["v"])
+
+    return let(values, lambda vs: let(F.transform(vs, casefold), lambda ks: firsts(vs, ks)))
 
 
 def appended(array: Column, *values: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import rules
 from talkloom.functions.passages import citations, opening_sentences, parsed, pruned, refs, specific_first
-from talkloom.functions.text import appended, casefold, unique_values
+from talkloom.functions.text import appended, casefold, let, unique_values
 from talkloom.operators.records import SCOPE, gap_flags
 
 
@@ -37,8 +37,9 @@ def counted(records: DataFrame, verses: dict | None = None) -> DataFrame:
     text = F.concat_ws("\n", part("series"), part("title"), F.nullif(F.array_join("primary_refs", " "), F.lit("")), part("transcript_text"))
     r = records.withColumn("_found", refs(citations(text, verses=verses)))
     mentioned = unique_values("primary_refs", "_found")
-    number = lambda x: F.size(F.filter("_found", lambda y: y == x))
-    counts = F.transform("mentioned_refs", lambda x: F.greatest(number(x), F.lit(1)).cast("int"))
+    number = lambda found, x: F.size(F.filter(found, lambda y: y == x))
+    both = F.struct(F.col("_found").alias("found"), F.col("mentioned_refs").alias("refs"))  # bound outside: an Arrow helper can't stand in a lambda
+    counts = let(both, lambda b: F.transform(b["refs"], lambda x: F.greatest(number(b["found"], x), F.lit(1)).cast("int")))
     return r.withColumn("mentioned_refs", mentioned).withColumn("ref_counts", F.map_from_arrays("mentioned_refs", counts)).drop("_found")
 
 
@@ -52,9 +53,9 @@ def entries(records: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
 
 
 def totals(found: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
-    """records, mentions, primary, first_date, latest_date by reference."""
+    """records, mentions, primary_records, first_date, latest_date by reference."""
     date = F.nullif("date", F.lit(""))
-    return found.groupBy(*scope, "ref").agg(F.countDistinct("record_id").alias("records"), F.sum("mentions").alias("mentions"), F.sum(F.col("is_primary").cast("long")).alias("primary"), F.min(date).alias("first_date"), F.max(date).alias("latest_date"))
+    return found.groupBy(*scope, "ref").agg(F.countDistinct("record_id").alias("records"), F.sum("mentions").alias("mentions"), F.sum(F.col("is_primary").cast("long")).alias("primary_records"), F.min(date).alias("first_date"), F.max(date).alias("latest_date"))
 
 
 def flagged(total: DataFrame) -> DataFrame:
