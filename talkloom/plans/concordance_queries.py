@@ -40,7 +40,7 @@ def passage_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passage_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes of inference: primary references, mentions, flags."""
     r = concordance.inferred(concordance.inferred(cited(spark, sf_dir)))
-    return r.select("record_id", F.size("primary_refs").cast("long").alias("n_primary"), F.size("mentioned_refs").cast("long").alias("n_mentioned"), F.size("questionable_claims").cast("long").alias("n_claims"), F.array_join("review_flags", "; ").alias("flags"))
+    return r.select("record_id", F.size("primary_refs").cast("long").alias("n_primary"), F.size("questionable_claims").cast("long").alias("n_claims"), F.array_join("review_flags", "; ").alias("flags"))
 
 
 def series_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ ORACLES = {
     "passage_inferred": f"""WITH {CITED}, g AS (
   SELECT k, ref, any_value(book) AS book, any_value(form) AS form, min(n) AS n FROM r GROUP BY k, ref
 ), s AS (SELECT g.* FROM g WHERE NOT (form = 0 AND EXISTS (SELECT 1 FROM g o WHERE o.k = g.k AND o.form <> 0 AND o.book = g.book)))
-SELECT CAST(k AS VARCHAR) AS record_id, CASE WHEN k % 3 = 0 THEN 1 ELSE least(8, (SELECT count(*) FROM s WHERE s.k = g.k)) END AS n_primary, count(*) AS n_mentioned,
+SELECT CAST(k AS VARCHAR) AS record_id, CASE WHEN k % 3 = 0 THEN 1 ELSE least(8, (SELECT count(*) FROM s WHERE s.k = g.k)) END AS n_primary,
   CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS n_claims, CASE WHEN k % 3 = 0 THEN '' ELSE 'Review inferred scripture reference.; ' END || 'Add or confirm speaker.; Add or confirm series.' AS flags FROM g GROUP BY k""",
     "series_index": _index("[series]"),
     "speaker_index": _index("[speaker]"),
