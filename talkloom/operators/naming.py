@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions import rules
 from talkloom.functions.passages import _book_of, citations, refs
@@ -212,7 +213,7 @@ def naming_totals(log: DataFrame) -> DataFrame:
     return log.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2M / (|a| + |b|) by longest matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])

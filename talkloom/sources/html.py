@@ -7,11 +7,12 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkloom.functions.text import SPACES, casefold, col, stripped
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(c: pd.Series) -> pd.Series:
     """Character references as characters."""
     return c.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
