@@ -31,9 +31,11 @@ import functools
 import json
 import math
 import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkloom.llm.common import shared_folder
+from talkloom.llm.token_counts import byte_symbols
 
 BLOCK, RENEW, END = 2048, 256, 2
 #: Ids that close a segment (at the next document's end), and chunks a worker keeps.
@@ -225,6 +228,10 @@ def decode(payloads: list[bytes], total: int, crcs: list[int], vocab: int) -> np
 
 #: Unicode's White_Space, spelled out, and what str.split() takes besides.
 _spaces = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+#: Fixed value: the splitting pattern under which letters, and a run of other marks behind them, are pre-tokens.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PUNCTUATION = string.punctuation
+BYTE_SYMBOLS = dict(enumerate(byte_symbols()))
 _odd = re.compile("[\x1c-\x1f]")
 
 
@@ -244,12 +251,47 @@ class Encoder:
         split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
         self.by_chunk = bool(split) and split[0]["behavior"] == "Removed" and split[0]["invert"] and "(?" not in split[0]["pattern"]["Regex"] and any(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in (spec.get("normalizer") or {}).get("normalizers", []))
         self.low = self.by_chunk and any(x.get("type") == "Lowercase" for x in spec["normalizer"]["normalizers"]) and not any(x["content"] != x["content"].lower() for x in spec.get("added_tokens", []))
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.low &= split[1:] == [] and spec["pre_tokenizer"]["pretokenizers"][1:] == [plain | {"trim_offsets": True}] and split[0]["pattern"]["Regex"] == LETTER_RUNS
         self.vocab = self.lib.get_vocab_size()
         self.known: dict[str, int] = {}
+        self.tails: dict[str, list[int]] = {}
         self.ids, self.first, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
 
+    def _ids(self, new: list[str]) -> list[list[int]]:
+        """The library's ids of each chunk.
+
+        A chunk of letters, with or without a run of ASCII punctuation behind it,
+        is one pre-token or two: its letters go straight to the library's model.
+        All other chunks take the library's whole way.
+        """
+        if not self.low:
+            return [x.ids for x in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+        out: list[list[int]] = [[]] * len(new)
+        rest, tokenize, tails = [], self.lib.model.tokenize, self.tails
+        for k, x in enumerate(new):
+            head = x.rstrip(PUNCTUATION)
+            if not head.isalpha() or head != head.lower():
+                rest.append(k)
+            elif head.isascii():
+                out[k] = [t.id for t in tokenize(head)]
+            elif is_normalized("NFC", head):
+                out[k] = [t.id for t in tokenize(head.encode().decode("latin-1").translate(BYTE_SYMBOLS))]
+            else:
+                rest.append(k)
+            if out[k] and len(head) < len(x):
+                tail = x[len(head) :]
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self.lib.encode(tail, add_special_tokens=False).ids
+                out[k] += tails[tail]
+        for k, x in zip(rest, self.lib.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        got = [x.ids for x in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+        got = self._ids(new)
         n, size = len(self.known), [len(x) for x in got]
         flat = np.fromiter((i for x in got for i in x), np.int32, sum(size))
         if self.used + len(flat) > len(self.ids):
