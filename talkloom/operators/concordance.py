@@ -69,6 +69,6 @@ def ranked(total: DataFrame) -> DataFrame:
     return total.orderBy(F.desc("mentions"), casefold("ref"))
 
 
-def frequent(total: DataFrame, most: int = 20) -> DataFrame:
+def frequent(total: DataFrame, most: int = 20, scope: list[str] = SCOPE) -> DataFrame:
     """The flagged references that are mentioned most."""
-    return flagged(total).where("flag IS NOT NULL").orderBy(F.desc("mentions"), F.desc("records"), casefold("ref")).limit(most)
+    return flagged(total).where("flag IS NOT NULL").orderBy(F.desc("mentions"), F.desc("records"), casefold("ref"), *scope).limit(most)
