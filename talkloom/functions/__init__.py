@@ -1,0 +1 @@
+"""Columns in, columns out."""

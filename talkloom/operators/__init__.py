@@ -1,0 +1 @@
+"""DataFrames in, DataFrames out."""

@@ -1,0 +1 @@
+"""Registered queries, their input records and their SQL."""

@@ -1,0 +1 @@
+"""Readers."""

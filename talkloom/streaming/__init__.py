@@ -1,0 +1 @@
+"""Nothing yet: the work has no streams; a re-run replaces the archives that it holds (``operators.pages.write``)."""
