@@ -5,9 +5,11 @@ streams tags and text; each block element makes a line with its characters and
 tags. The ratios of characters to tags are smoothed by a Gaussian over
 neighbouring lines and split at a threshold by two-means clustering. The content
 region is the page's article or main element, if it holds a line of the content
-cluster, else the smallest element that holds most of the cluster's text. All
-lines of the region are kept, however short, but for those of parts that are
-never article text: by element (menus, asides, footers, forms, scripts, styles),
+cluster, else the smallest container (never a paragraph or heading) that holds
+all of the cluster's lines, with the headings and sentences next to it and all
+from the page's h1 on. All lines of the region are kept, however short (without
+an article or main, but for those that are mostly links), but for those of parts
+that are never article text: by element (menus, asides, footers, forms, scripts, styles),
 by the words of class, id and role (adverts, notices, sidebars, comments), or
 hidden ones.
 
@@ -38,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEVER = frozenset("aside button canvas datalist dialog footer form head iframe input label legend math menu nav noscript object option script select style svg template textarea title audio video".split())
 REGION = frozenset(("article", "main"))
+HOLDERS = frozenset("html body div section table tbody tr td th center form dl ul ol blockquote details fieldset".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that a new one closes, up to the nearest of the elements after the bar.
 CLOSES = {"p": ({"p"}, {"td", "th", "table", "button"}), "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id or role that mark what isn't article text.
@@ -54,7 +58,8 @@ MARKS = frozenset(
 TITLES = frozenset(("header", "head", "banner"))  # kept inside the article: they hold its title
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _cut = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
-SIGMA = 1.0
+_sentence = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
+SIGMA, SENTENCE = 1.0, 40  # a line of so many characters counts as a sentence
 
 
 def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
@@ -85,6 +90,8 @@ class Lines(HTMLParser):
         self.tags = self.links = self.number = 0
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.regions: set[int] = set()
+        self.holders: set[int] = set()
+        self.headings: dict[int, str] = {}
 
     def flush(self) -> None:
         """Ends the line."""
@@ -120,6 +127,10 @@ class Lines(HTMLParser):
                 self.regions.add(self.number)
         elif tag not in ("html", "body") and not dropped:
             dropped = tag in NEVER or (tag == "header" and not inside) or _marked(attrs, inside)
+        if tag in HOLDERS:
+            self.holders.add(self.number)
+        elif tag in HEADINGS:
+            self.headings[self.number] = tag
         self.stack.append((tag, dropped, self.number))
 
     def _close_p(self) -> None:
@@ -198,11 +209,31 @@ def main_text(html: str | None) -> str:
         chosen = {max(regions, key=lambda e: (mass[e], -e))}
         chosen = {min((e for e in regions if mass[e] >= mass[max(chosen)]), default=max(chosen))}
         return "\n".join(x[0] for x in lines if chosen & set(x[3]))
-    total = float(size[content].sum())
-    whole = [e for e, m in mass.items() if m >= 0.8 * total]
-    home = max(whole, default=None)  # elements are numbered as they open: the last is the innermost
-    kept = [x for x, ok in zip(lines, content, strict=True) if (home is None or home in x[3]) and (ok or 2 * x[2] < len(x[0]))]
-    return "\n".join(x[0] for x in kept)
+    prose = [bool(ok) or 2 * x[2] < len(x[0]) for x, ok in zip(lines, content, strict=True)]
+    of_cluster = content & (size > 0)
+    every = [set(x[3]) & p.holders for x, ok in zip(lines, of_cluster, strict=True) if ok]
+    home = max(set.intersection(*every), default=None)  # elements are numbered as they open: the last is the innermost
+    at = [k for k, x in enumerate(lines) if home is None or home in x[3]]
+    first, last = _reach(lines, prose, p.headings, at[0], at[-1])
+    return "\n".join(x[0] for x, ok in zip(lines[first : last + 1], prose[first : last + 1], strict=True) if ok)
+
+
+def _reach(lines: list[tuple], prose: list[bool], headings: dict[int, str], first: int, last: int) -> tuple[int, int]:
+    """The region's first and last line with the text that adjoins it: headings and sentences, and all from the page's h1 on."""
+
+    def joins(k: int) -> bool:
+        return prose[k] and (any(e in headings for e in lines[k][3]) or len(lines[k][0]) >= SENTENCE or bool(_sentence.search(lines[k][0])))
+
+    while True:
+        before = first, last
+        while first and joins(first - 1):
+            first -= 1
+        titles = [k for k in range(first) if prose[k] and any(headings.get(e) == "h1" for e in lines[k][3])]
+        first = min([first, *titles[-1:]])
+        while last + 1 < len(lines) and joins(last + 1):
+            last += 1
+        if (first, last) == before:
+            return first, last
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

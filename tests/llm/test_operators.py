@@ -256,6 +256,23 @@ def test_html_text():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain &lt; text <b", "<script>x</script>")] == ["", "", "", "plain < text", ""]
 
 
+A, B, C = ("A thousand letters " * 52).strip(), ("A hundred letters " * 6).strip(), ("Ninety more letters " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<h1>Title</h1><p>{A}</p><p>{B}</p><p>{C}</p>", ["Title", A, B, C]),
+        (f"<div><h1>Title</h1><p>{A}</p><p>{B}</p><p>{C}</p></div><div><a href=x>Home</a> <a href=y>Contact us</a></div>", ["Title", A, B, C]),
+        (f"<div><p>{B}</p></div><div><p>{A}</p><p>{C}</p></div>", [B, A, C]),
+        (f"<div><p>{A}</p></div><div><p>{B}</p></div>", [A, B]),
+        (f"<div><a href=x>Home</a></div><div><h1>Title</h1></div><div>By Ann</div><div><p>{A}</p><p>Short.</p></div>", ["Title", "By Ann", A, "Short."]),
+    ],
+)
+def test_html_without_article_keeps_every_paragraph(body, want):
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == "\n".join(want)
+
+
 def test_html_whole_table(spark):
     rows = html_text.extracted(table(spark, "pages").withColumn("text", F.lit("clash")).drop("text"), keep=["page_id", "url"]).collect()
     assert len(rows) == table(spark, "pages").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
