@@ -9,9 +9,11 @@ cluster, else the smallest container (never a paragraph or heading) that holds
 all of the cluster's lines, with the headings and sentences next to it and all
 from the page's h1 on. All lines of the region are kept, however short (without
 an article or main, but for those that are mostly links), but for those of parts
-that are never article text: by element (menus, asides, footers, forms, scripts, styles),
-by the words of class, id and role (adverts, notices, sidebars, comments), or
-hidden ones.
+that are never article text: by element (menus, asides, footers, form controls,
+scripts, styles), by the words of class, id and role (adverts, notices, sidebars,
+comments), or hidden ones. Headings are never dropped for a word, one ambiguous
+word needs links or the lack of sentences as a second witness, and a form or a
+word in a longer name never drops what holds most of the content cluster.
 
 Character references are decoded, white space inside a line becomes one space,
 lines are joined in page order by a newline. Each page is handled whole and by
@@ -39,6 +41,7 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEVER = frozenset("aside button canvas datalist dialog footer form head iframe input label legend math menu nav noscript object option script select style svg template textarea title audio video".split())
+CONTROLS = frozenset("button datalist input label legend option select textarea".split())
 REGION = frozenset(("article", "main"))
 HOLDERS = frozenset("html body div section table tbody tr td th center form dl ul ol blockquote details fieldset".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -56,28 +59,43 @@ MARKS = frozenset(
     share sharing social follow print skip hidden""".split()
 )
 TITLES = frozenset(("header", "head", "banner"))  # kept inside the article: they hold its title
+#: Of these the ones that titles and section names hold too; one of them alone needs a second witness.
+AMBIGUOUS = frozenset(
+    """related recommended popular trending register search form follow print feedback copyright disclaimer notice notices alert
+    comment comments discussion respond reply replies share sharing social tabs toc promotion banner menu skip complementary""".split()
+)
+REMARKS = frozenset("comment comments disqus respond replies".split())  # as a class or role, they are readers' words: one is enough
+FURNITURE = frozenset("copyright disclaimer print search register feedback form menu skip complementary".split())  # ambiguous inside a region only
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _cut = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _sentence = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 SIGMA, SENTENCE = 1.0, 40  # a line of so many characters counts as a sentence
 
 
-def _marked(attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether class, id or role say that the element isn't article text."""
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and v and re.search(r"display\s*:\s*none", v, re.I)) for n, v in attrs)
+
+
+def _mark(attrs: list[tuple[str, str | None]], inside: bool) -> str:
+    """What class, id or role say of the element: "sure" (a name of such words only, or readers' remarks), "mark" (such a word in a longer name), "maybe" (one ambiguous word), or nothing."""
+    said = ""
     for name, value in attrs:
-        if name in ("hidden", "aria-hidden"):
-            if name == "hidden" or value == "true":
-                return True
-        elif name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        elif name in ("class", "id", "role") and value:
+        if name in ("class", "id", "role") and value:
             for one in value.split():
                 words = [w.lower() for w in _words.findall(one)]
                 if words and words[0] in ("has", "with", "no", "without"):
                     continue
-                if any(w in MARKS and not (inside and w in TITLES) for w in words) or (not inside and "header" in words):
-                    return True
-    return False
+                found = {w for w in words if w in MARKS and not (inside and w in TITLES)} | ({"header"} & set(words) if not inside else set())
+                if found & REMARKS and (name != "id" or len(words) == 1):
+                    return "sure"
+                vague = {w for w in found if w in AMBIGUOUS and (inside or w not in FURNITURE)}
+                if found - vague and found == set(words):
+                    return "sure"
+                if found - vague or len(vague) > 1:
+                    said = "mark"
+                elif vague:
+                    said = said or "maybe"
+    return said
 
 
 class Lines(HTMLParser):
@@ -85,10 +103,11 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # element, whether dropped, its number
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, whether dropped, its number, the doubtful ones that it is in
         self.text: list[str] = []
         self.tags = self.links = self.number = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, tuple[int, ...]]] = []
+        self.doubts: dict[int, str] = {}
         self.regions: set[int] = set()
         self.holders: set[int] = set()
         self.headings: dict[int, str] = {}
@@ -98,7 +117,7 @@ class Lines(HTMLParser):
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                self.lines.append((t, self.tags + 1, self.links, tuple(x[2] for x in self.stack), bool(self.stack and self.stack[-1][1])))
+                self.lines.append((t, self.tags + 1, self.links, tuple(x[2] for x in self.stack), bool(self.stack and self.stack[-1][1]), self.stack[-1][3] if self.stack else ()))
         self.text, self.tags, self.links = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -120,18 +139,23 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.number += 1
-        dropped, inside = bool(self.stack and self.stack[-1][1]), any(x[0] in REGION for x in self.stack)
+        dropped, doubts = self.stack[-1][1:4:2] if self.stack else (False, ())
+        inside = any(x[0] in REGION for x in self.stack)
         if tag in REGION:
-            if not any(x[0] in NEVER for x in self.stack):
-                dropped = False
+            if not any(x[0] in NEVER and x[0] != "form" for x in self.stack):
+                dropped, doubts = False, ()
                 self.regions.add(self.number)
         elif tag not in ("html", "body") and not dropped:
-            dropped = tag in NEVER or (tag == "header" and not inside) or _marked(attrs, inside)
+            dropped = (tag in NEVER and tag != "form") or _hidden(attrs)
+            doubt = "form" if tag == "form" else "mark" if tag == "header" and not inside else "" if tag in HEADINGS else _mark(attrs, inside)
+            if doubt:
+                self.doubts[self.number] = doubt
+                doubts = (*doubts, self.number)
         if tag in HOLDERS:
             self.holders.add(self.number)
         elif tag in HEADINGS:
             self.headings[self.number] = tag
-        self.stack.append((tag, dropped, self.number))
+        self.stack.append((tag, dropped, self.number, doubts))
 
     def _close_p(self) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -158,10 +182,13 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] in ("script", "style"):
+        names = [x[0] for x in self.stack]
+        if names and names[-1] in ("script", "style"):
+            return
+        if "form" in names and any(x in CONTROLS for x in names[names.index("form") :]):
             return
         self.text.append(data)
-        if any(x[0] == "a" for x in self.stack):
+        if "a" in names:
             self.links += len(data)
 
 
@@ -185,6 +212,47 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _cluster(lines: list[tuple]) -> tuple[np.ndarray, dict[int, float]]:
+    """Which lines are in the content cluster, and how many of its characters each element holds."""
+    size = np.array([len(x[0]) for x in lines], float)
+    ratio = smoothed(np.maximum(size - np.array([x[2] for x in lines]), 0) / np.array([x[1] for x in lines]))
+    content = ratio >= threshold(ratio)
+    mass: dict[int, float] = {}
+    for line, n, ok in zip(lines, size, content, strict=True):
+        if ok:
+            for e in line[3]:
+                mass[e] = mass.get(e, 0.0) + n
+    return content, mass
+
+
+def _is_sentence(text: str) -> bool:
+    return len(text) >= SENTENCE or bool(_sentence.search(text))
+
+
+def _settled(p: Lines) -> list[tuple]:
+    """The lines without those of doubtful elements that are no article text.
+
+    An element with one ambiguous word goes if it is mostly links or holds no
+    sentence. A marked element or a form stays if it holds most of the content
+    cluster; one that is surely marked (an advert may be longer than a short
+    article) stays only where nothing else is left.
+    """
+    lines = [x for x in p.lines if not x[4]]
+    if not p.doubts or not lines:
+        return lines
+    out = set(p.doubts)
+    for e in [e for e, doubt in p.doubts.items() if doubt == "maybe"]:
+        own = [x for x in lines if e in x[3]]
+        if 2 * sum(x[2] for x in own) < sum(len(x[0]) for x in own) and any(_is_sentence(x[0]) for x in own if 2 * x[2] < len(x[0])):
+            out.discard(e)
+    ours = [x for x in lines if not any(p.doubts[e] == "sure" for e in x[5])]
+    if ours:
+        content, mass = _cluster(ours)
+        total = sum(len(x[0]) for x, ok in zip(ours, content, strict=True) if ok)
+        out -= {e for e in out if 2 * mass.get(e, 0) > total}
+    return [x for x in lines if out.isdisjoint(x[5])] or ours or lines
+
+
 def main_text(html: str | None) -> str:
     """The article's lines, joined by newlines."""
     if not html:
@@ -193,25 +261,17 @@ def main_text(html: str | None) -> str:
     p.feed(_cut.sub("", html))
     p.close()
     p.flush()
-    lines = [x for x in p.lines if not x[4]]
+    lines = _settled(p)
     if not lines:
         return ""
-    size = np.array([len(x[0]) for x in lines], float)
-    ratio = smoothed(np.maximum(size - np.array([x[2] for x in lines]), 0) / np.array([x[1] for x in lines]))
-    content = ratio >= threshold(ratio)
-    mass: dict[int, float] = {}
-    for line, n, ok in zip(lines, size, content, strict=True):
-        if ok:
-            for e in line[3]:
-                mass[e] = mass.get(e, 0.0) + n
+    content, mass = _cluster(lines)
     regions = [e for e in p.regions if e in mass]
     if regions:
         chosen = {max(regions, key=lambda e: (mass[e], -e))}
         chosen = {min((e for e in regions if mass[e] >= mass[max(chosen)]), default=max(chosen))}
         return "\n".join(x[0] for x in lines if chosen & set(x[3]))
     prose = [bool(ok) or 2 * x[2] < len(x[0]) for x, ok in zip(lines, content, strict=True)]
-    of_cluster = content & (size > 0)
-    every = [set(x[3]) & p.holders for x, ok in zip(lines, of_cluster, strict=True) if ok]
+    every = [set(x[3]) & p.holders for x, ok in zip(lines, content, strict=True) if ok]
     home = max(set.intersection(*every), default=None)  # elements are numbered as they open: the last is the innermost
     at = [k for k, x in enumerate(lines) if home is None or home in x[3]]
     first, last = _reach(lines, prose, p.headings, at[0], at[-1])
@@ -222,7 +282,7 @@ def _reach(lines: list[tuple], prose: list[bool], headings: dict[int, str], firs
     """The region's first and last line with the text that adjoins it: headings and sentences, and all from the page's h1 on."""
 
     def joins(k: int) -> bool:
-        return prose[k] and (any(e in headings for e in lines[k][3]) or len(lines[k][0]) >= SENTENCE or bool(_sentence.search(lines[k][0])))
+        return prose[k] and (any(e in headings for e in lines[k][3]) or _is_sentence(lines[k][0]))
 
     while True:
         before = first, last

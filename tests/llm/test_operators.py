@@ -273,6 +273,20 @@ def test_html_without_article_keeps_every_paragraph(body, want):
     assert html_text.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>") == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><h1>Title</h1><p>{A}</p><h2 id='related-work'>Related work</h2><p>{B}</p><section id='discussion'><h2>Discussion</h2><p>{C}</p></section><div id='follow-up'><p>We went back.</p></div></article>", ["Title", A, "Related work", B, "Discussion", C, "We went back."]),
+        (f"<form action=x><input name=q><label>Find</label><main><h1>Title</h1><p>{A}</p></main><button>Go</button></form>", ["Title", A]),
+        (f"<form action=x><div><h1>Title</h1><p>{A}</p><p>{B}</p><select><option>One</select></div></form>", ["Title", A, B]),
+        (f"<div class='layout-sidebar-right'><h1>Title</h1><p>{A}</p><p>{B}</p></div>", ["Title", A, B]),
+        (f"<article><p>{A}</p><div class='related'><a href=x>Another story with a long title to click on</a></div><div class='share'>Share</div><div class='comments'><p>{A}</p></div><form><p>{B}</p></form></article>", [A]),
+    ],
+)
+def test_html_marks_need_a_second_witness(body, want):
+    assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want)
+
+
 def test_html_whole_table(spark):
     rows = html_text.extracted(table(spark, "pages").withColumn("text", F.lit("clash")).drop("text"), keep=["page_id", "url"]).collect()
     assert len(rows) == table(spark, "pages").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
