@@ -11,14 +11,14 @@ threshold minus the bound there. All other pairs are dropped; the rest are
 computed again in double precision, and only that decides.
 
 Only vectors of equal label and length meet. Equal vectors are one vector with a
-number of copies. Labels of up to ``cell_rows`` distinct vectors are one cell,
-compared whole. Larger labels are dealt into cells by k random hyperplanes, L
-times over; k grows with the logarithm of the label's size, so a cell's expected
-size does not, and L is set so that a pair exactly at the threshold meets in some
-table but for a probability of ``miss`` (nearer pairs more surely). A pair counts
-in the first table in which it meets. A crowded cell is compared in pairs of
-blocks, each its own group, so no task holds more than two blocks, and a group
-returns only each vector's number of links and one link towards its component.
+number of copies. A label's distinct vectors are dealt into blocks by hash, and
+all pairs of its blocks are compared, at every size: each pair of blocks is its
+own group, so no task holds more than two blocks, and a group returns only each
+vector's number of links and one link towards its component. In labels of more
+than ``cell_rows`` distinct vectors the blocks grow with the square root of the
+label's size, and so does the number of times each vector is sent; inside a
+group, ``STEP`` rows at a time are compared. The work grows with the square of a
+label's size.
 
 Defined cases: null ids and labels, and vectors that are null, empty, zero or
 hold null or non-finite components link with nothing. Repeated rows are copies.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.common import stored
 from talkloom.operators.components import components
 
-THRESHOLD, EPS, SEED = 0.93, 6.0, 20_240_611
+THRESHOLD, EPS, SEED, STEP = 0.93, 6.0, 20_240_611, 2_048
 
 
 def rotation(d: int) -> np.ndarray:
@@ -46,14 +46,6 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def tables_for(bits: int, threshold: float, miss: float) -> int:
-    """Hash tables of so many bits that miss a pair at the threshold with probability ``miss`` at most."""
-    if not bits:
-        return 1
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
-
-
 def candidates(u: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (rows of u, rows of v), both rotated unit vectors, that may be at the threshold or above."""
     d = u.shape[1]
@@ -69,15 +61,20 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[
     """Linked pairs of rows of ``x`` and ``y`` (float64); with ``same`` each pair of one block once."""
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     p = rotation(x.shape[1])
-    i, j = candidates((x / nx[:, None]) @ p, (y / ny[:, None]) @ p, threshold)
-    if same:
-        i, j = i[i < j], j[i < j]
-    keep = [np.zeros(0, bool)]
-    for k in range(0, len(i), 200_000):
-        a, b = i[k : k + 200_000], j[k : k + 200_000]
-        keep.append(np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= threshold)
-    keep = np.concatenate(keep)
-    return i[keep], j[keep]
+    u, v = (x / nx[:, None]) @ p, (y / ny[:, None]) @ p
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for r in range(0, len(x), STEP):
+        for c in range(r if same else 0, len(y), STEP):
+            i, j = candidates(u[r : r + STEP], v[c : c + STEP], threshold)
+            i, j = i + r, j + c
+            if same:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), 200_000):
+                a, b = i[k : k + 200_000], j[k : k + 200_000]
+                keep = np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= threshold
+                left.append(a[keep])
+                right.append(b[keep])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -101,29 +98,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(a), -1)
 
 
-def _codes(distinct: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Adds ``codes``: the vector's cell in each of its label's tables (rows carry ``bits``)."""
-    schema = f"id {distinct.schema['id'].dataType.simpleString()}, copies long, label {distinct.schema['label'].dataType.simpleString()}, embedding array<double>, codes array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            bits, vectors = b.column(4).to_pylist(), b.column(3)
-            codes = []
-            for k, bit in enumerate(bits):
-                if not bit:
-                    codes.append([0])
-                    continue
-                x = np.array(vectors[k].as_py())
-                if (len(x), bit) not in planes:
-                    planes[len(x), bit] = np.random.default_rng([SEED, len(x), bit]).standard_normal((tables_for(bit, threshold, miss), bit, len(x)))
-                codes.append(((planes[len(x), bit] @ x >= 0) @ (1 << np.arange(bit))).tolist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(codes, pa.list_(pa.int64()))], ["id", "copies", "label", "embedding", "codes"])
-
-    return distinct.select("id", "copies", "label", "embedding", "bits").mapInArrow(run, schema)
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, cell_rows: int = 16_384, block_rows: int = 2_048, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, cell_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
     """``id_col``, n_links, component_id, kept for every row."""
     e = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150)))
@@ -132,34 +107,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("usable", usable)
     good = rows.where("usable").drop("usable")
     distinct = stored(good.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(cell_rows)))).cast("int")
-    sizes = distinct.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).select(F.col("label").alias("l"), "d", bits.alias("bits"))
-    coded = stored(_codes(distinct.join(sizes, (F.col("label") == F.col("l")) & (F.size("embedding") == F.col("d"))), threshold, miss), "codes")
-    every = coded.select("*", F.size("embedding").alias("d"), F.posexplode("codes").alias("t", "cell"))
-    crowd = every.groupBy("label", "d", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    dealt = every.join(crowd.withColumn("blocks", blocks), ["label", "d", "t", "cell"])
+    size = F.lit(block_rows) * F.sqrt(F.greatest(F.lit(1.0), F.col("n") / F.lit(cell_rows)))
+    crowd = distinct.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("label", "d", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    dealt = distinct.withColumn("d", F.size("embedding")).join(crowd, ["label", "d"])
     own = F.pmod(F.xxhash64("id", "embedding"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     kind = vectors.schema[id_col].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        x, copies, codes = _matrix(group["embedding"]), group["copies"].to_numpy(), _matrix(group["codes"]).astype(np.int64)
-        own, low, high, t = group["own"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py(), group["t"][0].as_py()
+        x, copies = _matrix(group["embedding"]), group["copies"].to_numpy()
+        own, low, high = group["own"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
         a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
         i, j = linked(x[a], x[b], threshold, low == high) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
         i, j = a[i], b[j]
-        if t and len(i):
-            new = ~(codes[i, :t] == codes[j, :t]).any(1)
-            i, j = i[new], j[new]
         n = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
         met = np.flatnonzero(n)
         ids = group["id"].combine_chunks()
         root = _roots(len(x), i, j)
         return pa.table({"id": ids.take(pa.array(met)), "n": pa.array(n[met].astype(np.int64)), "root": ids.take(pa.array(root[met]))})
 
-    found = stored(dealt.select("id", "copies", "embedding", "codes", "label", "d", "t", "cell", "low", "high", "own").groupBy("label", "d", "t", "cell", "low", "high").applyInArrow(compare, f"id {kind}, n long, root {kind}"), "found")
+    found = stored(dealt.select("id", "copies", "embedding", "label", "d", "low", "high", "own").groupBy("label", "d", "low", "high").applyInArrow(compare, f"id {kind}, n long, root {kind}"), "found")
     joined = components(found.select("id", "root"), "id", "root")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     told = distinct.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

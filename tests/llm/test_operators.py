@@ -171,6 +171,26 @@ def test_embeddings_planted_clusters(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_large_label_lose_no_pair(spark):
+    """17,000 distinct vectors of a label; random hyperplanes (those of one bit of 8 dimensions) part the planted pairs in every table."""
+    g = np.random.default_rng(5)
+    planes = np.random.default_rng([embedding_dedup.SEED, 8, 1]).standard_normal((5, 1, 8))[:, 0]
+    pairs = []
+    while len(pairs) < 4:
+        u, w = g.normal(size=(2, 200_000, 8))
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        w -= (w * u).sum(1)[:, None] * u
+        v = 0.9302 * u + np.sqrt(1 - 0.9302**2) * w / np.linalg.norm(w, axis=1)[:, None]
+        pairs += [(u[k], v[k]) for k in np.flatnonzero(((u @ planes.T >= 0) != (v @ planes.T >= 0)).all(1))]
+    x = np.concatenate([g.normal(size=(17_000, 8)), np.array(pairs).reshape(-1, 8)])
+    df = spark.createDataFrame([(i, r, 0) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    y, want = x / np.linalg.norm(x, axis=1)[:, None], []
+    for k in range(0, len(y), 1000):
+        want += ((y[k : k + 1000] @ y.T >= 0.93).sum(1) - 1).tolist()
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(x))] == want and sum(want[17_000:]) >= 8
+
+
 def test_mixing_meets_targets(spark):
     d = table(spark, "documents")
     rows = mixing.mixed(d.withColumn("weight", F.lit(0))).collect()
