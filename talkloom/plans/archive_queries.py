@@ -163,7 +163,7 @@ def page_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages.record_pages(talks(spark, sf_dir), 100)
+    p = pages.record_pages(talks(spark, sf_dir))
     return p.select("archive_id", "path", F.md5(p["text"].cast("binary")).alias("digest"))
 
 

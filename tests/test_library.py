@@ -209,3 +209,10 @@ def test_pages_are_rewritten_by_archive(spark, tmp_path):
     pages.write(pages.record_pages(df), out)
     pages.write(pages.record_pages(df.where("archive_id = 'b'").withColumn("title", F.lit("New"))), out)
     assert {r.path for r in spark.read.parquet(out).collect()} == {"2025-11-30 - giv Week 1.md", "New.md"}
+
+
+def test_record_pages_hold_the_whole_text(spark, tmp_path):
+    rows = [(1, "a word " * 20 + end, "en", "s", 0) for end in ("one", "two")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in catalogue.queries()["record_pages"](spark, str(tmp_path)).collect()]
+    assert len(found) == 2 and len(set(found)) == 2
