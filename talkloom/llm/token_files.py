@@ -253,6 +253,7 @@ class Encoder:
         self.low = self.by_chunk and any(x.get("type") == "Lowercase" for x in spec["normalizer"]["normalizers"]) and not any(x["content"] != x["content"].lower() for x in spec.get("added_tokens", []))
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.low &= split[1:] == [] and spec["pre_tokenizer"]["pretokenizers"][1:] == [plain | {"trim_offsets": True}] and split[0]["pattern"]["Regex"] == LETTER_RUNS
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.vocab = self.lib.get_vocab_size()
         self.known: dict[str, int] = {}
         self.tails: dict[str, list[int]] = {}
@@ -312,7 +313,9 @@ class Encoder:
         for t in texts:
             t = t or ""
             if self.low and "Σ" not in t:  # but for a final sigma, lower() is the library's own
-                t = t.lower()
+                low = t.lower()
+                if low != t and not any(x in low for x in self.added):  # added tokens are found in the raw text only
+                    t = low
             cut.append([x for x in _spaces.split(t) if x] if _odd.search(t) else t.split())
         new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > KEPT:

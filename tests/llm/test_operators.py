@@ -78,6 +78,13 @@ def test_token_files_read_back(spark):
     assert token_files.round_trip(docs(spark, []), WORD_BPE).count() == 0
 
 
+def test_added_tokens_are_found_in_the_raw_text_only():
+    lib = Tokenizer.from_file(WORD_BPE)
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "A <|endoftext|> B <|STARTOFTEXT|>x", "Ab<|endoftext|>Cd Ef", "PLAIN Text", "<|ENDOFTEXT|", "Éa<|startoftext|>"]
+    got = token_files.Encoder(WORD_BPE).encode([*texts, *texts[::-1]])
+    assert [x.tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in [*texts, *texts[::-1]]]
+
+
 def classes(fps):
     """Smallest id reachable over links of at most two differing bits."""
     root = {i: i for i in fps}
