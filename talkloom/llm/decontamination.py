@@ -7,26 +7,29 @@ each gets one code point and every other word one common code point, so a text
 is scanned once, word by word, and the automaton has at most ten nodes for each
 benchmark word. The documents are never shuffled.
 
-The benchmark is broadcast only in slices of ``slice_bytes`` of text (1 MB:
-about 100 MB of automaton in a worker). A larger benchmark takes several passes
-whose hits are joined by document, so no size is refused or cut.
+The benchmark is broadcast in slices of ``slice_bytes`` of text (1 MB: about 100
+MB of automaton in a worker), packed. A worker holds one slice's automaton at a
+time: of a larger benchmark, all slices scan the same ``HELD`` bytes of texts in
+turn, and their hits meet in the text's own words. Nothing is joined, so a
+document needs no id, and no size is refused or cut.
 
 Defined cases: null or wordless text has no words and no hits; null or wordless
-items have no windows; repeated documents are reported as often as they come
-(with several passes they must differ in id); repeated items each count.
+items have no windows; repeated documents are reported as often as they come,
+each with its own hits; a repeated item id is one item with all its texts.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +37,7 @@ WINDOW = 10
 #: Bytes that separate words, after bytes.lower(): all ASCII but digits and a-z.
 BLANKED = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 FIRST_CODE = 0x10000
+HELD = 64 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -106,29 +110,47 @@ _LAST: dict[tuple[str, int], Scanner] = {}
 def _scanner(key: str, window: int, shared: Broadcast) -> Scanner:
     if (key, window) not in _LAST:
         _LAST.clear()
-        _LAST[key, window] = Scanner(shared.value, window)
+        _LAST[key, window] = Scanner(pickle.loads(zlib.decompress(shared.value)), window)
     return _LAST[key, window]
 
 
-def _pass(docs: DataFrame, shared: Broadcast, key: str, window: int, item_type: T.DataType, columns: list[str], text_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, slices: list[tuple[str, Broadcast]], window: int, item_type: T.DataType, columns: list[str], text_col: str) -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in columns] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", SPANS)])
     place = columns.index(text_col) if text_col in columns else len(columns)
 
+    def scanned(held: list[pa.RecordBatch], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple[int, int], int] = {}
+        hits: dict[tuple[int, int], np.ndarray] = {}
+        items: dict[tuple[int, int], set] = {}
+        for key, shared in sorted(slices, key=lambda x: (x[0], window) not in _LAST):  # the worker's last scanner first
+            scanner = _scanner(key, window, shared)
+            for n, b in enumerate(held):
+                for i, text in enumerate(b.column(place)):
+                    words[n, i], hit, found, _ = scanner.scan(text.as_py())
+                    if hit is not None:
+                        hits[n, i] = hits[n, i] | hit if (n, i) in hits else hit
+                        items.setdefault((n, i), set()).update(found)
+        for n, b in enumerate(held):
+            at = [(n, i) for i in range(b.num_rows)]
+            told = (
+                [words[x] for x in at], [int(hits[x].sum()) if x in hits else 0 for x in at], [sorted(items.get(x, ()), key=str) for x in at],
+                [spans(normalised(b.column(place)[x[1]].as_py()), hits[x]) if x in hits else [] for x in at],
+            )
+            new = [pa.array(x, kinds.field(len(columns) + i).type) for i, x in enumerate(told)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *new], schema=kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
+        kinds, held, size = to_arrow_schema(schema), [], 0
         for b in batches:
-            words, hits, items, where = [], [], [], []
-            scanner = _scanner(key, window, shared)
-            for text in b.column(place):
-                n, hit, found, plain = scanner.scan(text.as_py())
-                words.append(n)
-                hits.append(0 if hit is None else int(hit.sum()))
-                items.append(found)
-                where.append([] if hit is None else spans(plain, hit))
-            new = [pa.array(x, kinds.field(len(columns) + i).type) for i, x in enumerate((words, hits, items, where))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *new], schema=kinds)
+            held.append(b)
+            size += b.nbytes
+            if len(slices) == 1 or size >= HELD:
+                yield from scanned(held, kinds)
+                held, size = [], 0
+        if held:
+            yield from scanned(held, kinds)
 
     return docs.select(*columns, *([] if text_col in columns else [text_col])).mapInArrow(run, schema)
 
@@ -142,31 +164,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns = keep or [id_col]
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     slices = max(1, math.ceil(total / slice_bytes))
-    passes = []
+    shared = []
     for k in range(slices):
         part = benchmark if slices == 1 else benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(slices)) == k)
         rows = sorted(((r[0], r[1]) for r in part.select(item_col, item_text).collect()), key=str)
         key = hashlib.sha256(repr(rows).encode("utf-8", "replace")).hexdigest()
-        passes.append(_pass(docs, spark.sparkContext.broadcast(rows), key, window, benchmark.schema[item_col].dataType, columns if slices == 1 else [id_col], text_col))
-    if slices == 1:
-        return passes[0]
-    found = functools.reduce(DataFrame.unionByName, [p.where("n_hit > 0").select(id_col, "items", "spans") for p in passes])
-    found = found.groupBy(id_col).agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return docs.select(*columns, *([] if text_col in columns else [text_col])).join(found, id_col, "left").select(*columns, *_merged(text_col))
-
-
-def _merged(text_col: str) -> list[Column]:
-    """Of several passes' spans: overlapping ones become one, and words are counted in what remains."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = lambda c: F.regexp_count(c, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    merged = F.aggregate(
-        F.array_sort(F.coalesce("spans", none)),
-        none,
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    hit = F.aggregate(merged, F.lit(0).cast("long"), lambda acc, x: acc + words(F.substring(text, (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))))
-    return [words(text).alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_distinct(F.coalesce("items", F.array()))).alias("items"), merged.alias("spans")]
+        shared.append((key, spark.sparkContext.broadcast(zlib.compress(pickle.dumps(rows)))))
+    return _scanned(docs, shared, window, benchmark.schema[item_col].dataType, columns, text_col)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -157,6 +157,17 @@ def test_decontamination_slices_agree_and_spans_are_of_the_original(spark):
     assert decontamination.contamination(docs(spark, ["a b"]), item.limit(0)).first().n_hit == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"slice_bytes": 40}])
+def test_decontamination_of_null_and_repeated_ids(spark, how):
+    items = [(k, " ".join(f"i{k}w{n}" for n in range(10))) for k in range(4)]
+    b = spark.createDataFrame([*items, items[1], (2, "another text of item two")], "item_id long, text string")
+    rows = [(None, items[0][1]), (7, f"x {items[1][1]}"), (7, "clean"), (None, f"{items[2][1]} y another text of item two"), (8, f"{items[1][1]} {items[3][1]}")]
+    d = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DOCS)
+    got = decontamination.contamination(d, b, keep=["n_chars", "doc_id"], **how).orderBy("n_chars").collect()
+    assert [(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got] == [(None, 10, 10, [0]), (7, 11, 10, [1]), (7, 1, 0, []), (None, 16, 15, [2]), (8, 20, 20, [1, 3])]
+    assert [[tuple(s) for s in r.spans] for r in got] == [[(0, 49)], [(2, 51)], [], [(0, 49), (52, 76)], [(0, 99)]]
+
+
 def test_embeddings_planted_clusters(spark):
     g = np.random.default_rng(3)
     v = [c + g.normal(0, 0.25 * abs(g.normal()), 16) for c in g.normal(size=(12, 16)) for _ in range(15)]
