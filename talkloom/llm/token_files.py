@@ -2,24 +2,33 @@
 
 Texts are encoded by the tokenizers library and laid out in ascending id order,
 each document followed by the end id. Documents fill segments (a file row each);
-a segment's ids are cut in blocks of ``BLOCK`` ids, each coded from a fresh model
-and checksummed, so each can be decoded alone. All blocks of a segment are coded
-in step by numpy: position k of every block at once.
-
-A block's model predicts the next id in orders: order 2 and order 1 remember the
-id that last followed the two ids, or the id, before it and how often that held;
-their adaptive probabilities are mixed in the logistic domain by weights learned
-on the way into the chance that the likelier candidate is right. Anything else
-is coded by order 0: adaptive frequencies of the id's high byte (renewed every
-``RENEW`` ids), and its low byte. The three parts make one interval of 2**32 for
-each id, which drives a 63-bit range coder with carries. All arithmetic is of
-integers, so files decode alike everywhere.
-
-File format: Parquet rows of (part, segment, doc_ids, lengths, vocab, sizes,
-crcs, payload): the documents' ids and token counts, and each block's payload
-bytes and the crc32 of its ids as little-endian unsigned 32-bit integers. Rows
-in (part, segment) order hold documents in ascending order. Written by Spark's
-own writer to a shared folder: lost tasks are redone, readers see whole files.
+a segment's ids are cut in blocks of ``BLOCK`` ids, each coded from the same
+start and checksummed, so each can be decoded alone with the segment's header.
+The blocks of a group (``LANES`` at most) are coded in step by numpy: position k
+of every block at once.
+
+The header names the segment's ids by falling frequency, with their rounded
+frequencies: the order-0 model that every block starts from. A block's model
+predicts the next id in orders: order 2 and order 1 remember the id that last
+followed the two ids, or the id, before it and how often that held; their
+adaptive probabilities are mixed in the logistic domain by learned weights into
+the chance that the candidate (that of order 2, where it has one) is right.
+Anything else is coded by order 0: the frequencies of the id's group and of the
+id in its group, the start's and the recent ones, which fade. Frequencies,
+probabilities and weights learn every ``RENEW`` ids, the remembered ids at once.
+The three parts make one interval of 2**36 for each id, which drives a 63-bit
+range coder with carries. All arithmetic is of integers, so files decode alike
+everywhere.
+
+File format: Parquet rows of (part, segment, doc_ids, lengths, alphabet, weights,
+sizes, crcs, payload): the documents' ids and token counts, the header, and each
+block's payload bytes and the crc32 of its ids as little-endian unsigned 32-bit
+integers. Rows in (part, segment) order hold documents in ascending order.
+Written by Spark's own writer to a shared folder: lost tasks are redone, readers
+see whole files.
+
+A task holds one segment (a document longer than ``SEGMENT`` ids is one by
+itself) and the models of one group of blocks: about 60 MB at most.
 
 Defined cases: null text is empty and has the end id alone; null ids come first;
 rows of equal id are laid out next to each other; an empty table gives no rows.
@@ -47,11 +56,17 @@ from talkloom.llm.common import shared_folder
 from talkloom.llm.token_counts import byte_symbols
 
 BLOCK, RENEW, END = 2048, 256, 2
-#: Ids that close a segment (at the next document's end), and chunks a worker keeps.
-SEGMENT, KEPT = 2048 * 2048, 600_000
-SLOTS_LOG2 = 12
+#: Blocks coded in step, less where their order-0 models would have more than PLACES entries; ids that close a segment (at the next document's end); chunks a worker keeps.
+LANES, PLACES, SEGMENT, KEPT = 1024, 1 << 22, 1024 * 2048, 400_000
+SLOTS_LOG2 = 11
+#: Frequencies' total; the start's share of it against STEP for an id, of which a quarter fades every RENEW ids.
+ONE, START, STEP, FADE = 4096, 1500, 24, 2
 WINDOW, LOW_MASK = np.uint64(63), np.uint64((1 << 63) - 1)
-U16, U32, U47 = np.uint64(16), np.uint64(32), np.uint64(47)
+U16, U36, U47 = np.uint64(16), np.uint64(36), np.uint64(47)
+#: Eighths of powers of two, in which the header rounds frequencies.
+POWER = np.array([round(2 ** (q / 8)) for q in range(256)], np.int64)
+#: The first chances (of 65536) that a candidate is right, by how often it held.
+RIGHT = np.array([600, 1400, 1760, 2120, 2480, 2840, 3200, 3560], np.int32) << 4
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -64,111 +79,152 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 STRETCH, SQUASH = _tables()
 
 
-class Mixer:
-    """The models of many blocks, in step."""
+class Start:
+    """The order-0 model that blocks start from: symbols are places in the alphabet, in groups of equal width."""
+
+    def __init__(self, alphabet: list[int] | np.ndarray, weights: bytes):
+        m = max(1, len(alphabet))
+        self.width = math.isqrt(m - 1) + 1
+        self.groups = -(-m // self.width)
+        self.alphabet, p = np.zeros(self.groups * self.width, np.int32), np.zeros(self.groups * self.width, np.int64)
+        self.alphabet[: len(alphabet)] = alphabet
+        p[: len(weights)] = POWER[np.frombuffer(weights, np.uint8)]
+        p = p.reshape(self.groups, self.width)
+        high = p.sum(1)
+        self.high = (1 + START * high // max(1, high.sum())).astype(np.int32)
+        self.low = (1 + START * p // np.maximum(high[:, None], 1)).astype(np.int32)
+
+    @property
+    def lanes(self) -> int:
+        return max(16, min(LANES, PLACES // len(self.alphabet)))
+
+
+def header(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The ids by falling frequency, and their frequencies' logarithms in eighths."""
+    c = np.bincount(ids)
+    alphabet = np.argsort(-c, kind="stable")[: np.count_nonzero(c)]
+    return alphabet.astype(np.int32), bytes(min(255, round(8 * math.log2(x))) for x in c[alphabet].tolist())
+
 
-    def __init__(self, lanes: int, high: int):
-        self.lane, self.lanes, self.high = np.arange(lanes), lanes, high
-        self.base = self.lane << SLOTS_LOG2
-        self.seen2, self.seen1 = (np.zeros(lanes << SLOTS_LOG2, np.int32) for _ in range(2))  # (id + 1) * 8 + times it held
-        self.right = np.tile(np.array([600, *range(1400, 4000, 360)][:8] * 2, np.int32) << 4, (lanes, 1)).ravel()  # 16 bits, by order and times held
+def cumulated(count: np.ndarray) -> np.ndarray:
+    """Cumulated frequencies along the last axis: ONE in all, none zero."""
+    n = count.shape[-1]
+    f = count * (((ONE - n) << 14) // count.sum(-1, keepdims=True, dtype=np.int32))
+    f >>= 14
+    f += 1
+    f[..., 0] += ONE - f.sum(-1, dtype=np.int32)
+    out = np.zeros((*count.shape[:-1], n + 1), np.int16)
+    np.cumsum(f, axis=-1, out=out[..., 1:])
+    return out
+
+
+class Mixer:
+    """The models of many blocks, in step. Ids are symbols here: places in the alphabet."""
+
+    def __init__(self, lanes: int, start: Start):
+        self.lanes, self.start, self.step = lanes, start, 0
+        lane, g, w = np.arange(lanes, dtype=np.int32), start.groups, start.width
+        self.base, self.group, self.states = lane << SLOTS_LOG2, lane * g, lane << 8
+        self.seen1, self.seen2 = (np.zeros(lanes << SLOTS_LOG2, np.int32) for _ in range(2))  # (symbol + 1) * 8 + times it held
+        self.right = np.tile(RIGHT, (2, lanes, 1))
         self.weights = np.full((2, lanes), 1 << 15, np.int32)
         self.one = self.two = np.full(lanes, 0xFFFF, np.int32)
-        self.count = np.ones((lanes, high), np.int32)
-        self.step = 0
-        self.renew()
-
-    def renew(self) -> None:
-        """Order-0 frequencies of the high byte: 4096 in all, none zero."""
-        total = self.count.sum(1, keepdims=True)
-        f = 1 + self.count * (4096 - self.high) // total
-        f[self.lane, self.count.argmax(1)] += 4096 - f.sum(1, dtype=np.int32)
-        self.freq = f
-        self.cum = np.zeros((self.lanes, self.high + 1), np.int32)
-        np.cumsum(f, axis=1, out=self.cum[:, 1:])
-        self._find = None
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The high byte whose frequencies hold ``v``."""
-        if self._find is None:
-            self._find = np.repeat(np.tile(np.arange(self.high, dtype=np.uint8), self.lanes), self.freq.ravel())
-        return self._find[(self.lane << 12) + v].astype(np.int32)
+        self.recent_high, self.recent_low = np.zeros((lanes, g), np.int16), np.zeros((lanes, g, w), np.int16)
+        self.high = np.tile(cumulated(start.high), (lanes, 1))
+        self.low = np.tile(cumulated(start.low), (lanes, 1))
+        self.ids, self.was = np.zeros((2, RENEW, lanes), np.int32)
+        self.held1, self.held2 = np.zeros((2, RENEW, lanes), bool)
+        self.mix()
+
+    def mix(self) -> None:
+        """The candidate's chance of ONE in each state: which orders name it (0: both; 1, 2: that one; 3: none), and how often theirs held."""
+        t1, t2 = STRETCH[self.right[0] >> 4][:, :, None], STRETCH[self.right[1] >> 4][:, None, :]
+        pairs = [(t1, t2), (t1, -t2 >> 2), (-t1 >> 2, t2)]
+        self.stretched = np.array([[np.broadcast_to(p[o], (self.lanes, 8, 8)) for p in pairs] for o in (0, 1)], np.int32)
+        w = self.weights[:, None, :, None, None]
+        mixed = (w * self.stretched).sum(0, dtype=np.int32) >> 16
+        chances = np.ones((self.lanes, 4, 8, 8), np.int32)
+        chances[:, :3] = SQUASH[np.clip(mixed, -3072, 3071) + 3072].swapaxes(0, 1)
+        self.chances = chances.ravel()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The likelier candidate (id + 1; 0: none) and its chance of 4096."""
+        """The candidate (symbol + 1; 0: none) and its chance of ONE."""
         mask = (1 << SLOTS_LOG2) - 1
-        self.at1 = self.base + ((self.one * 40503 >> 4) & mask)
-        self.at2 = self.base + (((self.one * 40503 ^ self.two * 30011 + self.two) >> 3) & mask)
-        s1, s2 = self.seen1[self.at1], self.seen2[self.at2]
+        self.at1 = (self.one * 40503 >> 4 & mask) + self.base
+        self.at2 = ((self.one * 40503 ^ self.two * 30011 + self.two) >> 3 & mask) + self.base
+        s1, s2 = self.seen1.take(self.at1), self.seen2.take(self.at2)
         self.c1, self.c2 = s1 >> 3, s2 >> 3
         self.n1, self.n2 = s1 & 7, s2 & 7
-        self.p1, self.p2 = (self.lane << 4) + self.n1, (self.lane << 4) + 8 + self.n2
-        self.t1, self.t2 = STRETCH[self.right[self.p1] >> 4], STRETCH[self.right[self.p2] >> 4]
-        second = (self.c2 > 0) & ((self.t2 >= self.t1) | (self.c1 == 0))
-        self.cand = np.where(second, self.c2, self.c1)
-        self.t1 = np.where(self.c1 == self.cand, self.t1, -self.t1 >> 2)
-        self.t2 = np.where(self.c2 == self.cand, self.t2, np.where(self.c2 > 0, -self.t2 >> 2, 0))
-        mixed = (self.weights[0] * self.t1 + self.weights[1] * self.t2) >> 16
-        self.chance = np.where(self.cand > 0, SQUASH[np.clip(mixed, -3072, 3071) + 3072], 1)
-        return self.cand, self.chance
-
-    def update(self, ids: np.ndarray) -> None:
-        """Learns the ids that came."""
-        sym = ids + 1
-        err = np.where(sym == self.cand, 4095, 0) - self.chance
-        self.weights[0] += (self.t1 * err) >> 10
-        self.weights[1] += (self.t2 * err) >> 10
-        np.clip(self.weights, -(1 << 17), 1 << 17, out=self.weights)
-        for seen, at, c, n, p in ((self.seen1, self.at1, self.c1, self.n1, self.p1), (self.seen2, self.at2, self.c2, self.n2, self.p2)):
-            ok = sym == c
-            r = self.right[p]
-            self.right[p] = r + ((np.where(ok, 65535, 0) - r) >> 5)
-            seen[at] = (sym << 3) + np.where(ok, np.minimum(n + 1, 7), 0)
-        self.two, self.one = self.one, ids
-        self.count[self.lane, ids >> 8] += 24
+        second = self.c2 > 0
+        kind = np.where(second, np.where(self.c1 == self.c2, 0, 128), np.where(self.c1 > 0, 64, 192))
+        self.state = self.states + kind + (self.n1 << 3) + self.n2
+        return np.where(second, self.c2, self.c1), self.chances.take(self.state)
+
+    def update(self, x: np.ndarray) -> None:
+        """Learns the symbols that came."""
+        sym = x + 1
+        ok1, ok2, came = sym == self.c1, sym == self.c2, sym << 3
+        self.seen1[self.at1] = came + np.minimum(self.n1 + 1, 7) * ok1
+        self.seen2[self.at2] = came + np.minimum(self.n2 + 1, 7) * ok2
+        k = self.step % RENEW
+        self.ids[k], self.was[k], self.held1[k], self.held2[k] = x, self.state, ok1, ok2
+        self.two, self.one = self.one, x
         self.step += 1
         if self.step % RENEW == 0:
             self.renew()
 
-
-def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as equal rows of one block each (padded by 0), and how many of each count."""
-    n = -(-len(ids) // BLOCK)
-    rows = np.zeros(n * BLOCK, np.int32)
-    rows[: len(ids)] = ids
-    sizes = np.full(n, BLOCK)
-    if n:
-        sizes[-1] = len(ids) - BLOCK * (n - 1)
-    return rows.reshape(n, BLOCK), sizes
-
-
-def encode(ids: np.ndarray, vocab: int) -> tuple[list[bytes], list[int]]:
-    """Each block's payload, and the crc32 of its ids."""
-    rows, sizes = _blocks(ids)
-    n = len(rows)
-    if not n:
-        return [], []
-    m, cols = Mixer(n, (vocab + 255) >> 8), rows.T.copy()
+    def renew(self) -> None:
+        """Learns frequencies, probabilities and weights from the last RENEW ids."""
+        start, n, w = self.start, self.lanes, self.start.width
+        for recent, at in ((self.recent_high, self.ids // w + self.group), (self.recent_low, self.ids + self.group * w)):
+            recent += (np.bincount(at.ravel(), minlength=recent.size) * STEP).astype(np.int16).reshape(recent.shape)
+        self.high = cumulated(start.high + self.recent_high)
+        self.low = cumulated(start.low + self.recent_low).reshape(-1, w + 1)
+        for recent in (self.recent_high, self.recent_low):
+            recent -= recent >> FADE
+        count = lambda at: np.bincount(at.ravel(), minlength=n << 8).reshape(n, 4, 8, 8)
+        met, held1, held2 = count(self.was), count(self.was[self.held1]), count(self.was[self.held2])
+        for o, (held, axes) in enumerate(((held1, (1, 3)), (held2, (1, 2)))):
+            self.right[o] = (self.right[o].astype(np.int64) * 32 + 65535 * held.sum(axes)) // (32 + met.sum(axes))
+        hits = np.stack([held2[:, 0], held1[:, 1], held2[:, 2]])
+        err = hits * ONE - (met * self.chances.reshape(n, 4, 8, 8))[:, :3].swapaxes(0, 1)
+        for o in (0, 1):
+            self.weights[o] = np.clip(self.weights[o] + ((self.stretched[o] * err).sum((0, 2, 3)) >> 12), -(1 << 17), 1 << 17)
+        self.mix()
+
+
+def _encode(rows: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
+    """Big-endian words of each row of symbols, and how many of them count. Rows may end in padding."""
+    n, w, lane = len(rows), start.width, np.arange(len(rows))
+    m, cols = Mixer(n, start), np.ascontiguousarray(rows.T)
     low, span = np.zeros(n, np.uint64), np.full(n, 1 << 63, np.uint64)
-    out, pos, lane = np.zeros((n, 2 * BLOCK + 8), np.int32), np.ones(n, np.int64), np.arange(n)
-    for k in range(int(sizes.max())):
-        x = cols[k]
-        cand, chance = m.predict()
-        hit, high = cand == x + 1, x >> 8
-        f, rest = m.freq[lane, high].astype(np.int64), 4096 - chance.astype(np.int64)
-        start = np.where(hit, 0, (chance.astype(np.int64) << 20) + rest * (m.cum[lane, high] * 256 + (x & 255) * f)).astype(np.uint64)
-        size = np.where(hit, chance.astype(np.int64) << 20, rest * f).astype(np.uint64)
-        r = span >> U32
-        low += r * start
-        out[lane, pos - 1] += (low >> WINDOW).astype(np.int32)  # the carry
-        low &= LOW_MASK
-        span = r * size
-        while (short := np.flatnonzero(span < 1 << 47)).size:
-            out[short, pos[short]] = low[short] >> U47
-            pos[short] += 1
-            low[short] = low[short] << U16 & LOW_MASK
-            span[short] <<= U16
-        m.update(x)
+    out, pos = np.zeros((n, BLOCK), np.int32), np.ones(n, np.int64)
+    for j in range(0, len(cols), RENEW):
+        part = cols[j : j + RENEW]  # order 0 stands still here: its intervals are found at once
+        high = part // w
+        at = high + lane * (start.groups + 1)
+        begin, f = m.high.ravel().take(at).astype(np.int64), m.high.ravel().take(at + 1)
+        f = f - begin
+        at = (high + m.group) * np.int64(w + 1) + (part - high * w)
+        inner = m.low.ravel().take(at).astype(np.int64)
+        begin, f = (begin << 12) + inner * f, f * (m.low.ravel().take(at + 1) - inner)
+        if int(pos.max()) + 3 * RENEW + 8 > out.shape[1]:
+            out = np.concatenate([out, np.zeros_like(out)], 1)
+        for k, x in enumerate(part):
+            cand, chance = m.predict()
+            c, rest, hit = chance.astype(np.int64) << 24, ONE - chance, cand == x + 1
+            r = span >> U36
+            low += r * np.where(hit, 0, c + rest * begin[k]).view(np.uint64)
+            if (over := np.flatnonzero(low > LOW_MASK)).size:  # the carry
+                out[over, pos[over] - 1] += 1
+                low &= LOW_MASK
+            span = r * np.where(hit, c, rest * f[k]).view(np.uint64)
+            while (short := np.flatnonzero(span < 1 << 47)).size:
+                out[short, pos[short]] = low[short] >> U47
+                pos[short] += 1
+                low[short] = low[short] << U16 & LOW_MASK
+                span[short] <<= U16
+            m.update(x)
     for _ in range(4):
         out[lane, pos] = low >> U47
         low = low << U16 & LOW_MASK
@@ -176,54 +232,81 @@ def encode(ids: np.ndarray, vocab: int) -> tuple[list[bytes], list[int]]:
     while (over := out >> 16).any():
         out &= 0xFFFF
         out[:, :-1] += over[:, 1:]
-    words = out[:, 1:].astype(">u2")
-    return [words[i, : pos[i] - 1].tobytes() for i in range(n)], [zlib.crc32(rows[i, : sizes[i]].astype("<u4").tobytes()) for i in range(n)]
-
-
-def decode(payloads: list[bytes], total: int, crcs: list[int], vocab: int) -> np.ndarray:
-    """The ids of a segment's blocks; raises if a checksum differs."""
-    n = len(payloads)
-    if not n:
-        return np.zeros(0, np.int32)
-    m, lane = Mixer(n, (vocab + 255) >> 8), np.arange(n)
+    return out[:, 1:].astype(">u2"), pos - 1
+
+
+def encode(ids: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray, bytes]:
+    """Each block's payload, the crc32 of its ids, and the segment's header."""
+    alphabet, weights = header(ids)
+    start, place = Start(alphabet, weights), np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+    place[alphabet] = np.arange(len(alphabet))
+    payloads, crcs = [], []
+    for k in range(0, len(ids), BLOCK * start.lanes):
+        part = ids[k : k + BLOCK * start.lanes]
+        rows = np.zeros((-(-len(part) // BLOCK), BLOCK), np.int32)
+        rows.ravel()[: len(part)] = place[part]
+        words, size = _encode(rows[:, : min(BLOCK, len(part))], start)
+        payloads += [words[i, :n].tobytes() for i, n in enumerate(size.tolist())]
+        crcs += [zlib.crc32(part[i : i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(part), BLOCK)]
+    return payloads, crcs, alphabet, weights
+
+
+def _decode(payloads: list[bytes], steps: int, start: Start) -> np.ndarray:
+    """``steps`` symbols of each payload."""
+    n, w, lane = len(payloads), start.width, np.arange(len(payloads))
+    m, at_high, at_low = Mixer(n, start), lane * (start.groups + 1), lane * (w + 1)
     width = max(map(len, payloads)) // 2 + 8
-    words = np.zeros((n, width), np.uint64)
+    words = np.zeros((n, width), ">u2")
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, ">u2")
+    words = words.astype(np.uint16)
     code, span, pos = np.zeros(n, np.uint64), np.full(n, 1 << 63, np.uint64), np.full(n, 4)
     for k in range(4):  # 63 bits: the first word has 16, and the last lends 15
-        code = code << U16 | words[:, k]
+        code = code << U16 | words[:, k].astype(np.uint64)
+    left = code & np.uint64(1)  # the bit that is still to come
     code >>= np.uint64(1)
-    left = (words[:, 3] & np.uint64(1)).astype(np.uint64)  # the bit that is still to come
-    cols = np.zeros((min(BLOCK, total), n), np.int32)
-    for k in range(len(cols)):
+    out, top = np.zeros((steps, n), np.int32), np.uint64((1 << 36) - 1)
+    for k in range(steps):
         cand, chance = m.predict()
-        r = span >> U32
-        t = np.minimum(code // r, np.uint64((1 << 32) - 1)).astype(np.int64)
-        c, rest = chance.astype(np.int64) << 20, 4096 - chance.astype(np.int64)
+        r = span >> U36
+        t = np.minimum(code // r, top).view(np.int64)
+        c, rest = chance.astype(np.int64) << 24, ONE - chance
         hit = t < c
-        v = np.where(hit, 0, (t - c) // rest)
-        high = m.find(v >> 8)
-        f, before = m.freq[lane, high].astype(np.int64), m.cum[lane, high].astype(np.int64) << 8
-        byte = (v - before) // f
-        x = np.where(hit, cand - 1, (high << 8) + byte).astype(np.int32)
-        start = np.where(hit, 0, c + rest * (before + byte * f)).astype(np.uint64)
-        span = r * np.where(hit, c, rest * f).astype(np.uint64)
-        code -= r * start
+        v = np.where(hit, 0, t - c) // rest
+        high = (m.high[:, 1:] > (v >> 12)[:, None]).argmax(1)
+        at, flat = high + at_high, m.high.ravel()
+        begin = flat.take(at).astype(np.int64)
+        f = flat.take(at + 1) - begin
+        begin <<= 12
+        own = m.low.take(m.group + high, axis=0)
+        inside = (own[:, 1:] > ((v - begin) // f)[:, None]).argmax(1)
+        at, flat = at_low + inside, own.ravel()
+        inner = flat.take(at).astype(np.int64)
+        x = np.where(hit, cand - 1, high * w + inside).astype(np.int32)
+        code -= r * np.where(hit, 0, c + rest * (begin + inner * f)).view(np.uint64)
+        span = r * np.where(hit, c, rest * (f * (flat.take(at + 1) - inner))).view(np.uint64)
         while (short := np.flatnonzero(span < 1 << 47)).size:
-            w = words[short, np.minimum(pos[short], width - 1)]
-            code[short] = code[short] << U16 | left[short] << np.uint64(15) | w >> np.uint64(1)
-            left[short] = w & np.uint64(1)
+            word = words[short, np.minimum(pos[short], width - 1)].astype(np.uint64)
+            code[short] = code[short] << U16 | left[short] << np.uint64(15) | word >> np.uint64(1)
+            left[short] = word & np.uint64(1)
             pos[short] += 1
             span[short] <<= U16
-        cols[k] = x
+        out[k] = x
         m.update(x)
-    rows = cols.T
-    sizes = [min(BLOCK, total - BLOCK * i) for i in range(n)]
+    return out.T
+
+
+def decode(payloads: list[bytes], total: int, crcs: list[int], alphabet: list[int] | np.ndarray, weights: bytes) -> np.ndarray:
+    """The ids of a segment's blocks; raises if a checksum differs."""
+    start, out = Start(alphabet, weights), np.zeros(total, np.int32)
+    for k in range(0, len(payloads), start.lanes):
+        at = k * BLOCK
+        part = out[at : at + start.lanes * BLOCK]
+        part[:] = start.alphabet[_decode(payloads[k : k + start.lanes], min(BLOCK, len(part)), start)].ravel()[: len(part)]
     for i, want in enumerate(crcs):
-        if zlib.crc32(rows[i, : sizes[i]].astype("<u4").tobytes()) != want:
+        if zlib.crc32(out[BLOCK * i : BLOCK * (i + 1)].astype("<u4").tobytes()) != want:
             raise ValueError(f"block {i}: its checksum differs")
-    return np.ascontiguousarray(rows).ravel()[:total]
+    return out
 
 
 #: Unicode's White_Space, spelled out, and what str.split() takes besides.
@@ -346,7 +429,7 @@ def written(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text
     """Writes the token files of ``docs`` to ``path``."""
     kind = docs.schema[id_col].dataType
     long = T.LongType()
-    schema = T.StructType([T.StructField("part", long), T.StructField("segment", long), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(long)), T.StructField("vocab", long), T.StructField("sizes", T.ArrayType(long)), T.StructField("crcs", T.ArrayType(long)), T.StructField("payload", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", long), T.StructField("segment", long), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(long)), T.StructField("alphabet", T.ArrayType(T.IntegerType())), T.StructField("weights", T.BinaryType()), T.StructField("sizes", T.ArrayType(long)), T.StructField("crcs", T.ArrayType(long)), T.StructField("payload", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -355,8 +438,8 @@ def written(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text
         names, ids, size, part, segment = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            payloads, crcs = encode(np.concatenate(ids), enc.vocab)
-            row = [[part], [segment], [names], [[len(x) for x in ids]], [enc.vocab], [[len(x) for x in payloads]], [crcs], [b"".join(payloads)]]
+            payloads, crcs, alphabet, weights = encode(np.concatenate(ids))
+            row = [[part], [segment], [names], [[len(x) for x in ids]], [alphabet], [weights], [[len(x) for x in payloads]], [crcs], [b"".join(payloads)]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, kinds, strict=True)], schema=kinds)
 
         for b in batches:
@@ -388,7 +471,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for row in b.to_pylist():
                 cuts = np.cumsum([0, *row["sizes"]]).tolist()
                 payloads = [row["payload"][i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-                raw = decode(payloads, sum(row["lengths"]), row["crcs"], row["vocab"]).astype("<u4").tobytes()
+                raw = decode(payloads, sum(row["lengths"]), row["crcs"], row["alphabet"], row["weights"]).astype("<u4").tobytes()
                 ends = (4 * np.cumsum([0, *row["lengths"]])).tolist()
                 n = len(row["doc_ids"])
                 for k in range(0, n, 2000):
@@ -398,7 +481,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         ["part", "segment", "place", "doc_id", "ids"],
                     )
 
-    return files.select("part", "segment", "doc_ids", "lengths", "vocab", "sizes", "crcs", "payload").mapInArrow(run, f"part long, segment long, place long, doc_id {kind}, ids binary")
+    return files.select("part", "segment", "doc_ids", "lengths", "alphabet", "weights", "sizes", "crcs", "payload").mapInArrow(run, f"part long, segment long, place long, doc_id {kind}, ids binary")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:

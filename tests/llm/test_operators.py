@@ -54,17 +54,36 @@ def test_token_counts_are_the_librarys(spark):
 @given(st.lists(st.integers(0, 49407) | st.sampled_from([0, 1, 2, 49407]), max_size=300), st.integers(0, 3))
 def test_coder_round_trip(ids, times):
     x = np.array(ids * (1 + 10 * times), np.int32)
-    payloads, crcs = token_files.encode(x, 49408)
-    assert (token_files.decode(payloads, len(x), crcs, 49408) == x).all()
+    payloads, crcs, *head = token_files.encode(x)
+    assert (token_files.decode(payloads, len(x), crcs, *head) == x).all()
 
 
 def test_coder_detects_damage_and_decodes_blocks_alone():
     x = np.random.default_rng(1).integers(0, 900, 3 * token_files.BLOCK).astype(np.int32)
-    payloads, crcs = token_files.encode(x, 49408)
-    assert (token_files.decode(payloads[1:2], token_files.BLOCK, crcs[1:2], 49408) == x[token_files.BLOCK : 2 * token_files.BLOCK]).all()
+    payloads, crcs, *head = token_files.encode(x)
+    assert (token_files.decode(payloads[1:2], token_files.BLOCK, crcs[1:2], *head) == x[token_files.BLOCK : 2 * token_files.BLOCK]).all()
     bad = [payloads[0][:50] + bytes([payloads[0][50] ^ 1]) + payloads[0][51:], *payloads[1:]]
     with pytest.raises(ValueError, match="block 0"):
-        token_files.decode(bad, len(x), crcs, 49408)
+        token_files.decode(bad, len(x), crcs, *head)
+
+
+def test_coder_in_groups_of_blocks_and_of_a_wide_alphabet(monkeypatch):
+    monkeypatch.setattr(token_files, "PLACES", 1 << 17)
+    x = np.concatenate([np.random.default_rng(2).integers(0, 49_408, 40 * token_files.BLOCK), np.zeros(3000), np.arange(49_408)]).astype(np.int32)
+    payloads, crcs, *head = token_files.encode(x)
+    assert token_files.Start(*head).lanes == 16 < len(payloads)
+    assert (token_files.decode(payloads, len(x), crcs, *head) == x).all()
+
+
+def test_coder_beats_the_ids_own_entropy(spark):
+    """With its header, on the ids of a whole table: less than order 0 knows of them, and than zlib makes of them."""
+    enc = token_files.Encoder(WORD_BPE)
+    ids = np.concatenate([np.append(x, 2) for x in enc.encode([r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()])]).astype(np.int32)
+    payloads, _, alphabet, weights = token_files.encode(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    size = sum(map(len, payloads)) + 2 * len(alphabet) + len(weights)
+    assert 8 * size < 0.97 * len(ids) * -(share * np.log2(share)).sum()
+    assert size < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
 
 
 def test_token_files_read_back(spark):
