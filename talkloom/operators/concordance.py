@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions import rules
-from talkloom.functions.passages import citations, opening_sentences, parsed, pruned, refs, specific_first
+from talkloom.functions.passages import citation_counts, citations, opening_sentences, parsed, pruned, refs, specific_first
 from talkloom.functions.text import appended, casefold, let, unique_values
 from talkloom.operators.records import SCOPE, gap_flags
 
@@ -35,12 +35,11 @@ def counted(records: DataFrame, verses: dict | None = None) -> DataFrame:
     """``mentioned_refs`` and ``ref_counts`` from series, title, primary references and text."""
     part = lambda c: F.nullif(F.col(c), F.lit(""))
     text = F.concat_ws("\n", part("series"), part("title"), F.nullif(F.array_join("primary_refs", " "), F.lit("")), part("transcript_text"))
-    r = records.withColumn("_found", refs(citations(text, verses=verses)))
-    mentioned = unique_values("primary_refs", "_found")
-    number = lambda found, x: F.size(F.filter(found, lambda y: y == x))
-    both = F.struct(F.col("_found").alias("found"), F.col("mentioned_refs").alias("refs"))  # bound outside: an Arrow helper can't stand in a lambda
-    counts = let(both, lambda b: F.transform(b["refs"], lambda x: F.greatest(number(b["found"], x), F.lit(1)).cast("int")))
-    return r.withColumn("mentioned_refs", mentioned).withColumn("ref_counts", F.map_from_arrays("mentioned_refs", counts)).drop("_found")
+    r = records.withColumn("_found", citation_counts(text, verses))
+    r = r.withColumn("mentioned_refs", unique_values("primary_refs", refs("_found")))
+    counts = F.map_from_arrays(refs("_found"), F.transform("_found", lambda x: x["n"]))
+    counts = let(F.struct(counts.alias("n"), F.col("mentioned_refs").alias("refs")), lambda b: F.map_from_arrays(b["refs"], F.transform(b["refs"], lambda x: F.coalesce(F.try_element_at(b["n"], x), F.lit(1)))))
+    return r.withColumn("ref_counts", counts).drop("_found")
 
 
 def entries(records: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
@@ -53,9 +52,9 @@ def entries(records: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
 
 
 def totals(found: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
-    """records, mentions, primary_records, first_date, latest_date by reference."""
+    """records, mentions, primary_records, first_date, latest_date by reference, of :func:`entries` (a row for each record and reference)."""
     date = F.nullif("date", F.lit(""))
-    return found.groupBy(*scope, "ref").agg(F.countDistinct("record_id").alias("records"), F.sum("mentions").alias("mentions"), F.sum(F.col("is_primary").cast("long")).alias("primary_records"), F.min(date).alias("first_date"), F.max(date).alias("latest_date"))
+    return found.groupBy(*scope, "ref").agg(F.count("*").alias("records"), F.sum("mentions").alias("mentions"), F.sum(F.col("is_primary").cast("long")).alias("primary_records"), F.min(date).alias("first_date"), F.max(date).alias("latest_date"))
 
 
 def flagged(total: DataFrame) -> DataFrame:

@@ -188,12 +188,12 @@ def passages(records: DataFrame, aliases: dict | None = None) -> DataFrame:
 
 def first_citations(c: str) -> Column:
     """The first reference in each value of an array; null where there is none."""
-    from talkloom.functions.passages import Finder
+    from talkloom.functions.passages import Reader
 
     @F.pandas_udf("array<string>")
     def find(values: pd.Series) -> pd.Series:
-        f = Finder()
-        return values.map(lambda vs: None if vs is None else [next((x[0] for x in f.find(v)), None) for v in vs])
+        f = Reader()
+        return values.map(lambda vs: None if vs is None else [next((x.ref for x in f.citations(v)), None) for v in vs])
 
     return find.asNondeterministic()(F.col(c))
 

@@ -27,7 +27,7 @@ def test_query_runs(spark, name):
 
 
 def found(t, alone=True):
-    return [x[0] for x in passages.Finder().find(t, alone)]
+    return [x.ref for x in passages.Reader().citations(t, alone)]
 
 
 def test_citations():
@@ -37,7 +37,7 @@ def test_citations():
     assert found("Turn to John") == ["John"] and found("Turn to John", False) == []
     assert found("Romans 5. Then chapter 6 and verse 3-5.") == ["Romans 5", "Romans 6", "Romans 6:3-5"]
     assert len(rules.BOOKS) == 66 and sum(rules.BOOKS.values()) == 1189
-    assert [x[0] for x in passages.Finder({("Revelation", 7): 17}).find("Revelation 7:30")] == []
+    assert passages.Reader({("Revelation", 7): 17}).citations("Revelation 7:30") == []
 
 
 def rec(spark, rows, schema):
