@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,41 +13,70 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import rules
 from talkloom.functions.text import appended, blank_to_null, unique_values
+from talkloom.operators.records import SCOPE
 
 RESULT = "summary string, generated_summary string, themes array<string>, topics array<string>, related_sermons array<string>, questionable_claims array<string>, skipped boolean"
 
 
-def enrich(records: DataFrame, summarise: Callable[[dict], object], columns: list[str] | None = None) -> DataFrame:
-    """record_id, outcome (ok, empty, failed), output: ``summarise`` called for each record with its fields.
+def enrich(records: DataFrame, summarise: Callable[[dict], object], columns: list[str] | None = None, scope: list[str] = SCOPE, timeout: float = 180.0, workers: int = 1) -> DataFrame:
+    """scope, record_id, outcome (ok, empty, failed, timed out), output: ``summarise`` called for each record with its fields.
 
-    It may return text, or a mapping that becomes JSON; what it raises becomes the outcome of that record alone.
+    It may return text, or a mapping that becomes JSON; what it raises becomes the
+    outcome of that record alone, as does a call of more than ``timeout`` seconds.
+    A task makes ``workers`` calls at a time (16 at most), each of which waits no
+    longer than that; calls that never end keep a thread until the task ends.
     """
+    workers = max(1, min(16, workers))
     columns = columns or ["record_id", "title", "date", "speaker", "series", "primary_refs", "transcript_text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for name, payload in zip(b["record_id"], b["payload"], strict=True):
-                try:
-                    got = summarise(json.loads(payload))
-                    got = got if isinstance(got, str) or got is None else json.dumps(got)
-                    out.append((name, "ok" if got and got.strip() else "empty", got))
-                except Exception as e:  # noqa: BLE001 - a caller's code: its failure belongs to the record
-                    out.append((name, "failed", str(e)))
-            yield pd.DataFrame(out, columns=["record_id", "outcome", "output"])
+            done = []
+            for k in range(0, len(b), workers):
+                running = [_started(summarise, p) for p in b["payload"][k : k + workers]]
+                until = time.monotonic() + timeout
+                done += [_outcome(x, until) for x in running]
+            yield b[[*scope, "record_id"]].assign(outcome=[x[0] for x in done], output=[x[1] for x in done])
 
-    return records.select("record_id", F.to_json(F.struct(*columns)).alias("payload")).mapInPandas(run, "record_id string, outcome string, output string")
+    kinds = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in scope)
+    return records.select(*scope, "record_id", F.to_json(F.struct(*columns)).alias("payload")).mapInPandas(run, ", ".join([*([kinds] if kinds else []), "record_id string, outcome string, output string"]))
 
 
-def merged(records: DataFrame, results: DataFrame) -> DataFrame:
-    """Records with their results: JSON fields or plain text; ``skipped`` leaves a record as it is, failures flag it."""
+def _started(summarise: Callable[[dict], object], payload: str) -> tuple[threading.Thread, list]:
+    """The call in a thread of its own, and where its outcome will stand."""
+    told: list = []
+
+    def call() -> None:
+        try:
+            got = summarise(json.loads(payload))
+            got = got if isinstance(got, str) or got is None else json.dumps(got)
+            told.append(("ok" if got and got.strip() else "empty", got))
+        except Exception as e:  # noqa: BLE001 - a caller's code: its failure belongs to the record
+            told.append(("failed", str(e)))
+
+    thread = threading.Thread(target=call, daemon=True)
+    thread.start()
+    return thread, told
+
+
+def _outcome(running: tuple[threading.Thread, list], until: float) -> tuple[str, str | None]:
+    thread, told = running
+    thread.join(max(0.0, until - time.monotonic()))
+    return told[0] if told else ("timed out", None)
+
+
+def merged(records: DataFrame, results: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    """Records with their results of the same scope and id: JSON fields or plain text; ``skipped`` leaves a record as it is, failures flag it."""
     r = results.withColumn("_j", F.from_json("output", RESULT, {"mode": "PERMISSIVE"}))
-    r = r.withColumn("_json", F.col("output").rlike(r"(?s)^\s*\{.*\}\s*$")).select(F.col("record_id").alias("_id"), "outcome", "output", "_j", "_json")
-    x = records.join(r, F.col("record_id") == F.col("_id"), "left")
+    r = r.withColumn("_json", F.col("output").rlike(r"(?s)^\s*\{.*\}\s*$")).select(*[F.col(c).alias(f"_{c}") for c in (*scope, "record_id")], "outcome", "output", "_j", "_json")
+    same = F.col("record_id") == F.col("_record_id")
+    for c in scope:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    x = records.join(r, same, "left")
     done = F.coalesce((F.col("outcome") == "ok") & ~(F.col("_json") & F.coalesce(F.col("_j.skipped"), F.lit(False))), F.lit(False))
     text = F.when(F.col("_json"), F.coalesce(blank_to_null("_j.summary"), blank_to_null("_j.generated_summary"))).otherwise(blank_to_null("output"))
     union = lambda c, f: F.when(done & F.col("_json"), unique_values(c, f"_j.{f}")).otherwise(F.col(c))
-    bad = F.coalesce(F.col("outcome").isin("failed", "empty"), F.lit(False))
+    bad = F.coalesce(F.col("outcome").isin("failed", "empty", "timed out"), F.lit(False))
     flags = F.when(done, appended(F.col("review_flags"), F.lit(rules.EXTERNAL_FLAG))).when(bad, appended(F.col("review_flags"), F.concat(F.lit("External summary "), F.col("outcome"), F.lit(".")))).otherwise(F.col("review_flags"))
     return x.withColumns(
         {
@@ -53,4 +84,4 @@ def merged(records: DataFrame, results: DataFrame) -> DataFrame:
             "questionable_claims": union("questionable_claims", "questionable_claims"), "review_flags": flags,
             "summary_status": F.when(done, "ai_generated_review_required").otherwise(F.col("summary_status")), "summary_source": F.when(done, "external_command").otherwise(F.col("summary_source")),
         }
-    ).drop("_id", "outcome", "output", "_j", "_json")
+    ).drop(*[f"_{c}" for c in (*scope, "record_id")], "outcome", "output", "_j", "_json")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions.text import casefold, slugify
+from talkloom.operators.positions import running_total
 from talkloom.operators.records import SCOPE, chronological
+from talkloom.operators.storage import stored
 
 
 def entity_index(records: DataFrame, keys: Column, scope: list[str] = SCOPE) -> DataFrame:
@@ -41,17 +43,30 @@ def preview(records: DataFrame, most: int = 25) -> DataFrame:
 
 def unique_paths(records: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """``path``: each record's page address; repeats get -2, -3 and so on in chronological order."""
-    slug = slugify(F.concat_ws(" ", "date", "title"))
-    w = Window.partitionBy(*scope, "slug").orderBy(*chronological(), "record_id")
-    n = F.row_number().over(w)
-    return records.withColumn("slug", slug).withColumn("path", F.when(n == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", n))).drop("slug")
+    r = records.withColumn("slug", slugify(F.concat_ws(" ", "date", "title")))
+    narrow = numbered(r.select(*scope, "slug", "record_id", "date", "title"), [*scope, "slug"], [*chronological(), F.col("record_id")])
+    path = F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "n"))
+    return records.join(narrow.select(*scope, "record_id", path.alias("path")), [*scope, "record_id"])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Adds ``n``: the place of each row among those of equal ``by``, from 1.
+
+    All rows are put in one order by ranges, so that a popular value fills as many
+    tasks as it needs; only each value's first place is looked up.
+    """
+    placed = stored(running_total(df, F.lit(1), [*map(F.col, by), *order], "_at"), "placed")
+    first = placed.groupBy(*by).agg(F.min("_at").alias("_first")).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return placed.join(first, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias("n"))
 
 
 def group_lists(records: DataFrame, keys: Column, scope: list[str] = SCOPE, chunk: int = 1000) -> DataFrame:
-    """Pages of at most ``chunk`` entries by name: ordered structs of date, title and id, so that no popular name meets in one row."""
+    """Pages of at most ``chunk`` entries by name: ordered structs of date, title and id, so that no popular name meets in one row or task."""
     order = [*chronological(), F.col("record_id")]
     named = records.select(*scope, "record_id", "title", "date", F.explode(keys).alias("name")).where("name <> ''")
-    n = F.row_number().over(Window.partitionBy(*scope, "name").orderBy(*order))
-    paged = named.withColumn("n", n).withColumn("page", F.floor((F.col("n") - 1) / chunk))
+    paged = numbered(named, [*scope, "name"], order).withColumn("page", F.floor((F.col("n") - 1) / chunk))
     entry = F.struct("n", "date", "title", "record_id")
     return paged.groupBy(*scope, "name", "page").agg(F.array_sort(F.collect_list(entry)).alias("entries"))

@@ -6,7 +6,7 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from talkloom.functions import rules
 from talkloom.functions.passages import _book_of, citations, refs
 from talkloom.functions.text import appended, casefold, col, let, normalized_key, normalized_value, unique_values
 from talkloom.operators.records import SCOPE
+from talkloom.operators.storage import stored
 
 #: Rule tables are given by hand; past this many entries they are joined, not looked up in the plan.
 INLINE_RULES = 1000
@@ -94,17 +95,25 @@ def speakers(records: DataFrame, aliases: dict | None = None, ignored: list[str]
 
 
 def _annual(key: Column, date: Column, rule: dict, need_week: bool) -> Column:
-    """The rule's series for a text's key; null where it doesn't match."""
-    out = []
+    """The rule's series for a text's key; null where it doesn't match.
+
+    Each alias is looked for among the key's words: it stands there as it is, or
+    its last word is followed by two to four digits. The year is the key's first
+    year, else two digits right behind an alias, else the date's.
+    """
+    words = F.split(key, " ")
+    year = F.get(F.filter(words, lambda w: w.rlike("^(?:19|20)[0-9]{2}$")), F.lit(0))
+    dated = F.when(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.left(date, F.lit(4)))
+    found = []
     for alias in map(_plain_key, rule["aliases"]):
-        a = re.escape(alias)
-        full, short = F.regexp_extract(key, r"\b(19\d{2}|20\d{2})\b", 1), F.regexp_extract(key, rf"(?:^|\s){a}\s*(\d{{2}})(?:$|\s)", 1)
-        year = F.when(full != "", full).when(short != "", F.concat(F.lit("20"), short)).otherwise(F.nullif(F.regexp_extract(F.coalesce(date, F.lit("")), r"^(\d{4})-\d{2}-\d{2}$", 1), F.lit("")))
-        hit = key.rlike(rf"(?:^|\s){a}(?:$|\s|\d{{2,4}})")
-        if need_week:
-            hit &= F.array_contains(F.split(key, " "), "week")
-        out.append(F.when(hit & year.isNotNull(), F.replace(F.lit(rule["canonical"]), F.lit("{year}"), year)))
-    return F.coalesce(*out) if out else F.lit(None).cast("string")
+        behind = F.filter(F.split(F.concat(F.lit(" "), key, F.lit(" ")), f" {re.escape(alias)}(?=[ 0-9])"), lambda part, i: i > 0)
+        digits = F.transform(behind, lambda part: F.regexp_extract(part, "^[0-9]*", 0))
+        stands = F.exists(digits, lambda d: F.length(d) != 1)
+        short = F.get(F.filter(F.transform(behind, lambda part: F.regexp_extract(part, "^ ?([0-9]{2}) ", 1)), lambda d: d != ""), F.lit(0))
+        of = F.coalesce(year, F.concat(F.lit("20"), short), dated)
+        found.append(F.when(stands & of.isNotNull(), F.replace(F.lit(rule["canonical"]), F.lit("{year}"), of)))
+    out = F.coalesce(*found) if found else F.lit(None).cast("string")
+    return F.when(F.array_contains(words, "week"), out) if need_week else out
 
 
 def _first(choices: list[tuple[Column, str, bool]]) -> Column:
@@ -223,8 +232,11 @@ def near_duplicate_names(records: DataFrame, column: str, scope: list[str] = SCO
     """scope, value, replacement, n_value, n_replacement: pairs of distinct names that may be one.
 
     Names of two words or more with an equal first word are compared by their
-    last words; others whole. Only names that share a first word, or three
-    letters in a row with lengths that could reach the ratio, are compared.
+    last words; others whole. Only names of lengths that could reach the ratio
+    are compared, and of those without a common first word only the ones that
+    share one of their rarest three letters in a row: as a difference of one
+    letter touches three of these at most, the rarest three for each letter that
+    may differ, and one more, must hold a common one.
     """
     counts = records.where(F.col(column) != "").groupBy(*scope, F.col(column).alias("value")).agg(F.count("*").alias("n"))
     v = counts.withColumns({"key": normalized_key("value"), "fold": casefold("value")}).where("key <> ''").withColumn("words", F.split("key", " "))
@@ -234,11 +246,21 @@ def near_duplicate_names(records: DataFrame, column: str, scope: list[str] = SCO
     # the first words' rows are dealt by salt on one side and repeated on the other
     left = a.where("many_a").withColumn("salt", F.pmod(F.xxhash64("value_a"), F.lit(salts)))
     right = b.where("many_b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    same_first = left.join(right, [F.col("first_a") == F.col("first_b"), left["salt"] == right["salt"], *[left[s].eqNullSafe(right[s]) for s in scope]]).where(ordered)
+    long_enough = lambda x, y, r: F.least(F.length(x), F.length(y)) * 2 >= r * (F.length(x) + F.length(y))
+    same_first = left.join(right, [F.col("first_a") == F.col("first_b"), left["salt"] == right["salt"], *[left[s].eqNullSafe(right[s]) for s in scope]]).where(ordered & long_enough("last_a", "last_b", last))
     same_first = same_first.select(*[left[s].alias(s) for s in scope], "value_a", "n_a", "value_b", "n_b", F.col("last_a").alias("x"), F.col("last_b").alias("y"), F.lit(last).alias("least"))
     grams = lambda k: F.array_distinct(F.when(F.length(k) < 4, F.array(F.col(k))).otherwise(F.transform(F.sequence(F.lit(1), F.length(k) - 2), lambda i: F.substring(F.col(k), i, F.lit(3)))))
-    ga, gb = a.withColumn("g", F.explode(grams("key_a"))), b.withColumn("g", F.explode(grams("key_b")))
-    fits = (F.least(F.length("key_a"), F.length("key_b")) * 2 >= whole * (F.length("key_a") + F.length("key_b"))) & ~(F.col("many_a") & F.col("many_b") & (F.col("first_a") == F.col("first_b")))
+    every = v.select(*scope, "value", "key", F.explode(grams("key")).alias("g"))
+    often = every.groupBy(*scope, "g").agg(F.count("*").alias("often")).withColumnsRenamed({c: f"_{c}" for c in (*scope, "g")})
+    met = F.col("g") == F.col("_g")
+    for c in scope:
+        met &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rarity = F.row_number().over(Window.partitionBy(*scope, "value").orderBy("often", "g"))
+    may_differ = F.floor((1 - whole) * F.length("key") * (1 + (2 - whole) / whole) + F.lit(1e-9))  # letters of both names together, at most
+    rare = stored(every.join(often, met).withColumn("k", rarity).where((F.col("k") <= 3 * may_differ + 1) | (F.length("key") < 7)).select(*scope, "value", "g"), "grams")
+    with_grams = lambda side: rare.select(*[F.col(c).alias(f"_{c}") for c in (*scope, "value")], "g").join(side, [F.col("_value") == side[f"value_{'a' if side is a else 'b'}"], *[F.col(f"_{c}").eqNullSafe(side[c]) for c in scope]]).drop(*[f"_{c}" for c in (*scope, "value")])
+    ga, gb = with_grams(a), with_grams(b)
+    fits = long_enough("key_a", "key_b", whole) & ~(F.col("many_a") & F.col("many_b") & (F.col("first_a") == F.col("first_b")))
     shared = ga.join(gb, [ga["g"] == gb["g"], *[ga[s].eqNullSafe(gb[s]) for s in scope]]).where(ordered & fits)
     shared = shared.select(*[ga[s].alias(s) for s in scope], "value_a", "n_a", "value_b", "n_b", F.col("key_a").alias("x"), F.col("key_b").alias("y"), F.lit(whole).alias("least")).distinct()
     return same_first.unionByName(shared).where(ratio("x", "y") >= F.col("least")).select(*scope, F.col("value_a").alias("value"), F.col("value_b").alias("replacement"), F.col("n_a").alias("n_value"), F.col("n_b").alias("n_replacement"))

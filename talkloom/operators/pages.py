@@ -47,5 +47,5 @@ def passage_rows(total: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, form: str = "parquet", by: str = "archive_id") -> None:
-    """Replaces only the archives that are in ``pages``."""
-    pages.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)
+    """Replaces only the archives that are in ``pages``; a large archive is dealt to several tasks."""
+    pages.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)

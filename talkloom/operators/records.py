@@ -21,7 +21,7 @@ SCHEMA = T.StructType(
         T.StructField("questionable_claims", _L), T.StructField("review_flags", _L), T.StructField("extra", T.MapType(_S, _S)),
     ]
 )
-RAW = T.StructType([*SCHEMA.fields, T.StructField("source_kind", _S), T.StructField("source_rank", T.IntegerType()), T.StructField("source_ord", T.LongType())])
+RAW = T.StructType([*SCHEMA.fields, T.StructField("source_kind", _S), T.StructField("source_rank", T.IntegerType()), T.StructField("source_ord", _S)])
 SCOPE = ["archive_id"]
 #: Flags that a merged text resolves.
 RESOLVED = ["Audio file found; add transcript or run a separate transcription workflow.", "Catalog says a transcript exists, but no local transcript file/text was provided.", "HTML transcript file did not contain extractable transcript text."]

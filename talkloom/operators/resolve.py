@@ -4,16 +4,18 @@
 link; folded records may gain keys, so linking repeats until nothing changes.
 It doesn't depend on order. ``mode="ordered"`` replays a sequential pass (the
 first known key decides) inside coarse components, on five narrow columns. Texts
-move once, in the fold.
+move once, in the fold, and only those that stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.functions.text import slugify, unique_values
+from talkloom.functions.text import casefold, slugify, stripped
 from talkloom.operators.components import components
 from talkloom.operators.records import SCOPE, unresolved_flags
 from talkloom.operators.storage import stored
@@ -39,12 +41,20 @@ def record_keys(keys: tuple[str, ...] = KEYS) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
 
 
+def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str]) -> DataFrame:
+    """raw_id, first: every row with the first row of each of its keys; a null scope is one of its own."""
+    f = first.withColumnsRenamed({c: f"_{c}" for c in (*scope, "key")})
+    same = F.col("key") == F.col("_key")
+    for c in scope:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return keyed.join(f, same).select("raw_id", "first")
+
+
 def _linked(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
     """raw_id, group_id of narrow records that share any key, transitively."""
     keyed = narrow.select(*scope, "raw_id", F.explode(record_keys(keys)).alias("key"))
     first = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"))
-    links = keyed.join(first, [*scope, "key"]).select("raw_id", "first")
-    found = components(links, "raw_id", "first")
+    found = components(_same_keys(keyed, first, scope), "raw_id", "first")
     return narrow.select("raw_id").join(found.withColumnRenamed("node", "raw_id"), "raw_id", "left").select("raw_id", F.coalesce("component", "raw_id").alias("group_id"))
 
 
@@ -62,87 +72,94 @@ def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS,
     raise RuntimeError(f"{most_rounds} rounds of folding did not settle the groups")
 
 
-def link_in_order(raw: DataFrame, scope: list[str] = SCOPE, most_rows: int = 100_000) -> DataFrame:
+def link_in_order(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """raw_id, group_id by the sequential rule: the first of a record's keys that is known picks its group.
 
-    All its keys and the merged record's then name that group. Components of more
-    than ``most_rows`` records raise.
+    All its keys and the merged record's then name that group. A component's
+    narrow rows stream by in order; a task keeps its key names alone, so a
+    component may have any number of records.
     """
     slug = F.when(F.coalesce(F.col("title"), F.lit("")) != "", slugify("title"))
     coarse = F.array_compact(F.array(F.concat(F.lit("i:"), F.col("video_id")), F.concat(F.lit("u:"), F.col("video_url")), F.concat(F.lit("d:"), F.col("date")), F.concat(F.lit("t:"), slug)))
     narrow = stored(raw.select(*scope, "raw_id", "title", "date", "video_url", "video_id", slug.alias("slug")), "narrow")
     keyed = narrow.select(*scope, "raw_id", F.explode(F.when(F.size(coarse) > 0, coarse).otherwise(F.array(F.lit("unknown")))).alias("key"))
     first = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"))
-    parts = components(keyed.join(first, [*scope, "key"]), "raw_id", "first").withColumnRenamed("node", "raw_id")
+    parts = components(_same_keys(keyed, first, scope), "raw_id", "first").withColumnRenamed("node", "raw_id")
     placed = narrow.join(parts, "raw_id", "left").withColumn("component", F.coalesce("component", "raw_id"))
     kind = raw.schema["raw_id"].dataType.simpleString()
 
-    def replay(group: pa.Table) -> pa.Table:
-        if group.num_rows > most_rows:
-            raise ValueError(f"a component has {group.num_rows} records; the most is {most_rows}")
-        merged: dict[int, dict] = {}
-        known: dict[str, int] = {}
-        out = []
-
-        def names(r: dict) -> list[str]:
-            date, slug = r["date"], r["slug"]
-            found = [f"i:{r['video_id']}" if r["video_id"] else "", f"u:{r['video_url']}" if r["video_url"] else ""]
-            found += [f"dt:{date}:{slug}", f"yt:{date[:4]}:{slug}"] if date and slug else []
-            found += [f"d:{date}"] if date else [f"t:{slug}"] if slug else []
-            return [x for x in found if x] or ["unknown"]
-
-        for r in sorted(group.to_pylist(), key=lambda r: r["raw_id"]):
-            own = names(r)
-            home = next((known[k] for k in own if k in known), None)
-            if home is None:
-                home = r["raw_id"]
-                merged[home] = r
-            else:
-                for c in ("title", "slug", "date", "video_url", "video_id"):
-                    merged[home][c] = merged[home][c] or r[c]
-            known.update(dict.fromkeys([*own, *names(merged[home])], home))
-            out.append((r["raw_id"], home))
-        return pa.table({"raw_id": [x[0] for x in out], "group_id": [x[1] for x in out]}, schema=pa.schema([("raw_id", group.schema.field("raw_id").type), ("group_id", group.schema.field("raw_id").type)]))
-
-    columns = ["component", "raw_id", "title", "slug", "date", "video_url", "video_id"]
-    return placed.select(*columns).groupBy("component").applyInArrow(replay, f"raw_id {kind}, group_id {kind}")
+    def names(date: str | None, slug: str | None, url: str | None, video: str | None) -> list[str]:
+        found = [f"i:{video}" if video else "", f"u:{url}" if url else ""]
+        found += [f"dt:{date}:{slug}", f"yt:{date[:4]}:{slug}"] if date and slug else []
+        found += [f"d:{date}"] if date else [f"t:{slug}"] if slug else []
+        return [x for x in found if x] or ["unknown"]
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known, merged = None, {}, {}
+        for b in batches:
+            homes = []
+            for component, raw_id, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if component != now:
+                    now, known, merged = component, {}, {}
+                keys = names(*own)
+                home = next((known[k] for k in keys if k in known), raw_id)
+                merged[home] = [a or c for a, c in zip(merged[home], own, strict=True)] if home in merged else own
+                known.update(dict.fromkeys([*keys, *names(*merged[home])], home))
+                homes.append(home)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(homes, b.schema.field(1).type)], ["raw_id", "group_id"])
+
+    ordered = placed.repartition("component").sortWithinPartitions("component", "raw_id").select("component", "raw_id", "date", "slug", "video_url", "video_id")
+    return ordered.mapInArrow(replay, f"raw_id {kind}, group_id {kind}")
 
 
 def fold(raw: DataFrame, member: DataFrame) -> DataFrame:
     """One record for each group, in source order: first non-blank scalars, ordered unions of lists, sums of counts.
 
     Text and status come together from the first row with a text, else the first
-    status that isn't missing; the last non-blank extra of each key stays.
+    status that isn't missing; the last non-blank extra of each key stays. List
+    values, counts and extras are merged by value before a group gathers them, so
+    it gathers different ones only; of the texts only those that stay are moved.
     """
-    r = raw.join(member, "raw_id")
     filled = lambda c: F.col(c).isNotNull() if c == "duration_seconds" else F.coalesce(F.col(c), F.lit("")) != ""
-    scalars = [F.min_by(c, F.when(filled(c), F.col("raw_id"))).alias(c) for c in _SCALARS]
-    lists = [F.array_sort(F.collect_list(F.struct("raw_id", F.col(c).alias("v")))).alias(f"_{c}") for c in _LISTS]  # a group is the rows of one talk
-    texts = F.min_by(F.struct("transcript_text", "transcript_status"), F.when(filled("transcript_text"), F.col("raw_id"))).alias("_text")
-    status = F.min_by("transcript_status", F.when(F.coalesce(F.col("transcript_status"), F.lit("missing")) != "missing", F.col("raw_id"))).alias("_status")
-    maps = [F.array_sort(F.collect_list(F.struct("raw_id", F.map_entries("ref_counts").alias("v")))).alias("_counts"), F.array_sort(F.collect_list(F.struct("raw_id", F.map_entries("extra").alias("v")))).alias("_extra")]
-    g = r.groupBy("archive_id", "group_id").agg(*scalars, *lists, texts, status, F.count("*").alias("n_sources"), *maps)
-    flat = lambda c: F.flatten(F.filter(F.transform(c, lambda x: x["v"]), lambda v: v.isNotNull()))
-    names = lambda c: F.array_distinct(F.transform(flat(c), lambda e: e["key"]))
-    total = lambda k: F.aggregate(F.filter(flat("_counts"), lambda e: e["key"] == k), F.lit(0), lambda a, e: a + e["value"])
-    last = lambda k: F.element_at(F.filter(flat("_extra"), lambda e: (e["key"] == k) & (F.coalesce(e["value"], F.lit("")) != "")), -1)["value"]
-    kept = F.array_distinct(F.transform(F.filter(flat("_extra"), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: e["key"]))
-    out = g.select(
-        "archive_id", "group_id", "n_sources", *_SCALARS, *[unique_values(flat(f"_{c}")).alias(c) for c in _LISTS],
-        F.col("_text.transcript_text").alias("transcript_text"), F.coalesce("_text.transcript_status", "_status", F.lit("missing")).alias("transcript_status"),
-        F.map_from_arrays(names("_counts"), F.transform(names("_counts"), total)).alias("ref_counts"), F.map_from_arrays(kept, F.transform(kept, last)).alias("extra"),
+    narrow = raw.withColumn("_texted", filled("transcript_text")).drop("transcript_text")
+    r = stored(narrow.join(member, "raw_id"), "folding")
+    at = lambda *cond: F.when(cond[0], F.col("raw_id")) if cond else F.col("raw_id")
+    g = r.groupBy("archive_id", "group_id").agg(
+        *[F.min_by(c, at(filled(c))).alias(c) for c in _SCALARS], F.min(at(F.col("_texted"))).alias("_text_of"), F.min_by("transcript_status", at(F.col("_texted"))).alias("_texted_status"),
+        F.min_by("transcript_status", at(F.coalesce("transcript_status", F.lit("missing")) != "missing")).alias("_status"), F.count("*").alias("n_sources"),
+    )
+    entry = lambda kind, key, value, n, place: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), n.alias("n"), place.alias("place"))
+    none = F.lit(None).cast("int")
+    listed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: entry(c, casefold(stripped(x)), stripped(x), none, i))
+    pairs = lambda c, n: F.transform(F.coalesce(F.map_entries(c), F.array().cast(f"array<struct<key:string,value:{n}>>")), lambda e, i: entry(c, e["key"], e["value"].cast("string"), e["value"].cast("int") if n == "int" else none, i))
+    every = r.select("archive_id", "group_id", "raw_id", F.explode(F.concat(*map(listed, _LISTS), pairs("ref_counts", "int"), pairs("extra", "string"))).alias("e")).where(F.coalesce("e.key", F.lit("")) != "").where((F.col("e.kind") != "extra") | (F.coalesce("e.value", F.lit("")) != ""))
+    place = F.struct("raw_id", "e.place", "e.value")
+    values = every.groupBy("archive_id", "group_id", "e.kind", "e.key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.sum("e.n").cast("int").alias("n"))
+    of = lambda kind, *what: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("first", *what))))
+    lists = values.groupBy("archive_id", "group_id").agg(
+        *[F.transform(of(c), lambda x: x["first"]["value"]).alias(c) for c in _LISTS], F.map_from_entries(F.transform(of("ref_counts", "key", "n"), lambda x: F.struct(x["key"], x["n"]))).alias("ref_counts"),
+        F.map_from_entries(F.transform(of("extra", "key", F.col("last.value").alias("stays")), lambda x: F.struct(x["key"], x["stays"]))).alias("extra"),
+    )
+    lists = lists.withColumnsRenamed({"archive_id": "_a", "group_id": "_g"})
+    texts = raw.select(F.col("raw_id").alias("_text_of"), "transcript_text")
+    out = g.join(lists, (F.col("group_id") == F.col("_g")) & F.col("archive_id").eqNullSafe(F.col("_a")), "left").join(texts, "_text_of", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    out = out.select(
+        "archive_id", "group_id", "n_sources", *_SCALARS, *[empty(c) for c in _LISTS], "transcript_text", F.coalesce(F.when(F.col("_text_of").isNotNull(), F.col("_texted_status")), "_status", F.lit("missing")).alias("transcript_status"),
+        F.coalesce("ref_counts", F.create_map().cast("map<string,int>")).alias("ref_counts"), F.coalesce("extra", F.create_map().cast("map<string,string>")).alias("extra"),
     )
     return out.withColumn("review_flags", F.when(F.col("n_sources") > 1, unresolved_flags()).otherwise(F.col("review_flags")))
 
 
-def with_raw_id(raw: DataFrame) -> DataFrame:
-    """Adds ``raw_id``, which sorts as (source_rank, source_ord)."""
-    return raw.withColumn("raw_id", F.col("source_rank").cast("long") * (1 << 50) + F.col("source_ord"))
+def with_raw_id(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    """Adds ``raw_id``: scope, source_rank, archive and source_ord as one text, which sorts so and names one row alone."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x01"))
+    return raw.withColumn("raw_id", F.concat_ws("\t", *map(part, scope), part("source_rank"), *([] if "archive_id" in scope else [part("archive_id")]), part("source_ord")))
 
 
 def resolved(raw: DataFrame, scope: list[str] = SCOPE, mode: str = "transitive", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Linked and folded records."""
-    r = raw if "raw_id" in raw.columns else with_raw_id(raw)
+    """Linked and folded records. A given ``raw_id`` must be of one row alone, also across scopes."""
+    r = raw if "raw_id" in raw.columns else with_raw_id(raw, scope)
     member = link(r, scope, keys) if mode == "transitive" else link_in_order(r, scope)
     return fold(r, member)
 

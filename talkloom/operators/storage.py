@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (single-machine tests) a new local folder."""
+    """``spark.checkpoint.dir``; where it is unset, a new local folder, if driver and executors are one machine.
+
+    On a cluster a folder of one machine would lose tables: there it must be set.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.talkloom.local.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="talkloom-")
         spark.conf.set("spark.talkloom.local.dir", where)
     return where.rstrip("/")

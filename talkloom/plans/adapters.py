@@ -9,14 +9,19 @@ from talkloom.functions import rules
 from talkloom.operators.records import conform
 
 
+#: Added to the ids of the records without a text; a multiple of what the gaps go by.
+BARE = 10_080_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for each document: archives by source, gaps by id."""
-    d = table(spark, sf_dir, "documents")
+    """A record for each document with its text: archives by source, gaps in the fields by id. Every sixth is listed once more without a text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     i = F.col("doc_id")
+    d = d.unionByName(d.where(i % 6 == 0).select((i + BARE).alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source"))
     opt = lambda n, c: F.when(i % n != 0, c)
     lists = lambda cond, *x: F.when(cond, F.array(*x)).otherwise(F.array().cast("array<string>"))
     text = F.concat_ws("", F.lit(""), (i % 23).cast("string"))
@@ -26,12 +31,14 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
             opt(11, F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (i % 700).cast("int")), "yyyy-MM-dd")).alias("date"), opt(7, F.concat(F.lit("Speaker "), text)).alias("speaker"), opt(5, F.col("lang")).alias("series"),
             lists(F.lit(True), F.concat(F.lit("Topic "), (i % 6).cast("string"))).alias("topics"), lists(F.lit(True), F.concat(F.lit("Theme "), (i % 4).cast("string")), F.concat(F.lit("Topic "), (i % 3).cast("string"))).alias("themes"),
             lists(i % 4 == 0, F.lit(rules.NO_SPEAKER)).alias("review_flags"), lists(i % 9 == 0, F.lit("claim")).alias("questionable_claims"), lists(i % 3 == 0, F.concat(F.lit("a"), i.cast("string"), F.lit(".mp3"))).alias("audio_files"),
-            opt(6, F.col("text")).alias("transcript_text"), F.when(i % 12 == 0, "missing").when(i % 6 == 0, "catalog-listed").otherwise("provided").alias("transcript_status"), F.when(i % 8 == 0, F.lit("S")).alias("summary"),
+            F.col("text").alias("transcript_text"), F.when(i < BARE, "provided").when(i % 12 == 0, "missing").otherwise("catalog-listed").alias("transcript_status"), F.when(i % 8 == 0, F.lit("S")).alias("summary"),
         )
     )
 
 
-TALKS = f"""t AS (
+TALKS = f"""d AS (
+  SELECT doc_id, text, lang, source FROM documents UNION ALL SELECT doc_id + {BARE}, NULL, lang, source FROM documents WHERE doc_id % 6 = 0
+), t AS (
   SELECT source AS archive_id, CAST(doc_id AS VARCHAR) AS record_id, nullif(trim(left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 24)), '') AS title,
     CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2020-01-01' + CAST(doc_id % 700 AS INTEGER), '%Y-%m-%d') END AS date,
     CASE WHEN doc_id % 7 <> 0 THEN 'Speaker ' || (doc_id % 23) END AS speaker, CASE WHEN doc_id % 5 <> 0 THEN lang END AS series,
@@ -39,9 +46,9 @@ TALKS = f"""t AS (
     CASE WHEN doc_id % 4 = 0 THEN ['{rules.NO_SPEAKER}'] ELSE CAST([] AS VARCHAR[]) END AS review_flags,
     CASE WHEN doc_id % 9 = 0 THEN ['claim'] ELSE CAST([] AS VARCHAR[]) END AS questionable_claims,
     CASE WHEN doc_id % 3 = 0 THEN ['a' || doc_id || '.mp3'] ELSE CAST([] AS VARCHAR[]) END AS audio_files,
-    CASE WHEN doc_id % 6 <> 0 THEN text END AS transcript_text, CASE WHEN doc_id % 12 = 0 THEN 'missing' WHEN doc_id % 6 = 0 THEN 'catalog-listed' ELSE 'provided' END AS transcript_status,
-    CASE WHEN doc_id % 8 = 0 THEN 'S' END AS summary, coalesce(regexp_matches(CASE WHEN doc_id % 6 <> 0 THEN text END, '\\S'), false) AS has_text
-  FROM documents
+    text AS transcript_text, CASE WHEN doc_id < {BARE} THEN 'provided' WHEN doc_id % 12 = 0 THEN 'missing' ELSE 'catalog-listed' END AS transcript_status,
+    CASE WHEN doc_id % 8 = 0 THEN 'S' END AS summary, coalesce(regexp_matches(text, '\\S'), false) AS has_text
+  FROM d
 )"""
 
 _BOOKS = list(rules.BOOKS.items())

@@ -34,7 +34,7 @@ def video_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     items = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("v"), k.cast("string")).alias("id"), F.when(k % 3 == 0, F.lit("A title")).alias("title"), F.lit(None).cast("string").alias("fulltitle"), F.when(k % 2 == 0, F.lit("/watch?v=1")).when(k % 5 == 0, "short").otherwise("https://x/y").alias("webpage_url"), F.lit(None).cast("string").alias("url"),
-        F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd")).alias("upload_date"), F.unix_timestamp("o_orderdate").cast("double").alias("timestamp"), F.lit(None).cast("double").alias("release_timestamp"), (k % 100 + 0.5).cast("double").alias("duration"),
+        F.when(k % 4 == 0, F.date_format("o_orderdate", "yyyyMMdd")).alias("upload_date"), F.unix_timestamp("o_orderdate").cast("double").alias("timestamp"), k.alias("row"), F.lit(None).cast("double").alias("release_timestamp"), (k % 100 + 0.5).cast("double").alias("duration"),
     )
     return files.video_records(items, F.lit("f.json")).select("video_id", "title", "date", "video_url", "duration_seconds")
 
@@ -48,7 +48,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, opt = F.col("o_orderkey"), lambda n, c: F.when(k % n != 0, c)
     df = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("archive_id"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), opt(3, F.concat(F.lit("S"), (k % 4).cast("string"))).alias("speaker"),
-        opt(7, F.concat(F.lit("v"), (k % 40).cast("string"))).alias("video_id"), F.array(F.concat(F.lit("T"), (k % 3).cast("string")), F.concat(F.lit("t"), (k % 2).cast("string"))).alias("topics"), (k % 3).cast("int").alias("source_rank"), k.alias("source_ord"),
+        opt(7, F.concat(F.lit("v"), (k % 40).cast("string"))).alias("video_id"), F.array(F.concat(F.lit("T"), (k % 3).cast("string")), F.concat(F.lit("t"), (k % 2).cast("string"))).alias("topics"), (k % 3).cast("int").alias("source_rank"), F.lpad(k.cast("string"), 12, "0").alias("source_ord"),
     )
     return resolve.with_raw_id(records.conform(df, records.RAW))
 
@@ -101,7 +101,7 @@ def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = talks(spark, sf_dir)
-    return content.document_frequency(content.term_counts(t), t).where("df >= 3").select("archive_id", "term", "df", "n", F.round("idf", 6).alias("idf"))
+    return content.document_frequency(content.term_counts(t), t).select("archive_id", "term", "df", "n", F.round("idf", 6).alias("idf"))
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +197,7 @@ df AS (SELECT archive_id, term, count(*) AS df, any_value(n) AS n, ln((1 + any_v
 _KEYS = "[CASE WHEN video_id IS NOT NULL THEN 'i' || video_id END, 'yt' || left(date, 4) || title, 'd' || date]"
 _RAW = f"""r0 AS (
   SELECT 'c' || o_custkey AS archive_id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 <> 0 THEN 'S' || (o_orderkey % 4) END AS speaker, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || (o_orderkey % 40) END AS video_id,
-    ['T' || (o_orderkey % 3), 't' || (o_orderkey % 2)] AS topics, (o_orderkey % 3) * 1125899906842624 + o_orderkey AS raw_id FROM orders
+    ['T' || (o_orderkey % 3), 't' || (o_orderkey % 2)] AS topics, 'c' || o_custkey || chr(9) || (o_orderkey % 3) || chr(9) || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS raw_id FROM orders
 ), k AS (SELECT archive_id, raw_id, unnest({_KEYS}) AS key FROM r0), e AS (SELECT DISTINCT a.raw_id AS a, b.raw_id AS b FROM k a JOIN k b USING (archive_id, key) WHERE a.raw_id <> b.raw_id),
 g(node, seen) AS (SELECT raw_id, raw_id FROM r0 UNION SELECT e.b, g.seen FROM g JOIN e ON e.a = g.node), m AS (SELECT node AS raw_id, min(seen) AS group_id FROM g GROUP BY node)"""
 _WORDS = "(VALUES " + ", ".join(f"('{k}', '{w}', {rules.LABEL_MINIMUM.get(k, 4)})" for k, ws in (rules.THEMES | rules.TOPICS).items() for w in ws) + ") AS kw(label, word, least)"
@@ -215,7 +215,7 @@ CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.youtube.com/watch?v=1' WHEN o_ord
     "caption_texts": r"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '\d+')) AS ls FROM conversations)
 SELECT conv_id, turn, md5(array_to_string(list_append(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), 'same'), chr(10))) AS digest FROM l""",
     "records_resolved": f"""WITH RECURSIVE {_RAW}, f AS (SELECT r0.*, group_id FROM r0 JOIN m USING (raw_id)),
-tp AS (SELECT archive_id, group_id, lower(x) AS lx, arg_min(x, raw_id * 4 + p) AS x, min(raw_id * 4 + p) AS o FROM (SELECT archive_id, group_id, raw_id, unnest(topics) AS x, unnest([1, 2]) AS p FROM f) GROUP BY ALL),
+tp AS (SELECT archive_id, group_id, lower(x) AS lx, arg_min(x, raw_id || p) AS x, min(raw_id || p) AS o FROM (SELECT archive_id, group_id, raw_id, unnest(topics) AS x, unnest([1, 2]) AS p FROM f) GROUP BY ALL),
 tj AS (SELECT archive_id, group_id, string_agg(x, ',' ORDER BY o) AS topics FROM tp GROUP BY ALL)
 SELECT archive_id, group_id, count(*) AS n_sources, arg_min(title, raw_id) AS title, arg_min(date, raw_id) AS date, arg_min(speaker, raw_id) FILTER (WHERE speaker IS NOT NULL) AS speaker, arg_min(video_id, raw_id) FILTER (WHERE video_id IS NOT NULL) AS video_id, any_value(topics.topics) AS topics
 FROM f JOIN tj AS topics USING (archive_id, group_id) GROUP BY archive_id, group_id""",
@@ -234,7 +234,7 @@ SELECT CAST(k AS VARCHAR) AS record_id, CASE k % 5 WHEN 0 THEN 'Anna Bell' WHEN
     "naming_totals": """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer)
 SELECT 'warning' AS kind, CAST(sum(1 + CASE WHEN k % 5 IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM c
 UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3) AS BIGINT) FROM c""",
-    "term_frequency": f"WITH {_TF} SELECT archive_id, term, df, n, round(idf, 6) AS idf FROM df WHERE df >= 3",
+    "term_frequency": f"WITH {_TF} SELECT archive_id, term, df, n, round(idf, 6) AS idf FROM df",
     "token_totals": f"WITH {_TF} SELECT record_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_terms FROM tf GROUP BY record_id",
     "vector_norms": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w)
 SELECT record_id, count(*) AS n, round(sqrt(sum(weight * weight)), 4) AS norm FROM v WHERE rn <= 180 GROUP BY record_id""",
