@@ -2,34 +2,43 @@
 
 After Weninger, Hsu and Han, "CETR", WWW 2010. The standard library's parser
 streams tags and text; each block element makes a line with its characters and
-tags. The ratios of characters to tags are smoothed by a Gaussian over
-neighbouring lines and split at a threshold by two-means clustering. The content
-region is the page's article or main element, if it holds a line of the content
-cluster, else the smallest container (never a paragraph or heading) that holds
-all of the cluster's lines, with the headings and sentences next to it and all
-from the page's h1 on. All lines of the region are kept, however short (without
-an article or main, but for those that are mostly links), but for those of parts
-that are never article text: by element (menus, asides, footers, form controls,
-scripts, styles), by the words of class, id and role (adverts, notices, sidebars,
-comments), or hidden ones. Headings are never dropped for a word, one ambiguous
-word needs links or the lack of sentences as a second witness, and a form or a
-word in a longer name never drops what holds most of the content cluster.
-
-Character references are decoded, white space inside a line becomes one space,
-lines are joined in page order by a newline. Each page is handled whole and by
-itself; nothing is shuffled.
+tags. The ratios of characters outside links to tags, times the line's weight,
+are smoothed by a Gaussian over neighbouring lines and split at a threshold by
+two-means clustering: the lines above it are the content cluster. The region is
+the smallest container (never a paragraph or heading) that holds all of the
+cluster's lines, widened to an article or main element around it, or, where
+there is none, by the headings and sentences next to it and all from the page's
+h1 on. All lines of the region with a weight are kept, however short (without an
+article or main, but for those that are mostly links).
+
+Tags and the words of class, id and role only weigh: lines inside an article or
+main ``INSIDE``, others 1, and lines of parts that are never article text 0
+(menus, asides, footers, form controls, adverts, notices, sidebars, comments,
+hidden ones). Headings are never marked by a word, one ambiguous word needs links
+or the lack of sentences as a second witness, and a form or a word in a longer
+name never takes the weight of what holds most of the content cluster.
+
+Markup that the library's parser stumbles over or needs quadratic time for is
+repaired first: a tag that another tag begins in is closed there, CDATA is text,
+comments and declarations go, as does a tag cut off at the page's end; a comment
+that never ends hides nothing. Time grows in proportion to the page. Character references are decoded, white space inside a
+line becomes one space, lines are joined in page order by a newline. Each page is
+handled whole and by itself; nothing is shuffled.
 
 Defined cases: null, empty and textless html give an empty text; unclosed and
-stray tags are tolerated, a tag cut off at the page's end is dropped; repeated
-rows return as often as they come.
+stray tags are tolerated; repeated rows return as often as they come; kept
+columns named text or n_chars give way to the results.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +76,54 @@ AMBIGUOUS = frozenset(
 REMARKS = frozenset("comment comments disqus respond replies".split())  # as a class or role, they are readers' words: one is enough
 FURNITURE = frozenset("copyright disclaimer print search register feedback form menu skip complementary".split())  # ambiguous inside a region only
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_cut = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _sentence = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
 SIGMA, SENTENCE = 1.0, 40  # a line of so many characters counts as a sentence
+#: What a line inside an article or main element weighs against one outside.
+INSIDE = 8.0
+#: A tag up to its end or to where another begins; quotes count behind an equals sign only.
+_tag = re.compile(r"""</?([A-Za-z][^\s/<>=]*)(?:[^<>=]|=\s*(?:"[^"]*"|'[^']*')?)*+""")
+_raw_end = {t: re.compile(f"</{t}", re.I) for t in ("script", "style", "textarea", "title")}
+
+
+def repaired(page: str) -> str:
+    """Markup that the parser takes in one pass: see the module's text."""
+    out, at, ends = [], 0, dict.fromkeys(["-->", "]]>", *_raw_end], True)  # what is once not found ahead is not looked for again
+
+    def find(mark: str, i: int) -> int:
+        j = page.find(mark, i) if ends[mark] else -1
+        ends[mark] = j >= 0
+        return j
+
+    while (i := page.find("<", at)) >= 0:
+        out.append(page[at:i])
+        if page.startswith("<!--", i):
+            j = find("-->", i + 2)
+            at = j + 3 if j >= 0 else i + 4  # a comment that never ends hides nothing
+        elif page.startswith("<![CDATA[", i):
+            j = find("]]>", i)
+            out.append(html.escape(page[i + 9 : j]) if j >= 0 else "")
+            at = j + 3 if j >= 0 else i + 9
+        elif page.startswith(("<!", "<?"), i):
+            j = page.find(">", i)
+            inner = page.find("[", i, j) if j >= 0 and page[i + 2 : i + 9].lower() == "doctype" else -1
+            if inner >= 0 and (k := page.find("]", inner)) >= 0:
+                j = page.find(">", k)
+            at = j + 1 if j >= 0 else len(page)
+        elif m := _tag.match(page, i):
+            at, name = m.end(), m[1].lower()
+            if at == len(page):  # cut off
+                break
+            out.append(m[0] + ">")
+            at += page[at] == ">"
+            if ends.get(name) and m[0][1] != "/":
+                end = _raw_end[name].search(page, at)
+                ends[name] = end is not None
+                out.append(page[at : end.start()] if end else "")
+                at = end.start() if end else at
+        else:
+            out.append("&lt;")
+            at = i + 1
+    return "".join([*out, page[at:]])
 
 
 def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
@@ -98,17 +152,45 @@ def _mark(attrs: list[tuple[str, str | None]], inside: bool) -> str:
     return said
 
 
+class Element(NamedTuple):
+    """An open element, with what holds for all inside it."""
+
+    tag: str
+    number: int  # elements are numbered as they open, 1 on
+    dropped: bool
+    doubt: int  # the nearest doubtful element around, itself included; 0: none
+    region: int  # the outermost article or main around, itself included; 0: none
+    barred: bool  # inside an element in which no article begins
+    silent: bool  # scripts and styles, and controls inside a form
+    form: bool
+    link: bool
+
+
+OUTSIDE = Element("", 0, False, 0, 0, False, False, False, False)
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    links: int  # characters in links
+    element: int
+    dropped: bool
+    doubt: int
+    region: int
+
+
 class Lines(HTMLParser):
-    """The page as lines: text, characters, tags, link characters and the elements they are in."""
+    """The page as lines, and the tree of its elements as each one's parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, whether dropped, its number, the doubtful ones that it is in
+        self.stack: list[Element] = [OUTSIDE]
+        self.open: Counter[str] = Counter()
+        self.parent = [0]
         self.text: list[str] = []
-        self.tags = self.links = self.number = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, tuple[int, ...]]] = []
-        self.doubts: dict[int, str] = {}
-        self.regions: set[int] = set()
+        self.tags = self.links = 0
+        self.lines: list[Line] = []
+        self.doubts: dict[int, tuple[str, int]] = {}  # what is doubted of an element, and the next doubtful one around it
         self.holders: set[int] = set()
         self.headings: dict[int, str] = {}
 
@@ -117,79 +199,80 @@ class Lines(HTMLParser):
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                self.lines.append((t, self.tags + 1, self.links, tuple(x[2] for x in self.stack), bool(self.stack and self.stack[-1][1]), self.stack[-1][3] if self.stack else ()))
+                e = self.stack[-1]
+                self.lines.append(Line(t, self.tags + 1, self.links, e.number, e.dropped, e.doubt, e.region))
         self.text, self.tags, self.links = [], 0, 0
 
+    def _pop_to(self, n: int) -> None:
+        while len(self.stack) > n:
+            self.open[self.stack.pop().tag] -= 1
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.text.append("\n")
         if tag in BLOCK:
             self.flush()
             if tag in CLOSES:
-                closed, until = CLOSES[tag]
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] in until or self.stack[i][0] in REGION:
-                        break
-                    if self.stack[i][0] in closed:
-                        del self.stack[i:]
-                        break
+                self._close(*CLOSES[tag])
             elif tag != "hr":
-                self._close_p()
+                self._close({"p"}, BLOCK)
         self.tags += 1
         if tag in VOID:
             return
-        self.number += 1
-        dropped, doubts = self.stack[-1][1:4:2] if self.stack else (False, ())
-        inside = any(x[0] in REGION for x in self.stack)
+        self.parent.append(self.stack[-1].number)
+        up, number = self.stack[-1], len(self.parent) - 1
+        dropped, doubt, region = up.dropped, up.doubt, up.region
         if tag in REGION:
-            if not any(x[0] in NEVER and x[0] != "form" for x in self.stack):
-                dropped, doubts = False, ()
-                self.regions.add(self.number)
+            if not up.barred:
+                dropped, doubt, region = False, 0, region or number
         elif tag not in ("html", "body") and not dropped:
             dropped = (tag in NEVER and tag != "form") or _hidden(attrs)
-            doubt = "form" if tag == "form" else "mark" if tag == "header" and not inside else "" if tag in HEADINGS else _mark(attrs, inside)
-            if doubt:
-                self.doubts[self.number] = doubt
-                doubts = (*doubts, self.number)
-        if tag in HOLDERS:
-            self.holders.add(self.number)
+            said = "form" if tag == "form" else "mark" if tag == "header" and not region else "" if tag in HEADINGS else _mark(attrs, bool(region))
+            if said:
+                self.doubts[number] = said, doubt
+                doubt = number
+        if tag in HOLDERS or tag in REGION:
+            self.holders.add(number)
         elif tag in HEADINGS:
-            self.headings[self.number] = tag
-        self.stack.append((tag, dropped, self.number, doubts))
-
-    def _close_p(self) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == "p":
-                del self.stack[i:]
+            self.headings[number] = tag
+        form = up.form or tag == "form"
+        self.stack.append(Element(tag, number, dropped, doubt, region, up.barred or (tag in NEVER and tag != "form"), up.silent or tag in ("script", "style") or (form and tag in CONTROLS), form, up.link or tag == "a"))
+        self.open[tag] += 1
+
+    def _close(self, closed: set[str], until: set[str] | frozenset[str]) -> None:
+        """Ends the nearest open element of ``closed``, unless one of ``until`` or an article is nearer."""
+        if not any(self.open[t] for t in closed):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in closed:
+                self._pop_to(i)
                 return
-            if self.stack[i][0] in BLOCK:
+            if self.stack[i].tag in until or self.stack[i].tag in REGION:
                 return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.stack and self.stack[-1][0] == tag and tag in ("script", "style", "svg", "path"):
-            self.stack.pop()
+        if tag not in VOID and self.stack[-1].tag == tag and tag in ("script", "style", "svg", "path"):
+            self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                self._pop_to(i)
                 return
-            if self.stack[i][0] in REGION and tag not in ("html", "body"):
+            if self.stack[i].tag in REGION and tag not in ("html", "body"):
                 return
 
     def handle_data(self, data: str) -> None:
-        names = [x[0] for x in self.stack]
-        if names and names[-1] in ("script", "style"):
-            return
-        if "form" in names and any(x in CONTROLS for x in names[names.index("form") :]):
-            return
-        self.text.append(data)
-        if "a" in names:
-            self.links += len(data)
+        e = self.stack[-1]
+        if not e.silent:
+            self.text.append(data)
+            self.links += len(data) if e.link else 0
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -212,93 +295,138 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _cluster(lines: list[tuple]) -> tuple[np.ndarray, dict[int, float]]:
-    """Which lines are in the content cluster, and how many of its characters each element holds."""
-    size = np.array([len(x[0]) for x in lines], float)
-    ratio = smoothed(np.maximum(size - np.array([x[2] for x in lines]), 0) / np.array([x[1] for x in lines]))
-    content = ratio >= threshold(ratio)
-    mass: dict[int, float] = {}
-    for line, n, ok in zip(lines, size, content, strict=True):
-        if ok:
-            for e in line[3]:
-                mass[e] = mass.get(e, 0.0) + n
-    return content, mass
+def content_cluster(lines: list[Line], weights: np.ndarray) -> np.ndarray:
+    """Which lines are in the content cluster; all that weigh, if there are links only."""
+    ratio = np.array([max(len(x.text) - x.links, 0) / x.tags for x in lines]) * weights
+    score = np.where(weights > 0, smoothed(ratio), 0.0)
+    return score >= threshold(score) if score.any() else weights > 0
+
+
+def _mass(parent: list[int], lines: list[Line], amount: Iterable[float]) -> np.ndarray:
+    """For each element, the sum of what its lines have."""
+    out = np.zeros(len(parent))
+    for x, n in zip(lines, amount, strict=True):
+        out[x.element] += n
+    for e in range(len(parent) - 1, 0, -1):  # parents open before their children
+        out[parent[e]] += out[e]
+    return out
 
 
 def _is_sentence(text: str) -> bool:
     return len(text) >= SENTENCE or bool(_sentence.search(text))
 
 
-def _settled(p: Lines) -> list[tuple]:
-    """The lines without those of doubtful elements that are no article text.
+def _weights(p: Lines) -> np.ndarray:
+    """What each line weighs: nothing if it is no article text, more inside an article.
 
-    An element with one ambiguous word goes if it is mostly links or holds no
-    sentence. A marked element or a form stays if it holds most of the content
-    cluster; one that is surely marked (an advert may be longer than a short
-    article) stays only where nothing else is left.
+    An element with one ambiguous word counts if it holds a sentence and is not
+    mostly links. A marked element or a form counts if it holds most of the
+    content cluster of all but the surely marked (an advert may be longer than a
+    short article), which count only where nothing else is left.
     """
-    lines = [x for x in p.lines if not x[4]]
-    if not p.doubts or not lines:
-        return lines
-    out = set(p.doubts)
-    for e in [e for e, doubt in p.doubts.items() if doubt == "maybe"]:
-        own = [x for x in lines if e in x[3]]
-        if 2 * sum(x[2] for x in own) < sum(len(x[0]) for x in own) and any(_is_sentence(x[0]) for x in own if 2 * x[2] < len(x[0])):
-            out.discard(e)
-    ours = [x for x in lines if not any(p.doubts[e] == "sure" for e in x[5])]
-    if ours:
-        content, mass = _cluster(ours)
-        total = sum(len(x[0]) for x, ok in zip(ours, content, strict=True) if ok)
-        out -= {e for e in out if 2 * mass.get(e, 0) > total}
-    return [x for x in lines if out.isdisjoint(x[5])] or ours or lines
-
-
-def main_text(html: str | None) -> str:
-    """The article's lines, joined by newlines."""
-    if not html:
-        return ""
+    lines = p.lines
+    weights = np.array([0.0 if x.dropped else INSIDE if x.region else 1.0 for x in lines])
+    if not p.doubts or not weights.any():
+        return weights
+    size, links = np.array([len(x.text) for x in lines]), np.array([x.links for x in lines])
+    there = weights > 0
+    told = there & (2 * links < size) & np.array([_is_sentence(x.text) for x in lines])
+    in_all, in_links, in_told = (_mass(p.parent, lines, n * there) for n in (size, links, told))
+    out = {e for e, (doubt, _) in p.doubts.items() if doubt != "maybe" or 2 * in_links[e] >= in_all[e] or not in_told[e]}
+    sure = {e for e, (doubt, _) in p.doubts.items() if doubt == "sure"}
+
+    def without(bad: set[int]) -> np.ndarray:
+        gone = {0: False}
+        for e, (_, around) in sorted(p.doubts.items()):
+            gone[e] = e in bad or gone[around]
+        return np.where([gone[x.doubt] for x in lines], 0.0, weights)
+
+    ours = without(sure)
+    if ours.any():
+        content = content_cluster(lines, np.minimum(ours, 1.0))
+        mass = _mass(p.parent, lines, size * content)
+        out -= {e for e in out if 2 * mass[e] > (size * content).sum()}
+    for chosen in (without(out), ours):
+        if chosen.any():
+            return chosen
+    return weights
+
+
+def parsed(page: str) -> Lines:
     p = Lines()
-    p.feed(_cut.sub("", html))
-    p.close()
+    try:
+        p.feed(repaired(page))
+        p.close()
+    except (AssertionError, ValueError, RecursionError):  # the library gave up: the lines up to there, and the rest as text
+        p.text.append(re.sub(r"<[^<>]*>?", " ", p.rawdata))
     p.flush()
-    lines = _settled(p)
-    if not lines:
+    return p
+
+
+def main_text(page: str | None) -> str:
+    """The article's lines, joined by newlines."""
+    if not page:
+        return ""
+    p = parsed(page)
+    if not p.lines:
         return ""
-    content, mass = _cluster(lines)
-    regions = [e for e in p.regions if e in mass]
-    if regions:
-        chosen = {max(regions, key=lambda e: (mass[e], -e))}
-        chosen = {min((e for e in regions if mass[e] >= mass[max(chosen)]), default=max(chosen))}
-        return "\n".join(x[0] for x in lines if chosen & set(x[3]))
-    prose = [bool(ok) or 2 * x[2] < len(x[0]) for x, ok in zip(lines, content, strict=True)]
-    every = [set(x[3]) & p.holders for x, ok in zip(lines, content, strict=True) if ok]
-    home = max(set.intersection(*every), default=None)  # elements are numbered as they open: the last is the innermost
-    at = [k for k, x in enumerate(lines) if home is None or home in x[3]]
-    first, last = _reach(lines, prose, p.headings, at[0], at[-1])
-    return "\n".join(x[0] for x, ok in zip(lines[first : last + 1], prose[first : last + 1], strict=True) if ok)
-
-
-def _reach(lines: list[tuple], prose: list[bool], headings: dict[int, str], first: int, last: int) -> tuple[int, int]:
+    weights = _weights(p)
+    content = content_cluster(p.lines, weights)
+    if not content.any():
+        return ""
+    lines, held = p.lines, _mass(p.parent, p.lines, content)
+    home = max((e for e in p.holders if held[e] == content.sum()), default=0)  # the innermost opens last
+    region = _region_of(p, home)
+    inside = np.zeros(len(p.parent), bool)
+    inside[region] = True
+    for e in range(1, len(p.parent)):
+        inside[e] |= inside[p.parent[e]]
+    at = np.flatnonzero([inside[x.element] for x in lines])
+    if home != region or any(lines[k].region == region for k in at):
+        return "\n".join(lines[k].text for k in at if content[k] or weights[k] > 0)
+    prose = [bool(ok) or (w > 0 and 2 * x.links < len(x.text)) for x, ok, w in zip(lines, content, weights, strict=True)]
+    first, last = _reach(p, prose, int(at[0]), int(at[-1]))
+    return "\n".join(x.text for x, ok in zip(lines[first : last + 1], prose[first : last + 1], strict=True) if ok)
+
+
+def _region_of(p: Lines, home: int) -> int:
+    """The outermost article or main around an element, or the element."""
+    e, out = home, home
+    named = {x.region for x in p.lines}
+    while e:
+        if e in named:
+            out = e
+        e = p.parent[e]
+    return out
+
+
+def _reach(p: Lines, prose: list[bool], first: int, last: int) -> tuple[int, int]:
     """The region's first and last line with the text that adjoins it: headings and sentences, and all from the page's h1 on."""
+    lines = p.lines
+
+    def heading(k: int) -> str | None:
+        e = lines[k].element
+        while e and e not in p.headings and e not in p.holders:
+            e = p.parent[e]
+        return p.headings.get(e)
 
     def joins(k: int) -> bool:
-        return prose[k] and (any(e in headings for e in lines[k][3]) or _is_sentence(lines[k][0]))
+        return prose[k] and (heading(k) is not None or _is_sentence(lines[k].text))
 
-    while True:
-        before = first, last
-        while first and joins(first - 1):
-            first -= 1
-        titles = [k for k in range(first) if prose[k] and any(headings.get(e) == "h1" for e in lines[k][3])]
-        first = min([first, *titles[-1:]])
-        while last + 1 < len(lines) and joins(last + 1):
-            last += 1
-        if (first, last) == before:
-            return first, last
+    while first and joins(first - 1):
+        first -= 1
+    title = next((k for k in range(first - 1, -1, -1) if prose[k] and heading(k) == "h1"), first)
+    first = title
+    while first and joins(first - 1):
+        first -= 1
+    while last + 1 < len(lines) and joins(last + 1):
+        last += 1
+    return first, last
 
 
 def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns with text and n_chars."""
-    keep = keep or pages.columns
+    keep = [c for c in keep or pages.columns if c not in ("text", "n_chars")]
     columns = [*keep, *([] if html_col in keep else [html_col])]
     place = columns.index(html_col)
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField("text", T.StringType())])
@@ -314,3 +442,16 @@ def extracted(pages: DataFrame, html_col: str = "html", keep: list[str] | None =
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], texts], schema=kinds)
 
     return pages.select(*columns).mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: For pages like the given ones, whose whole text is that of one article: its blocks are lines, other tags go.
+ORACLE = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's'), '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS x FROM pages
+), b AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '<br ?/?>', ' ', 'g'), '</?(p|h[1-6]|div|ul|ol|li|section|blockquote|table|tr|td|th|article)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls FROM a
+), c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(ls, lambda l: trim(regexp_replace(replace(replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' +', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
+"""

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}
+    return {"op1_chat_format": chat_format.ORACLE, "op2_html_text": html_text.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op7_decontamination": decontamination.ORACLE}

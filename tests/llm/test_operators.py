@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -344,9 +345,48 @@ def test_html_marks_need_a_second_witness(body, want):
     assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want)
 
 
+def test_html_clusters_decide(monkeypatch):
+    body = f"<nav><a href=x>Home</a></nav><div>Login to see more</div><div><h1>Title</h1><p>{A}</p><p>{B}</p></div><div>All rights kept</div><footer>Foot</footer>"
+    pages = [f"<html><body>{body}</body></html>", PAGE]
+    cut = [html_text.main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "threshold", lambda x: -1.0)
+    assert cut[0] == "\n".join(["Title", A, B]) and all(html_text.main_text(x) != y for x, y in zip(pages, cut, strict=True))
+
+
+def test_html_planted_articles():
+    """Random pages whose article is known, in wrappers with and without article tags, among menus, adverts, sidebars and comments."""
+    r = random.Random(8)
+    said = lambda n: " ".join("".join(r.choice("abcdeno") for _ in range(r.randint(2, 8))) for _ in range(n))
+    link = lambda: f"<a href=/{said(1)}>{said(2)}</a>"
+    noise = [lambda: f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(6))}</ul></nav>", lambda: f"<div class='ad'>{said(8)}.</div>", lambda: f"<aside><p>{said(12)}</p></aside>", lambda: f"<div class=sidebar>{said(5)} {link()}</div>", lambda: f"<footer>{said(9)}</footer>", lambda: "<script>var x = '<p>no</p>';</script>", lambda: f"<section class='comments'><p>{said(30)}.</p></section>"]
+    for k in range(200):
+        blocks = [f"{said(r.randint(20, 90))}." for _ in range(r.randint(2, 7))]
+        title = said(4).title()
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{b.replace(' ', r.choice([' ', chr(10), '  ']), 1)}{r.choice(['</p>', '', r.choice(noise)()])}" for b in blocks)
+        around = [r.choice(noise)() for _ in range(6)]
+        tag = ("article", "main", "div")[k % 3]
+        page = f"<html><head><title>{title}</title></head><body>{''.join(around[:3])}<{tag}>{inner}</{tag}>{''.join(around[3:])}</body></html>"
+        assert html_text.main_text(page) == "\n".join([title, *blocks]), page
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a<![foo[ bar]]>b</p>", "ab"), ("<p>x</p><![CDATA[some <b> text]]>", "x\nsome <b> text"), ("<!DOCTYPE html [<!ELEMENT x>]><p>hi</p>", "hi"), ('<p><b title="a<b">q</b> 1 < 2</p>', "q 1 < 2"), ("<p>x</p><!-- y", "x\ny"), ("<p>x</p><b", "x"),
+        *[(t * 20_000, None) for t in ("<div>x", "<i ", "<li>x", "</div>x", '<i "', "<!--", "<![CDATA[", "<!", "&", "<script>", "<b><p>", "<div class=ad>")],
+    ],
+)
+def test_html_of_any_markup_in_time(page, want):
+    began = time.time()
+    got = html_text.main_text(page)
+    assert time.time() - began < 10 and (want is None or got == want)
+
+
 def test_html_whole_table(spark):
-    rows = html_text.extracted(table(spark, "pages").withColumn("text", F.lit("clash")).drop("text"), keep=["page_id", "url"]).collect()
-    assert len(rows) == table(spark, "pages").count() and all(r.n_chars == len(r.text) > 0 for r in rows)
+    pages = table(spark, "pages")
+    rows = html_text.extracted(pages.withColumn("text", F.lit("clash"))).collect()
+    assert len(rows) == pages.count() and all(r.n_chars == len(r.text) > 5 for r in rows)
+    assert html_text.extracted(pages.limit(0)).count() == 0 and html_text.extracted(pages.limit(1).union(pages.limit(1)).withColumn("html", F.lit(None).cast("string"))).collect()[1].text == ""
 
 
 def test_pipeline(spark):
