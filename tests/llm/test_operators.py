@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -229,6 +230,42 @@ def test_embeddings_of_a_large_label_lose_no_pair(spark):
     assert [got[i] for i in range(len(x))] == want and sum(want[17_000:]) >= 8
 
 
+def test_embedding_codes_estimate_without_bias():
+    """Estimates from codes, factors and planes, rebuilt plainly: right on average, and inside the bound."""
+    g, d = np.random.default_rng(9), 64
+    u, w = g.normal(size=(2, 4000, d))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(1)[:, None] * u
+    c = g.uniform(-0.2, 0.99, 4000)
+    v = c[:, None] * u + np.sqrt(1 - c**2)[:, None] * w / np.linalg.norm(w, axis=1)[:, None]
+    a, b = embedding_dedup.coded(u), embedding_dedup.coded(v)
+    signs = 2.0 * np.unpackbits(a.code.view(np.uint8), axis=1)[:, :d] - 1
+    numbers = sum(np.unpackbits(b.planes[:, k].copy().view(np.uint8), axis=1)[:, :d].astype(int) << k for k in range(embedding_dedup.PLANES))
+    got = (signs * b.step[:, None] * (numbers - (2**embedding_dedup.PLANES - 1) / 2)).sum(1) / math.sqrt(d) / a.factor
+    bound = embedding_dedup.EPS * np.sqrt((1 - c**2) * (1 - a.factor**2) / (d - 1)) / a.factor + b.off / a.factor
+    assert (np.abs(got - c) <= bound).all() and abs((got - c).mean()) < 0.005
+    i, j = embedding_dedup.candidates(a, b, d, 0.93)
+    assert set(np.flatnonzero(c >= 0.93)) <= set(i[i == j]) and len(i) < 0.01 * 4000**2
+
+
+def test_embeddings_query_with_planted_links_matches_sql(spark, tmp_path):
+    """The given vectors with near copies of a third of them, of 64 dimensions, so that there is something to link."""
+    v, g = table(spark, "embeddings").collect(), np.random.default_rng(4)
+    rows = [tuple(r) for r in v]
+    for k, r in enumerate(v[:60]):
+        x = np.array(r.embedding, float)
+        rows += [(10_000 + 4 * k + m, (x + g.normal(0, s * np.linalg.norm(x) / 8, len(x))).tolist(), r.label) for m, s in enumerate((0.1, 0.3, 0.41, 0.5))]
+    spark.createDataFrame(rows, table(spark, "embeddings").schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.queries()["op3_embedding_dedup"](spark, str(tmp_path))
+    assert got.where("n_links > 0").count() > 150 and difference(got, embedding_dedup.ORACLE, str(tmp_path)) == ""
+
+
+def test_embeddings_of_extreme_size_link(spark):
+    rows = [(1, [1e160, 0.0], 0), (2, [1e160, 1e150], 0), (3, [1e-160, 0.0], 0), (4, [0.0, 5e-324], 0), (5, [0.0, 1.0], 0), (6, [float("inf"), 1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 def test_mixing_meets_targets(spark):
     d = table(spark, "documents")
     rows = mixing.mixed(d.withColumn("weight", F.lit(0))).collect()
