@@ -7,10 +7,11 @@ leave in order of finish time until the budget, ``share`` times all words, is
 used up: a source that has run out leaves its share to the others by weight, so
 a source's words come within one document of its target.
 
-Cumulative words are summed in two levels: 4,096 hash ranges for each source,
-then inside a range, so that a source of a third of all rows is 4,096 groups.
-Finish times are sorted globally by ranges; only the ranges' sums and the last
-document inside the budget reach the driver. Texts are not shuffled.
+Cumulative words are summed in one order of all documents by ranges, in which
+even equal rows are told apart, so that a source or an id of a third of all rows
+fills as many tasks as it needs. Finish times are sorted globally by ranges; only
+the ranges' sums and the last document inside the budget reach the driver. Texts
+are not shuffled.
 
 Defined cases: null text has no words; a null source is a source of its own,
 last; documents without words are taken as 0 words; the order inside a source
@@ -24,9 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.common import stored
-from talkloom.operators.positions import ranged, running_total
+from talkloom.operators.positions import ranged, running_total, running_totals
 
 WEIGHTS, SHARE, COPIES, SEED = (5, 2, 1), 1.5, 2, "mix-1"
+#: What places an entry in the queue.
+KEY = ("finish", "none", "source", "copy", "shuffled", "doc_id", "size", "tie")
 
 
 def words(text: str | Column) -> Column:
@@ -43,37 +46,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     order = [F.col("source").asc_nulls_last()]
     cycle = F.array(*[F.lit(w) for w in weights])
     ranked = running_total(sizes, F.lit(1), order, "rank")
-    ranked = stored(ranked.select("source", "source_size", F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).alias("weight")), "sources")
-    cap, level = copies * F.col("source_size"), None
-    budget = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
-    while True:  # each round stops at least one more source, usually many
-        stopped = F.lit(False) if level is None else F.col("weight") * F.lit(level) > cap
-        taken, left = ranked.agg(F.sum(F.when(stopped, cap).otherwise(0)), F.sum(F.when(stopped, 0).otherwise(F.col("weight")))).first()
-        now = (budget - taken) / left if left else level
-        if now is None or now == level:
-            break
-        level = now
-    return ranked.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(level or 0.0))))
-
-
-def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> tuple[DataFrame, float]:
-    """``doc_id, size, source, source_size, target, weight, shuffled, passed`` and the budget.
-
-    ``passed``: the source's words up to and with the document, the first time round.
+    ranked = ranked.select("source", "source_size", F.element_at(cycle, ((F.col("rank") - 1) % len(weights) + 1).cast("int")).alias("weight"))
+    ranked = ranked.withColumns({"cap": copies * F.col("source_size"), "stops": copies * F.col("source_size") / F.col("weight")})
+    # in the order in which sources stop, the first that does not sets the level of all after it
+    met = stored(running_totals(ranked, {"capped": F.col("cap"), "heavy": F.col("weight")}, [F.col("stops"), *order]), "sources")
+    words_, weight = met.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not weight:
+        return met.select("source", "source_size", "weight", F.lit(0.0).alias("target"))
+    level = (share * words_ - (F.col("capped") - F.col("cap")).cast("double")) / (F.lit(weight) - F.col("heavy") + F.col("weight")).cast("double")
+    found = met.withColumn("level", level).where("level <= stops").agg(F.min_by("level", F.struct("stops", F.col("source").isNull(), "source"))).first()[0]
+    cap = F.col("cap").cast("double")
+    return met.select("source", "source_size", "weight", (cap if found is None else F.least(cap, F.col("weight") * F.lit(found))).alias("target"))
+
+
+def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, keep: str | None = None, **how) -> DataFrame:
+    """``doc_id, size, source, source_size, target, weight, shuffled, passed, tie`` and the column ``keep``.
+
+    ``passed``: the source's words up to and with the document, the first time
+    round. ``tie`` tells equal rows apart.
     """
     ids = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("size"), F.col(source_col).alias("source"), F.md5(ids.cast("binary")).alias("shuffled")), "sizes")
-    rows = rows.withColumn("bucket", F.substring("shuffled", 1, 3))
-    buckets = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("own")), "buckets")
-    sources = targets(buckets.groupBy("source").agg(F.sum("own").alias("source_size")), **how)
-    before = buckets.select("source", "bucket", (F.sum("own").over(Window.partitionBy("source").orderBy("bucket")) - F.col("own")).alias("before"))
-    before = before.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum("size").over(within))
-    b = before.withColumnsRenamed({"source": "s", "bucket": "k"})
-    out = rows.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("k")))
-    out = out.select("doc_id", "size", "source", "source_size", "target", "weight", "shuffled", (F.col("before") + F.col("inside")).alias("passed"))
-    return stored(out, "queued"), how.get("share", SHARE)
+    kept = [F.col(keep)] if keep else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("size"), F.col(source_col).alias("source"), F.md5(ids.cast("binary")).alias("shuffled"), *kept)
+    rows = stored(rows.withColumn("tie", F.monotonically_increasing_id()), "sizes")
+    sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), **how), "targets")
+    order = [F.col("source").asc_nulls_last(), *map(F.col, ("shuffled", "doc_id", "size", "tie"))]
+    placed = running_total(rows, F.col("size"), order, "all_passed")
+    before = running_total(sources, F.col("source_size"), order[:1], "_until").withColumnRenamed("source", "_source")
+    out = placed.join(before, F.col("source").eqNullSafe(F.col("_source"))).withColumn("passed", F.col("all_passed") - F.col("_until") + F.col("source_size"))
+    return stored(out.select("doc_id", "size", "source", "source_size", "target", "weight", "shuffled", "passed", "tie", *kept), "queued")
 
 
 def _finish(copy: Column) -> Column:
@@ -81,10 +82,10 @@ def _finish(copy: Column) -> Column:
 
 
 def cut(queue: DataFrame, share: float = SHARE, copies: int = COPIES) -> tuple | None:
-    """The last queued (finish, source, copy, shuffled) inside the budget; None when nothing is."""
-    entries = queue.select("source", "shuffled", "doc_id", "size", "passed", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    entries = entries.select(_finish(F.col("copy")).alias("finish"), F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), "copy", "shuffled", "doc_id", "size")
-    key = [F.col(c) for c in ("finish", "none", "source", "copy", "shuffled", "doc_id", "size")]
+    """The last queued entry (``KEY``) inside the budget; None when nothing is."""
+    entries = queue.select("source", "shuffled", "doc_id", "size", "tie", "passed", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    entries = entries.select(_finish(F.col("copy")).alias("finish"), F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().cast("int").alias("none"), "copy", "shuffled", "doc_id", "size", "tie")
+    key = [F.col(c) for c in KEY]
     r = ranged(entries, *key)
     budget, total, last = share * (queue.agg(F.sum("size")).first()[0] or 0), 0, None
     sums = sorted(tuple(x) for x in r.groupBy("part").agg(F.sum("size")).collect())  # a row per range
@@ -92,28 +93,52 @@ def cut(queue: DataFrame, share: float = SHARE, copies: int = COPIES) -> tuple |
         if total + own > budget:
             run = F.sum("size").over(Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0))
             inside = r.where(F.col("part") == part).withColumn("run", run).where(F.col("run") <= budget - total)
-            return inside.agg(F.max(F.struct(*key[:5]))).first()[0] or (last and r.where(F.col("part") == last).agg(F.max(F.struct(*key[:5]))).first()[0])
+            return inside.agg(F.max(F.struct(*key))).first()[0] or (last and r.where(F.col("part") == last).agg(F.max(F.struct(*key))).first()[0])
         total, last = total + own, part
-    return r.agg(F.max(F.struct(*key[:5]))).first()[0]
+    return r.agg(F.max(F.struct(*key))).first()[0]
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
     """doc_id, size, source_size, target, n_taken (copies the mix takes), taken (words), finish (of the first copy)."""
-    queue, _ = queued(docs, id_col, text_col, source_col, seed, weights=weights, share=share, copies=copies)
+    return _mixed(queued(docs, id_col, text_col, source_col, seed, weights=weights, share=share, copies=copies), share, copies).withColumnRenamed("doc_id", id_col).drop("row_hash")
+
+
+def _mixed(queue: DataFrame, share: float, copies: int) -> DataFrame:
     last = cut(queue, share, copies)
     n = F.lit(0)
     if last is not None:
+        limit = F.struct(*[F.lit(x).cast(t.dataType).alias(t.name) for x, t in zip(last, _keyed(queue, 0).schema, strict=True)])
         for c in range(copies):
-            key = F.struct(_finish(F.lit(c)).alias("finish"), F.col("source").isNull().cast("int").alias("none"), F.coalesce("source", F.lit("")).alias("source"), F.lit(c).alias("copy"), F.col("shuffled"))
-            n = n + (key <= F.struct(*[F.lit(x).alias(f) for f, x in zip(("finish", "none", "source", "copy", "shuffled"), last, strict=True)])).cast("int")
-    return queue.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", n.alias("n_taken"), (n * F.col("size")).alias("taken"), _finish(F.lit(0)).alias("finish"))
+            n = n + (F.struct(*_key(c)) <= limit).cast("int")
+    kept = [c for c in ("row_hash",) if c in queue.columns]
+    return queue.select("doc_id", "size", "source_size", "target", n.alias("n_taken"), (n * F.col("size")).alias("taken"), _finish(F.lit(0)).alias("finish"), *kept)
+
+
+def _key(copy: int) -> list[Column]:
+    """An entry's place in the queue: ``KEY``."""
+    own = {"finish": _finish(F.lit(copy)), "none": F.col("source").isNull().cast("int"), "source": F.coalesce("source", F.lit("")), "copy": F.lit(copy)}
+    return [own.get(c, F.col(c)).alias(c) for c in KEY]
 
 
-def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: rows of ``docs``, as often as they are taken. Rows with a null id follow all of them."""
-    n = mixed(docs, id_col, **how).groupBy(id_col).agg(F.max("n_taken").alias("n_taken")).where("n_taken > 0").withColumnRenamed(id_col, "mixed_id")
-    out = docs.join(n, F.col(id_col).eqNullSafe(F.col("mixed_id")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "n_taken")).alias("mixed_copy")).drop("mixed_copy")
+def _keyed(queue: DataFrame, copy: int) -> DataFrame:
+    return queue.select(*_key(copy))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", share: float = SHARE, copies: int = COPIES, **how) -> DataFrame:
+    """The mix itself: rows of ``docs``, as often as they are taken.
+
+    A row is known again by its id and a hash of all its columns. Rows equal in
+    both are one row of which as many are taken as of all of them together.
+    """
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    hashed = docs.withColumn("row_hash", F.xxhash64(*plain, *[F.col(c).isNull() for c in plain]))
+    n = _mixed(queued(hashed, id_col, keep="row_hash", share=share, copies=copies, **how), share, copies)
+    n = stored(n.groupBy("doc_id", "row_hash").agg(F.sum("n_taken").cast("int").alias("mixed_times"), F.count("*").alias("mixed_rows")).where("mixed_times > 0").withColumnsRenamed({"doc_id": "mixed_id", "row_hash": "mixed_hash"}), "taken")
+    same = F.col(id_col).eqNullSafe(F.col("mixed_id")) & (F.col("row_hash") == F.col("mixed_hash"))
+    once = hashed.join(n.where("mixed_rows = 1"), same).select(*docs.columns, "mixed_times")
+    repeated = hashed.join(n.where("mixed_rows > 1"), same).groupBy("mixed_id", "mixed_hash").agg(F.first("mixed_times").alias("mixed_times"), F.first(F.struct(*docs.columns)).alias("row"))
+    every = once.unionByName(repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns], "mixed_times"))
+    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_times")).alias("mixed_copy")).drop("mixed_copy")
 
 
 ORACLE = """
@@ -138,6 +163,6 @@ WITH d AS (
 ), r AS (
   SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, c, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM e
 )
-SELECT doc_id, size, source_size, round(target, 3) AS target, CAST(sum(CASE WHEN run <= 1.5 * (SELECT sum(size) FROM d) THEN size ELSE 0 END) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN run <= 1.5 * (SELECT sum(size) FROM d) THEN size ELSE 0 END) AS BIGINT) AS taken
 FROM r GROUP BY doc_id, size, source_size, target, h
 """
