@@ -18,7 +18,7 @@ Reading back streams each conversation's frames, in order, through the same
 parser; a task holds one frame and a few digests at a time.
 
 Defined cases: null role and text are empty; a null conv_id is a conversation of
-its own; turns are ordered by turn (null first), then role and text, so ties and
+its own; turns are ordered by turn (null first), then role and the text's MD5, so ties and
 repeated rows have one order; an empty table has no conversations.
 """
 
@@ -98,7 +98,7 @@ def rendered(role: str, text: str) -> tuple[str, int, int]:
 def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id, turn, role, text, piece, loss_start, loss_end``: a frame for each row.
 
-    A conversation's output is its pieces by (turn, role, text). The loss mask is
+    A conversation's output is its pieces by (turn, role, md5 of text). The loss mask is
     characters [loss_start, loss_end) of an assistant's piece; null otherwise.
     """
     kind, turn = conversations.schema[conv_col].dataType, conversations.schema[turn_col].dataType
@@ -168,7 +168,8 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if done:
             yield batch(types)
 
-    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "piece", "loss_start", "loss_end")
+    tied = pieces.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("tie"), "piece", "loss_start", "loss_end")
+    ordered = tied.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie").select("conv_id", "piece", "loss_start", "loss_end")
     return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -188,8 +189,8 @@ WITH c AS (
     + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length(role) END AS chars,
     CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM c
 )
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, md5(text))) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
