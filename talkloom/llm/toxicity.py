@@ -4,18 +4,21 @@ Tokens are runs of letters. Each has two labels, clean and toxic; the chain has
 transition weights and, for each token, the summed weights of its lower-cased
 word, its first three to six characters and its last three, hashed to ``PLACES``
 weights. Forward-backward gives every token's marginal probability of being
-toxic; a document's score comes from the expected number of toxic tokens and the
-log-odds of any and of the likeliest one, by logistic regression.
+toxic; a document's score comes from the expected number of toxic tokens, the
+log-odds of its likeliest and its second likeliest one, and its length, by
+logistic regression.
 
 Training labels are of documents. Tokens are labelled from them: every token of
 a clean document is clean; a token of a toxic document is toxic if at least two
-of its features are telling: documents with them are toxic far more often than
-chance (a likelihood ratio over all labelled rows, counted by Spark; at most
-``PLACES`` sums reach the driver). Toxic documents without such a token don't
+of its features are telling: their odds to be in a toxic document are at least
+``TELLING`` times those to be in a clean one, by more than chance (a likelihood
+ratio over all labelled rows, counted by Spark; at most ``PLACES`` sums reach the
+driver). Toxic documents without such a token don't
 train the chain. Only features that at least ``LEAST_DF`` toxic documents have
 get a weight. The chain (by AdaGrad) and the logistic regression are fitted on
-a bounded sample: about ``per_label`` labelled rows of each label, of at most ``chars`` characters, drawn by a hash of the id. Scoring
-takes every text whole and shuffles nothing.
+a bounded sample: about ``per_label`` labelled rows of each label and never more
+than a third above it, of at most ``chars`` characters, drawn by a hash of id and
+text. Scoring takes every text whole and shuffles nothing.
 
 Forward-backward runs over all tokens of a batch as one chain in which a
 document's start forgets what came before: it is cut in equal lanes, each lane's
@@ -44,7 +47,7 @@ from talkloom.llm.common import crc_part, stored
 PLACES_LOG2 = 19
 PLACES = 1 << PLACES_LOG2
 KEPT, AT_ONCE = 500_000, 400_000
-LANES = 2048
+LANES, TELLING = 2048, 5.0
 #: Toxic documents that a telling feature has at least; counts of no others reach the driver.
 LEAST_DF = 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
@@ -162,18 +165,25 @@ class Emissions(dict):
         return x
 
 
-def summary(p: np.ndarray, logz: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each document: log expected toxic tokens, and log-odds of having any and of the likeliest one."""
-    out = np.zeros((len(lengths), 3))
-    out[:, 1:] = -12.0
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 6e-6, 1 - 6e-6)
+    return np.log(p / (1 - p))
+
+
+def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each document: log expected toxic tokens, log-odds of its likeliest and second likeliest one, log tokens."""
+    out = np.zeros((len(lengths), 4))
+    out[:, 1:3] = _log_odds(np.zeros(1))
+    out[:, 3] = np.log1p(lengths)
     full = np.flatnonzero(lengths)
     if len(full):
         first = (np.cumsum(lengths) - lengths)[full]
-        out[full, 0] = np.log1p(np.add.reduceat(p, first))
-        any_ = np.clip(np.add.reduceat(logz, first), 6e-6, 30)
-        out[full, 1] = np.clip(np.log(np.expm1(any_)), -12, 12)
-        top = np.clip(np.maximum.reduceat(p, first), 6e-6, 1 - 6e-6)
-        out[full, 2] = np.log(top / (1 - top))
+        top = np.maximum.reduceat(p, first)
+        out[full, 0], out[full, 1] = np.log1p(np.add.reduceat(p, first)), _log_odds(top)
+        at = np.flatnonzero(p == np.repeat(top, lengths[full]))
+        others = p.copy()
+        others[at[np.unique(np.searchsorted(first, at, side="right"), return_index=True)[1]]] = 0
+        out[full, 2] = _log_odds(np.maximum.reduceat(others, first))
     return out
 
 
@@ -196,13 +206,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return beta
 
 
-def telling(df: np.ndarray, docs: np.ndarray, share: float = 0.8, least: float = 24.0) -> np.ndarray:
-    """Features of whose documents (``df``: clean, toxic) at least ``share`` are toxic, by more than chance: likelihood ratio ``least``."""
+def telling(df: np.ndarray, docs: np.ndarray, odds: float = TELLING, least: float = 24.0) -> np.ndarray:
+    """Features (``df``: clean, toxic documents with them) at least ``odds`` times as likely in toxic documents, by more than chance: likelihood ratio ``least``."""
     rate, n = docs[1] / max(1, docs.sum()), np.maximum(df.sum(0), 1)
     own = df[1] / n
     part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-300) / q), 0)
     g = 2 * (part(df[1], own, max(rate, 1e-9)) + part(df[0], 1 - own, max(1 - rate, 1e-9)))
-    return (own >= share) & (g >= least)
+    return ((df[1] + 0.5) * docs[0] >= odds * (df[0] + 0.5) * docs[1]) & (own > rate) & (g >= least)
 
 
 def train(texts: list[str], labels: list[int], df: np.ndarray, docs_of: np.ndarray, epochs: int = 10, rate: float = 0.3) -> Model | None:
@@ -249,9 +259,9 @@ def train(texts: list[str], labels: list[int], df: np.ndarray, docs_of: np.ndarr
     start = np.zeros(len(seq), bool)
     start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
     chain = Chain(weights, trans)
-    p, logz = chain.marginals(emit()[seq], start)[:2] if len(seq) else (np.zeros(0), np.zeros(0))
+    p = chain.marginals(emit()[seq], start)[0] if len(seq) else np.zeros(0)
     stands = np.where(y == 1, docs_of[1] / y.sum(), docs_of[0] / (len(y) - y.sum()))
-    return Model(chain, _logistic(summary(p, logz, lengths), y.astype(float), stands * len(y) / stands.sum()))
+    return Model(chain, _logistic(summary(p, lengths), y.astype(float), stands * len(y) / stands.sum()))
 
 
 def document_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
@@ -276,25 +286,32 @@ def document_counts(rows: DataFrame, text_col: str, label_col: str) -> DataFrame
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 2500, chars: int = 20_000) -> Model | None:
-    """A model from all labelled rows' counts and about ``per_label`` rows of each label, none longer than ``chars``."""
+    """A model from all labelled rows' counts and about ``per_label`` rows of each label, none longer than ``chars``.
+
+    Never more than a third above ``per_label`` rows of a label reach the driver.
+    """
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(label_col).agg(F.count("*"), F.count(F.when(F.length(text_col) <= chars, 1))).collect()}
+    draw = F.pmod(F.xxhash64(F.lit("toxic"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    fits = F.length(text_col) <= chars
+    counts = {r[0]: r[1:] for r in rows.groupBy(label_col).agg(F.count("*"), F.count(F.when(fits, 1)), F.coalesce(F.min(F.when(fits, draw)), F.lit(0.0))).collect()}
     if len(counts) < 2:
         return None
     docs_of = np.array([counts[0][0], counts[1][0]], float)
     df = np.zeros((2, PLACES))
     for place, clean, toxic in document_counts(rows, text_col, label_col).where(F.col("toxic") >= LEAST_DF).collect():
         df[:, place] = clean, toxic
-    rate = F.create_map(*[F.lit(x) for k, (_, n) in counts.items() for x in (k, min(1.0, per_label / max(1, n)))])
-    draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where((F.length(text_col) <= chars) & (draw < rate[F.col(label_col)]))
-    sample = sorted(tuple(r) for r in drawn.select(draw, F.col(text_col), F.col(label_col)).collect())
+    short = rows.where(fits).select(draw.alias("draw"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    part = lambda k: short.where((F.col("label") == k) & (F.col("draw") <= max(counts[k][2], 1.3 * per_label / max(1, counts[k][1])))).orderBy("draw", "text").limit(per_label + per_label // 3)
+    sample = sorted(tuple(r) for k in (0, 1) for r in part(k).collect())
     return train([r[1] for r in sample], [int(r[2]) for r in sample], df, docs_of)
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, toxic_from: float = 0.5) -> DataFrame:
-    """The ``keep`` columns with score and spans: offsets of the tokens whose marginal is ``toxic_from`` or more."""
-    keep = keep or docs.columns
+    """The ``keep`` columns with score and spans: offsets of the tokens whose marginal is ``toxic_from`` or more.
+
+    Kept columns of these two names give way to the results.
+    """
+    keep = [c for c in keep or docs.columns if c not in ("score", "spans")]
     columns = [*keep, *([] if text_col in keep else [text_col])]
     place = columns.index(text_col)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
@@ -339,8 +356,8 @@ def _scored(m: Model, known: Emissions, texts: list[str | None], toxic_from: flo
     first = np.cumsum(lengths) - lengths
     start = np.zeros(len(s), bool)
     start[first[lengths > 0]] = True
-    p, logz = m.chain.marginals(s, start)[:2] if len(s) else (np.zeros(0), np.zeros(0))
-    scores = m.score(summary(p, logz, lengths))
+    p = m.chain.marginals(s, start)[0] if len(s) else np.zeros(0)
+    scores = m.score(summary(p, lengths))
     spans: list[list[dict]] = [[] for _ in texts]
     hot = np.flatnonzero(p >= toxic_from)
     for k in np.unique(np.searchsorted(np.cumsum(lengths), hot, side="right")).tolist():
