@@ -8,13 +8,15 @@ kernel values into a bounded number of features; kernel ridge regression, one
 language against the rest, is fitted on them. Texts are scored in batches:
 presence matrix times landmark matrix, then times the ridge weights.
 
-Only fitting looks at a sample: about ``per_lang`` labelled rows of each
-language, drawn by a hash of the id. All rows are scored whole, without a
+Only fitting looks at a sample: ``per_lang`` labelled rows of each language at
+most, drawn by a hash of id and text. All rows are scored whole, without a
 shuffle; the model that is broadcast has langs x per_landmark x DIMS numbers.
 
 Defined cases: null text and text without a letter give ``und`` with score 0,
 as every text does when nothing could be learned (no labelled rows); a null id
-counts as empty text for the fold; one learned language takes every text.
+counts as empty text for the fold; one learned language takes every text. A
+caller may ask that a text's n-grams be known of its language: texts of which
+less than ``least_known`` is, such as those of a foreign script, are ``und`` too.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +67,7 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # landmarks x DIMS, float32
     weights: np.ndarray  # landmarks x langs
+    known: np.ndarray  # langs x DIMS: the n-grams that the language's sample has
 
     def score(self, presence: np.ndarray) -> np.ndarray:
         return kernel(presence, self.landmarks) @ self.weights
@@ -77,13 +80,13 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 250, per_landmark: int = 24, ridge: float = 0.05) -> Model:
     """A model from about ``per_lang`` rows of each non-null language of ``docs``."""
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(lang_col).count().collect()}
+    draw = F.pmod(F.xxhash64(F.lit("lang"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1:] for r in labelled.groupBy("lang").agg(F.count("*"), F.min("draw")).collect()}
     if not counts:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0)))
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_lang / n))])
-    draw = F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(draw < rate[F.col(lang_col)])
-    chosen = chosen.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0)), np.zeros((0, DIMS), bool))
+    most = F.create_map(*[F.lit(x) for k, (n, least) in counts.items() for x in (k, max(least, 1.3 * per_lang / n))])
+    chosen = labelled.where(F.col("draw") <= most[F.col("lang")])  # equal rows share one draw: the window below bounds them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,12 +98,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 bits.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["lang", "draw", "bits"])
 
-    rows = sorted(chosen.mapInArrow(run, "lang string, draw double, bits binary").collect())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
+    marked = chosen.mapInArrow(run, "lang string, draw double, bits binary")
+    rows = sorted(tuple(r)[:3] for r in marked.withColumn("place", place).where(F.col("place") <= per_lang + per_lang // 3).collect())
     langs = sorted(counts)
     by = {k: [r for r in rows if r[0] == k and any(r[2])][:per_lang] for k in langs}
     langs = [k for k in langs if by[k]]
     if not langs:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0)))
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros((0, 0)), np.zeros((0, DIMS), bool))
     x = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8)[None], axis=1) for k in langs for r in by[k]]).astype(np.float32)
     y = np.array([[1.0 if k == q else -1.0 for q in langs] for k in langs for _ in by[k]])
     size = np.concatenate([np.full(len(by[k]), len(rows) / len(by[k])) for k in langs])
@@ -112,22 +117,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     phi = kernel(x, landmarks) @ root
     w = size / size.mean()
     beta = np.linalg.solve(phi.T @ (phi * w[:, None]) + ridge * np.eye(phi.shape[1]), phi.T @ (y * w[:, None]))
-    return Model(langs, landmarks, root @ beta)
+    known = np.stack([x[sum(len(by[q]) for q in langs[:k]) :][: len(by[lang])].any(0) for k, lang in enumerate(langs)])
+    return Model(langs, landmarks, root @ beta, known)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The ``keep`` columns (all of ``docs`` by default) with the language and its score, 0 to 1, under ``names``."""
-    keep = keep or docs.columns
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), least_known: float = 0.0) -> DataFrame:
+    """The ``keep`` columns (all of ``docs`` by default) with the language and its score, 0 to 1, under ``names``.
+
+    Kept columns of these names give way to the results.
+    """
+    keep = [c for c in keep or docs.columns if c not in names]
     columns = [*keep, *([] if text_col in keep else [text_col])]
     place = columns.index(text_col)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, np.packbits(model.landmarks.astype(np.uint8), axis=1), model.weights))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, np.packbits(model.landmarks.astype(np.uint8), axis=1), model.weights, np.packbits(model.known, axis=1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        langs, bits, weights = shared.value
-        m = Model(langs, np.unpackbits(bits, axis=1)[:, :DIMS].astype(np.float32), weights)
+        langs, bits, weights, own = shared.value
+        m = Model(langs, np.unpackbits(bits, axis=1)[:, :DIMS].astype(np.float32), weights, np.unpackbits(own, axis=1)[:, :DIMS].astype(np.float32))
         kinds, x = to_arrow_schema(schema), np.zeros((AT_ONCE, DIMS), np.float32)
         for b in batches:
             names, scores = [], []
@@ -146,6 +155,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 e = np.exp(f - f.max(1, keepdims=True))
                 best = f.argmax(1)
                 p = (e / e.sum(1, keepdims=True)).max(1)
+                if least_known:
+                    share = (x[: len(texts)] * m.known[best]).sum(1) / np.maximum(x[: len(texts)].sum(1), 1)
+                    known = [ok and s >= least_known for ok, s in zip(known, share, strict=True)]
                 names += [m.langs[j] if ok else NOTHING for j, ok in zip(best, known, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(p, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=kinds)

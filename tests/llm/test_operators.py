@@ -277,6 +277,63 @@ def test_mixing_meets_targets(spark):
     assert mixing.take(odd).columns == odd.columns and mixing.take(odd.limit(0)).count() == 0
 
 
+def test_mixing_takes_rows_of_null_and_repeated_ids(spark):
+    """Each row is taken by itself: rows of one id, or of none, do not share their luck."""
+    r = random.Random(3)
+    rows = [(None if k % 3 == 0 else k % 7 if k % 3 == 1 else k, " ".join("w" * r.randint(1, 9)) + f" u{k // 2}", "en", "ab"[k % 2], k // 2) for k in range(600)]
+    rows += [(None, "the same row of ten words in all its columns ok", "en", "b", 0)] * 300
+    d = spark.createDataFrame(rows, DOCS).repartition(5)
+    told = mixing.mixed(d).collect()
+    taken = mixing.take(d)
+    assert len(told) == len(rows) and taken.columns == d.columns
+    got = {x.source: (x.n, x.words) for x in taken.groupBy("source").agg(F.count("*").alias("n"), F.sum(mixing.words("text")).alias("words")).collect()}
+    assert sum(x.n_taken for x in told) == sum(n for n, _ in got.values()) and sum(x.taken for x in told) == sum(w for _, w in got.values())
+    targets = {x.source_size: x.target for x in told}
+    assert all(min(abs(w - t) for t in targets.values()) <= 22 for _, w in got.values())
+    assert taken.groupBy(*d.columns).count().agg(F.max("count")).first()[0] > 300  # equal rows are taken together
+
+
+def test_language_scores_match_plain_kernels(spark):
+    """The prediction rebuilt from sets of n-grams and the model's weights, text by text."""
+    d = table(spark, "documents").limit(40)
+    model = language_id.fit(table(spark, "documents"))
+
+    def grams(text):
+        row = np.zeros(language_id.DIMS, np.uint8)
+        language_id.mark(text, row)
+        return set(np.flatnonzero(row).tolist())
+
+    marks = [set(np.flatnonzero(x).tolist()) for x in model.landmarks]
+    for r in language_id.predict(d, model, keep=["doc_id", "text"]).collect():
+        own = grams(r.text)
+        f = [3 * sum(len(own & m) / math.sqrt(len(own) * len(m)) * w for m, w in zip(marks, ws, strict=True)) for ws in model.weights.T]
+        e = [math.exp(x - max(f)) for x in f]
+        assert r.lang_pred == model.langs[f.index(max(f))] and abs(r.score - max(e) / sum(e)) < 1e-4
+
+
+def test_language_marks_are_the_n_grams_of_one_to_three_characters():
+    for text in ("", "a", "ab", "Ab c1", "über älles, ß 漢字"):
+        plain = "".join(c.lower() if ord(c) > 127 or c.isalpha() else " " for c in text.lower())
+        row = np.zeros(language_id.DIMS, np.uint8)
+        language_id.mark(text, row)
+        every = np.zeros(language_id.DIMS, np.uint8)
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                language_id.mark(plain[i : i + n], every)
+        assert (row == every).all() and row.any() == bool(text)
+
+
+def test_language_refuses_what_it_does_not_know(spark):
+    d = table(spark, "documents")
+    model = language_id.fit(d)
+    odd = docs(spark, ["漢字仮名交じり文の例です。" * 30, "Привет мир как дела " * 30, d.where("lang = 'en'").first().text]).withColumn("lang_pred", F.lit("x"))
+    assert [r.lang_pred for r in language_id.predict(odd, model, least_known=0.4).orderBy("doc_id").collect()] == ["und", "und", "en"]
+    assert [r.lang_pred == "und" for r in language_id.predict(odd, model).orderBy("doc_id").collect()] == [False] * 3
+    assert language_id.predict(d, model, least_known=0.4).where("lang_pred = 'und'").count() == d.where("text IS NULL OR NOT text RLIKE '[A-Za-zÀ-ÿ]'").count()
+    nothing = spark.createDataFrame([(None, "abc " * 40, "en", "s", 0)] * 3000, DOCS)
+    assert language_id.fit(nothing, per_lang=30).langs == ["en"]
+
+
 def test_language_held_out_accuracy(spark):
     d = table(spark, "documents")
     rows = language_id.languages(d.drop("n_chars").withColumn("score", F.lit(0))).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -314,12 +371,40 @@ def test_toxicity_held_out(spark):
     d = d.join(labels.select("doc_id"), "doc_id", "left_semi")
     rows = toxicity.toxicity(d.withColumn("spans", F.lit(0)), labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
     bad = [r for r in rows if r.toxic == 1]
-    assert sum(r.predicted for r in bad) >= 0.6 * len(bad) > 0
-    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(rows)
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) > 0
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(rows)
     odd = toxicity.toxicity(docs(spark, ODD), labels.limit(0)).collect()
     assert len(odd) == len(ODD) and {r.score for r in odd} == {0.0}
 
 
+def test_toxicity_scores_match_plain_forward_backward(spark):
+    """Every score from plain recursions over one document's tokens at a time, with the fitted weights."""
+    g = np.random.default_rng(6)
+    clean, bad = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)], ["nastyx", "nastyy", "nastyz"]
+    texts = [" ".join([*g.choice(clean, 30), *(g.choice(bad, 3) if k % 4 == 0 else [])]) for k in range(400)]
+    rows = [(k, t, int(k % 4 == 0)) for k, t in enumerate(texts)] + [(None, texts[0], 1)] * 40
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), per_label=150)
+    asked = [*texts[:30], *ODD, "nastyx", "nastyx nastyy", "x " * 5000 + "nastyz nastyx"]
+    got = [r.score for r in toxicity.score(docs(spark, asked).withColumn("score", F.lit(1)), model).orderBy("doc_id").collect()]
+    weights, t = model.chain.weights.astype(np.float32), model.chain.transitions
+    move = np.exp([[0.0, t[0]], [t[1], t[2]]])
+    for text, score in zip(asked, got, strict=True):
+        e = [np.array([1.0, math.exp(float(weights[toxicity.features(w)].sum()))]) for w in toxicity.tokens(text or "")]
+        ahead, back = [], []
+        for k, x in enumerate(e):
+            a = x * (ahead[-1] @ move if k else np.exp([0.0, t[3]]))
+            ahead.append(a / a.sum())
+        for k in range(len(e)):
+            b = move @ (e[-k] * back[-1]) if k else np.ones(2)
+            back.append(b / b.sum())
+        p = np.array([(a * b)[1] / (a * b).sum() for a, b in zip(ahead, back[::-1], strict=True)])
+        best = [*sorted(p, reverse=True), 0.0, 0.0]
+        odds = lambda q: math.log(min(max(q, 6e-6), 1 - 6e-6) / (1 - min(max(q, 6e-6), 1 - 6e-6)))
+        x = np.array([1, math.log1p(p.sum()), odds(best[0]), odds(best[1]), math.log1p(len(p))])
+        assert abs(score - 1 / (1 + math.exp(-np.clip(x @ model.logistic, -50, 50)))) < 1e-4
+    assert got[0] > 0.7 > 0.3 > got[1]
+
+
 HOSTILE = st.text(st.sampled_from("ab\\<>[]/ \ns") | st.characters(codec="utf-8"), max_size=12) | st.lists(st.sampled_from([*chat_format.CONTROLS, "\\", " ", "[", "x", "] "]), max_size=6).map("".join)
 
 
