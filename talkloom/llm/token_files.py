@@ -175,13 +175,16 @@ class Mixer:
 
     def renew(self) -> None:
         """Learns frequencies, probabilities and weights from the last RENEW ids."""
-        start, n, w = self.start, self.lanes, self.start.width
-        for recent, at in ((self.recent_high, self.ids // w + self.group), (self.recent_low, self.ids + self.group * w)):
-            recent += (np.bincount(at.ravel(), minlength=recent.size) * STEP).astype(np.int16).reshape(recent.shape)
-        self.high = cumulated(start.high + self.recent_high)
-        self.low = cumulated(start.low + self.recent_low).reshape(-1, w + 1)
-        for recent in (self.recent_high, self.recent_low):
-            recent -= recent >> FADE
+        start, n, g, w = self.start, self.lanes, self.start.groups, self.start.width
+        for k in range(0, n, 64):  # some blocks at a time: what is counted is wider than what is kept
+            ids, high, low = self.ids[:, k : k + 64], self.recent_high[k : k + 64], self.recent_low[k : k + 64]
+            for recent, at, size in ((high, ids // w, g), (low, ids, g * w)):
+                at = at + np.arange(len(recent)) * size
+                recent += (np.bincount(at.ravel(), minlength=recent.size) * STEP).astype(np.int16).reshape(recent.shape)
+            self.high[k : k + 64] = cumulated(start.high + high)
+            self.low[k * g : (k + 64) * g] = cumulated(start.low + low).reshape(-1, w + 1)
+            high -= high >> FADE
+            low -= low >> FADE
         count = lambda at: np.bincount(at.ravel(), minlength=n << 8).reshape(n, 4, 8, 8)
         met, held1, held2 = count(self.was), count(self.was[self.held1]), count(self.was[self.held2])
         for o, (held, axes) in enumerate(((held1, (1, 3)), (held2, (1, 2)))):

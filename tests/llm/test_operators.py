@@ -524,3 +524,23 @@ def test_pipeline(spark):
     assert all(sizes[n][2] == table(spark, "documents").columns for n, _ in corpus_pipeline.STAGES[:-1])
     assert sizes["language_id"][0] == sizes["language_id"][1] and sizes["simhash_near_dedup"][1] < sizes["simhash_near_dedup"][0]
     assert sizes["decontamination"][1] < sizes["decontamination"][0] and sizes["token_output"][0] == sizes["token_output"][1]
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    """Nulls, repeats, empty tables and columns that clash with an operator's own: each stage keeps the columns and all clean rows."""
+    import corpus_pipeline
+
+    d = table(spark, "documents")
+    clean = d.where("length(text) > 400").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "漢字仮名交じり文 " * 40, None, "s", 0), (7, "漢字仮名交じり文 " * 40, None, "s", 0)], DOCS)
+    extra = {c: F.lit(k) for k, c in enumerate(("n_hit", "items", "score", "lang_pred", "size", "target", "fp", "start"))}
+    rows = clean.unionByName(odd).withColumns(extra)
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, SF)
+        sizes[name] = out.count()
+        assert name == "token_output" or (out.columns == rows.columns and out.where("size <> 4 OR n_hit <> 0").count() == 0)
+        assert stage(spark, rows.limit(0), SF).count() == 0
+    assert sizes["language_id"] == 40 and sizes["token_output"] == 44
+    unlabelled = clean.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unlabelled, SF).count() == 40
