@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talkloom.llm import decontamination, language_id, mixing, simhash, token_files
 from talkloom.llm.common import crc_part, stored, table
@@ -16,10 +17,31 @@ from talkloom.llm.common import crc_part, stored, table
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Columns of these names under others, so that an operator may add its own."""
+    return docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c in names})
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, after :func:`_aside`."""
+    return found.select(*[F.col(f"_kept_{c}" if f"_kept_{c}" in found.columns else c).alias(c) for c in docs.columns])
+
+
+#: Share of a document's n-grams that its predicted language must know; given documents have 0.6 and more.
+LEAST_KNOWN = 0.4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: null and letterless texts go."""
+    """Documents in a language that the classifier knows.
+
+    Those go whose text is null or letterless, or mostly of n-grams that the
+    predicted language doesn't have. Where nothing could be learned, all stay.
+    """
     model = language_id.fit(docs.where(crc_part("doc_id", 5) != 0))
-    return language_id.predict(docs, model, names=("_lang", "_lang_score")).where(f"_lang <> '{language_id.NOTHING}'").select(docs.columns)
+    if not model.langs:
+        return docs
+    found = language_id.predict(_aside(docs, ("lang_pred", "score")), model, least_known=LEAST_KNOWN)
+    return _back(found.where(f"lang_pred <> '{language_id.NOTHING}'"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +51,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("n_hit = 0").select(docs.columns)
+    ours = _aside(docs, ("n_words", "n_hit", "items", "spans"))
+    found = decontamination.contamination(ours, table(spark, sf_dir, "benchmark"), keep=ours.columns)
+    return _back(found.where("n_hit = 0"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
