@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.plans import archive_queries, concordance_queries
+from talkloom.plans import archive_queries, concordance_queries, reader_queries
 
-MODULES = [concordance_queries, archive_queries]
+MODULES = [concordance_queries, archive_queries, reader_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,7 +63,9 @@ def safe_filename(c: str | Column) -> Column:
 
 
 def page_stem(date: str | Column, title: str | Column) -> Column:
-    return F.when(F.coalesce(col(date), F.lit("")) != "", F.concat(col(date), F.lit(" - "), safe_filename(title))).otherwise(safe_filename(title))
+    """A page's name from its date and title, either of which may be null."""
+    name = safe_filename(F.coalesce(col(title), F.lit("")))
+    return F.when(F.coalesce(col(date), F.lit("")) != "", F.concat(col(date), F.lit(" - "), name)).otherwise(name)
 
 
 def smart_title(c: str | Column) -> Column:

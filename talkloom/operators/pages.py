@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +53,30 @@ def passage_rows(total: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, form: str = "parquet", by: str = "archive_id") -> None:
     """Replaces only the archives that are in ``pages``; a large archive is dealt to several tasks."""
     pages.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)
+
+
+def write_files(pages: DataFrame, folder: str) -> int:
+    """One file for each (path, text) under ``folder`` of any file system that Arrow knows; gives their number.
+
+    Each task writes its own rows. A repeated task writes the same files again.
+    """
+    folder = re.sub("^file:/+", "/", folder)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        system, base = FileSystem.from_uri(folder)
+        made: set[str] = set()
+        for b in batches:
+            for path, text in zip(b.column(0), b.column(1), strict=True):
+                whole = f"{base}/{path.as_py()}"
+                parent = whole.rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent)
+                    made.add(parent)
+                with system.open_output_stream(whole) as f:
+                    f.write((text.as_py() or "").encode("utf-8", "replace"))
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    written = pages.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(put, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -194,6 +194,7 @@ def _tokens(x: str) -> str:
 _TF = f"""{TALKS}, tok AS (SELECT archive_id, record_id, unnest({_tokens("concat_ws(' ', title, series, transcript_text)")}) AS term FROM t),
 tf AS (SELECT archive_id, record_id, term, count(*) AS tf FROM tok GROUP BY ALL), nn AS (SELECT archive_id, count(*) AS n FROM t GROUP BY archive_id),
 df AS (SELECT archive_id, term, count(*) AS df, any_value(n) AS n, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf JOIN nn USING (archive_id) GROUP BY archive_id, term)"""
+_SKIP = "|".join(w.replace("'", "''") for w in rules.SKIP_PHRASES)
 _KEYS = "[CASE WHEN video_id IS NOT NULL THEN 'i' || video_id END, 'yt' || left(date, 4) || title, 'd' || date]"
 _RAW = f"""r0 AS (
   SELECT 'c' || o_custkey AS archive_id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 <> 0 THEN 'S' || (o_orderkey % 4) END AS speaker, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || (o_orderkey % 40) END AS video_id,
@@ -246,6 +247,23 @@ HAVING sum(8 * {_hits('m')} + 3 * {_hits("replace(lower(left(raw, 5000)), 'ß',
 SELECT record_id, CASE WHEN q < 2 THEN summary WHEN q = 2 THEN 'plain ' || record_id ELSE 's' || record_id END AS summary, CASE WHEN q >= 2 THEN 'ai_generated_review_required' END AS summary_status,
   CASE WHEN q > 2 AND themes[1] = 'Theme 0' THEN array_to_string(list_append(themes, 'new'), ';') WHEN q > 2 THEN array_to_string(list_concat(themes, ['Theme 0', 'new']), ';') ELSE array_to_string(themes, ';') END AS themes,
   len(review_flags) + CASE WHEN q = 1 THEN 0 ELSE 1 END AS n_flags FROM i""",
+    "record_pages": rf"""WITH {TALKS}, s AS (SELECT *, coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), '{rules.UNTITLED}') AS safe, list_concat(review_flags, questionable_claims) AS fl FROM t)
+SELECT archive_id, coalesce(date || ' - ', '') || safe || '.md' AS path, md5(concat_ws(chr(10), '# ' || coalesce(title, ''),
+  CASE WHEN len(fl) > 0 THEN '> [!warning] Review needed' || chr(10) || array_to_string(list_transform(fl, lambda x: '> - ' || x), chr(10)) END, '## Metadata',
+  '- **Date:** ' || coalesce(date, 'Review needed'), '- **Speaker:** ' || coalesce('[[' || speaker || ']]', 'Review needed'), '- **Series:** ' || coalesce('[[' || series || ']]', 'Review needed'), '- **Scripture:** Review needed',
+  '- **Transcript status:** ' || transcript_status, '## Generated Summary', coalesce(summary, '_No summary._'), '## Transcript', CASE WHEN has_text THEN regexp_replace(transcript_text, '^\s+|\s+$', '', 'g') ELSE '_No transcript text is available yet._' END)) AS digest FROM s""",
+    "sentence_candidates": rf"""WITH {_TF}, s AS (SELECT archive_id, record_id, unnest(regexp_split_to_array(regexp_replace(transcript_text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) AS raw, generate_subscripts(regexp_split_to_array(regexp_replace(transcript_text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), 1) - 1 AS position FROM t WHERE has_text),
+c AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS sentence FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY position) AS n FROM c WHERE length(sentence) BETWEEN 55 AND 420 AND NOT regexp_matches(replace(lower(sentence), 'ß', 'ss'), '{_SKIP}') AND len({_tokens('sentence')}) >= 8)
+SELECT record_id, count(*) AS n, CAST(min(position) AS BIGINT) AS first, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM k WHERE n <= 900 GROUP BY record_id""",
+    "related_records": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w),
+x AS (SELECT archive_id, record_id, term, weight FROM v WHERE rn <= 180), nm AS (SELECT archive_id, record_id, sqrt(sum(weight * weight)) AS norm FROM x GROUP BY ALL),
+dot AS (SELECT a.archive_id, a.record_id AS a, b.record_id AS b, sum(a.weight * b.weight) AS dot FROM x a JOIN x b ON a.archive_id = b.archive_id AND a.term = b.term AND a.record_id <> b.record_id GROUP BY ALL),
+l AS (SELECT archive_id, record_id, series, list_distinct(list_transform(list_concat(topics, themes), lambda q: lower(q))) AS labels FROM t),
+pairs AS (SELECT p.archive_id, p.record_id AS a, q.record_id AS b, CASE WHEN p.series = q.series THEN 0.05 ELSE 0 END + least(0.08, 0.02 * len(list_intersect(p.labels, q.labels))) AS bonus FROM l p JOIN l q ON p.archive_id = q.archive_id AND p.record_id <> q.record_id),
+sc AS (SELECT archive_id, a, b, round(CAST(bonus AS DOUBLE) + coalesce(dot / (m.norm * n.norm), 0), 9) AS score FROM pairs LEFT JOIN dot USING (archive_id, a, b) LEFT JOIN nm m ON m.archive_id = pairs.archive_id AND m.record_id = a LEFT JOIN nm n ON n.archive_id = pairs.archive_id AND n.record_id = b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY archive_id, a ORDER BY score DESC, b) AS rank FROM sc WHERE score >= 0.12)
+SELECT archive_id, a AS record_id, b AS other_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5""",
     "page_fronts": f"WITH {TALKS} SELECT record_id, title, date, 'draft' AS status, len(questionable_claims) AS n_claims FROM t",
     "index_rows": f"WITH {TALKS} SELECT archive_id, speaker AS name, '| [[' || speaker || ']] | ' || count(*) || ' | ' || coalesce(min(date), '') || ' | ' || coalesce(max(date), '') || ' |' AS row FROM t WHERE speaker <> '' GROUP BY archive_id, speaker",
 }

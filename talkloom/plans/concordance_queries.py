@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.functions.passages import citations, first_refs, parsed
+from talkloom.functions import rules
+from talkloom.functions.passages import citations, first_refs, parsed, refs, verse_counts
 from talkloom.operators import concordance, indexes, records
 from talkloom.plans.adapters import CITED, TALKS, cited, table, talks
 
@@ -111,14 +112,25 @@ def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the saved pages by the transcript rules: closed paragraphs, or all text."""
     from talkloom.sources.html import transcript_text
 
-    return table(spark, sf_dir, "pages").select("page_id", F.length(transcript_text("html")).cast("long").alias("chars"), F.size(F.split(transcript_text("html"), "\n\n")).cast("long").alias("paragraphs"))
+    read = table(spark, sf_dir, "pages").select("page_id", transcript_text("html").alias("text"))
+    return read.select("page_id", F.length("text").cast("long").alias("chars"), F.size(F.split("text", "\n\n")).cast("long").alias("paragraphs"))
+
+
+def passage_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations checked against a table of verses: one less in each chapter than the greatest that is cited there."""
+    li, b = table(spark, sf_dir, "lineitem"), (F.col("l_partkey") % 66 + 1).cast("int")
+    book, chapters = (F.element_at(F.array(*[F.lit(x[k]) for x in rules.BOOKS.items()]), b) for k in (0, 1))
+    cited_ = li.select("l_orderkey", "l_linenumber", book.alias("book"), (1 + F.col("l_suppkey") % chapters).cast("int").alias("chapter"), F.col("l_linenumber").alias("verse"))
+    verses = verse_counts(cited_.groupBy("book", "chapter").agg((F.max("verse") - 1).alias("verses")))
+    found = citations(F.format_string("In %s %d:%d it says", "book", "chapter", "verse"), verses=verses)
+    return cited_.select("l_orderkey", "l_linenumber", F.array_join(refs(found), ";").alias("refs"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         passage_index, frequent_passages, passage_entries, passage_first_refs, passage_parsed, passage_inferred, series_index, speaker_index, theme_index, theme_pages, completeness_counts, archive_stats,
-        review_inbox, completeness_report, gap_flags, recent_records, preview_records, page_paths, text_search, index_sorted, transcript_excerpts, page_parts,
+        review_inbox, completeness_report, gap_flags, recent_records, preview_records, page_paths, text_search, index_sorted, transcript_excerpts, page_parts, passage_verses,
     )
 }
 
@@ -143,6 +155,8 @@ ORACLES = {
 ), s AS (SELECT g.* FROM g WHERE NOT (form = 0 AND EXISTS (SELECT 1 FROM g o WHERE o.k = g.k AND o.form <> 0 AND o.book = g.book)))
 SELECT CAST(k AS VARCHAR) AS record_id, CASE WHEN k % 3 = 0 THEN 1 ELSE least(8, (SELECT count(*) FROM s WHERE s.k = g.k)) END AS n_primary,
   CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS n_claims, CASE WHEN k % 3 = 0 THEN '' ELSE 'Review inferred scripture reference.; ' END || 'Add or confirm speaker.; Add or confirm series.' AS flags FROM g GROUP BY k""",
+    "passage_verses": f"""WITH {CITED.split(", said AS")[0].replace("WITH ", "")}, v AS (SELECT book, c, max(v) - 1 AS most FROM l GROUP BY book, c)
+SELECT k AS l_orderkey, n AS l_linenumber, CASE WHEN v <= most THEN book || ' ' || c || ':' || v ELSE '' END AS refs FROM l JOIN v USING (book, c)""",
     "series_index": _index("[series]"),
     "speaker_index": _index("[speaker]"),
     "theme_index": _index("list_concat(topics, themes)"),
