@@ -202,7 +202,7 @@ _RAW = f"""r0 AS (
 ), k AS (SELECT archive_id, raw_id, unnest({_KEYS}) AS key FROM r0), e AS (SELECT DISTINCT a.raw_id AS a, b.raw_id AS b FROM k a JOIN k b USING (archive_id, key) WHERE a.raw_id <> b.raw_id),
 g(node, seen) AS (SELECT raw_id, raw_id FROM r0 UNION SELECT e.b, g.seen FROM g JOIN e ON e.a = g.node), m AS (SELECT node AS raw_id, min(seen) AS group_id FROM g GROUP BY node)"""
 _WORDS = "(VALUES " + ", ".join(f"('{k}', '{w}', {rules.LABEL_MINIMUM.get(k, 4)})" for k, ws in (rules.THEMES | rules.TOPICS).items() for w in ws) + ") AS kw(label, word, least)"
-_hits = lambda x: f"len(regexp_extract_all({x}, '\\b' || word || '\\b'))"
+_hits = lambda x: f"len(regexp_extract_all(regexp_replace({x}, '[À-ɏ]', 'q', 'g'), '\\b' || word || '\\b'))"  # noqa: E731  (its word ends know ASCII letters only)
 _MDY = "CAST(month(o_orderdate) AS VARCHAR)"
 ORACLES = {
     "name_keys": rf"""WITH v AS (SELECT p_partkey, {_V} AS v FROM part), w AS (SELECT p_partkey, v, trim(regexp_replace(v, '\s+', ' ', 'g')) AS value, trim(regexp_replace(regexp_replace(v, '[\[\]#]+', ' ', 'g'), '\s+', ' ', 'g')) AS file FROM v)
