@@ -3,8 +3,8 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond", 2014. Every
 round is two aggregations with map-side combining and two joins whose one side
 is unique by key, so a hub of many links is split by adaptive execution instead
-of meeting in one task. Each round is written to the shared folder; only two
-numbers per round reach the driver.
+of meeting in one task. Each round is written to the shared folder, and the one
+before it removed; only two numbers per round reach the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.operators.storage import stored
+from talkloom.operators.storage import forgotten, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,8 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = stored(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        old, e = e, stored(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
         now = _mark(e)
+        forgotten(old)
         if now == before:
             break
         before = now

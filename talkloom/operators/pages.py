@@ -50,6 +50,20 @@ def passage_rows(total: DataFrame) -> DataFrame:
     return total.select("archive_id", "ref", table_row(wikilink(safe_filename("ref")), F.col("records"), F.col("mentions"), F.col("primary_records"), F.col("first_date"), F.col("latest_date")).alias("row"))
 
 
+def group_pages(lists: DataFrame, kind: str) -> DataFrame:
+    """archive_id, path, text: a document for each page of :func:`indexes.group_lists`, with a link for each of its entries."""
+    link = lambda e: F.concat(F.lit("- "), wikilink(page_stem(e["date"], e["title"]), F.coalesce(e["title"], F.lit(""))))
+    number = F.when(F.col("page") > 0, F.concat(F.lit(" "), (F.col("page") + 1).cast("string"))).otherwise("")
+    head = [F.concat(F.lit("# "), F.col("name")), F.lit(""), F.lit(f"{kind} index generated for private review."), F.lit(""), F.lit("## Records"), F.lit("")]
+    return lists.select("archive_id", F.concat(safe_filename("name"), number, F.lit(".md")).alias("path"), F.concat(F.concat_ws("\n", *head, F.array_join(F.transform("entries", link), "\n")), F.lit("\n")).alias("text"))
+
+
+def ingest_rows(records: DataFrame) -> DataFrame:
+    """The ingest report's table rows; its counts are :func:`records.completeness_counts`."""
+    flags = F.array_join(F.concat("review_flags", "questionable_claims"), "; ")
+    return records.select("archive_id", "record_id", table_row(F.coalesce(F.nullif("date", F.lit("")), F.lit("?")), F.col("title"), F.col("transcript_status"), flags).alias("row"))
+
+
 def write(pages: DataFrame, path: str, form: str = "parquet", by: str = "archive_id") -> None:
     """Replaces only the archives that are in ``pages``; a large archive is dealt to several tasks."""
     pages.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).format(form).save(path)

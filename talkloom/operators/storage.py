@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def forgotten(df: DataFrame) -> None:
+    """Removes the files of a table that :func:`stored` gave and that nothing reads any more; what can't be removed stays."""
+    from pyarrow.fs import FileSystem
+
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        try:
+            system, path = FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+            system.delete_dir(path)
+        except (OSError, ValueError):
+            pass
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 

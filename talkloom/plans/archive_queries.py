@@ -77,7 +77,7 @@ TITLES = [{"pattern": "re.?member", "series": "Re:Member"}]
 
 
 def _all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = naming.speakers(_named(spark, sf_dir), {"Anna Bell": ["A. Bell"]}, ["nobody"], "The Grace Church")
+    r = naming.speakers(_named(spark, sf_dir), {"Anna Bell": ["A. Bell"]}, ["Customer 000000009"], "The Grace Church")
     r = naming.series(r, {"New Name": ["old name"]}, ANNUAL, TITLES)
     return naming.named_lists(naming.passages(r), ["topics"], {"Prayer": ["prayers"]})
 
@@ -173,11 +173,44 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.index_rows(entity_index(talks(spark, sf_dir), F.array("speaker")))
 
 
+def theme_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talkloom.operators.indexes import group_lists
+
+    p = pages.group_pages(group_lists(talks(spark, sf_dir), F.concat("topics", "themes"), chunk=50), "Theme")
+    return p.select("archive_id", "path", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def ingest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.ingest_rows(talks(spark, sf_dir))
+
+
+def related_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of related records by title, by page name, and one that names nothing."""
+    t = talks(spark, sf_dir)
+    t = t.withColumn("related", F.array_compact(F.array(F.col("title"), text.page_stem("date", "title"), F.lit("no such record"))))
+    return content.resolve_related(t).select("archive_id", "record_id", F.col("place").cast("long").alias("place"), "label", "target_id")
+
+
+def alias_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by a joined table of aliases, one for every second customer."""
+    c = table(spark, sf_dir, "customer")
+    aliases = c.where("c_custkey % 2 = 0").select(text.normalized_key("c_name").alias("key"), F.concat(F.lit("Canon "), F.col("c_custkey").cast("string")).alias("canonical"))
+    return naming.apply_alias_table(c.select("c_custkey", F.upper("c_name").alias("name")), "name", aliases)
+
+
+def first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.first_rule(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_orderpriority")
+
+
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.dropped_repeats(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], "o_orderkey", "o_orderstatus")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         name_keys, catalog_records, video_records, caption_texts, records_resolved, records_resolved_in_order, names_normalized, naming_summary, naming_totals, near_duplicate_names, term_frequency, token_totals, vector_norms,
-        related_records, sentence_candidates, content_labels, content_index, enriched, page_fronts, record_pages, index_rows,
+        related_records, sentence_candidates, content_labels, content_index, enriched, page_fronts, record_pages, index_rows, theme_documents, ingest_rows, related_resolved, alias_joined, first_rules, changed_lines,
     )
 }
 
@@ -221,20 +254,21 @@ tj AS (SELECT archive_id, group_id, string_agg(x, ',' ORDER BY o) AS topics FROM
 SELECT archive_id, group_id, count(*) AS n_sources, arg_min(title, raw_id) AS title, arg_min(date, raw_id) AS date, arg_min(speaker, raw_id) FILTER (WHERE speaker IS NOT NULL) AS speaker, arg_min(video_id, raw_id) FILTER (WHERE video_id IS NOT NULL) AS video_id, any_value(topics.topics) AS topics
 FROM f JOIN tj AS topics USING (archive_id, group_id) GROUP BY archive_id, group_id""",
     "names_normalized": """WITH c AS (SELECT c_custkey AS k, c_name, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer)
-SELECT CAST(k AS VARCHAR) AS record_id, CASE k % 5 WHEN 0 THEN 'Anna Bell' WHEN 1 THEN 'Anna Bell' WHEN 4 THEN c_name END AS speaker,
+SELECT CAST(k AS VARCHAR) AS record_id, CASE k % 5 WHEN 0 THEN 'Anna Bell' WHEN 1 THEN 'Anna Bell' WHEN 4 THEN CASE WHEN k <> 9 THEN c_name END END AS speaker,
   CASE WHEN t = 0 THEN 'giv 2025' WHEN s = 0 AND k % 2 = 0 THEN 'giv 2022' WHEN s = 0 THEN 'GIV' WHEN s = 1 THEN 'New Name' WHEN t = 2 THEN 'Re:Member' WHEN t = 1 THEN '2 Samuel' END AS series,
   '1 Corinthians 15; Exodus 21-23' || CASE WHEN k % 5 = 3 THEN '; 1 Peter 2:11-12' ELSE '' END AS refs, 'Prayer; x' AS topics,
-  CAST(CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3 + 1 AS BIGINT) AS n_log FROM c""",
+  CAST(CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE CASE WHEN k = 9 THEN 2 ELSE 0 END END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3 + 1 AS BIGINT) AS n_log FROM c""",
     "naming_summary": """SELECT * FROM (
   SELECT 'scripture' AS scope, 'the' AS value, 'scripture field did not look like a Bible reference' AS reason, count(*) AS n FROM customer
   UNION ALL SELECT 'theme', 'prayers', 'configured alias', count(*) FROM customer
   UNION ALL SELECT 'speaker', 'a. bell', 'configured alias', count(*) FROM customer WHERE c_custkey % 5 = 1
   UNION ALL SELECT 'series', 'old name', 'configured alias', count(*) FROM customer WHERE c_custkey % 3 = 1
   UNION ALL SELECT 'speaker', 'Grace Church Team', 'speaker field looked like a church, team, or organization instead of a person', count(*) FROM customer WHERE c_custkey % 5 = 2
-  UNION ALL SELECT 'speaker', '1 Peter 2:11-12', 'speaker field looked like a scripture reference', count(*) FROM customer WHERE c_custkey % 5 = 3)""",
+  UNION ALL SELECT 'speaker', '1 Peter 2:11-12', 'speaker field looked like a scripture reference', count(*) FROM customer WHERE c_custkey % 5 = 3
+  UNION ALL SELECT 'speaker', c_name, 'speaker field looked like a church, team, or organization instead of a person', 1 FROM customer WHERE c_custkey = 9)""",
     "naming_totals": """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer)
-SELECT 'warning' AS kind, CAST(sum(1 + CASE WHEN k % 5 IN (2, 3) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM c
-UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3) AS BIGINT) FROM c""",
+SELECT 'warning' AS kind, CAST(sum(1 + CASE WHEN k % 5 IN (2, 3) OR k = 9 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM c
+UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 OR k = 9 THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3) AS BIGINT) FROM c""",
     "term_frequency": f"WITH {_TF} SELECT archive_id, term, df, n, round(idf, 6) AS idf FROM df",
     "token_totals": f"WITH {_TF} SELECT record_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_terms FROM tf GROUP BY record_id",
     "vector_norms": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w)
@@ -264,6 +298,18 @@ pairs AS (SELECT p.archive_id, p.record_id AS a, q.record_id AS b, CASE WHEN p.s
 sc AS (SELECT archive_id, a, b, round(CAST(bonus AS DOUBLE) + coalesce(dot / (m.norm * n.norm), 0), 9) AS score FROM pairs LEFT JOIN dot USING (archive_id, a, b) LEFT JOIN nm m ON m.archive_id = pairs.archive_id AND m.record_id = a LEFT JOIN nm n ON n.archive_id = pairs.archive_id AND n.record_id = b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY archive_id, a ORDER BY score DESC, b) AS rank FROM sc WHERE score >= 0.12)
 SELECT archive_id, a AS record_id, b AS other_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5""",
+    "theme_documents": f"""WITH {TALKS}, x AS (SELECT archive_id, record_id, title, date, unnest(list_concat(topics, themes)) AS name FROM t),
+y AS (SELECT *, row_number() OVER (PARTITION BY archive_id, name ORDER BY coalesce(date, '9999-99-99'), replace(lower(coalesce(title, '')), 'ß', 'ss'), record_id) AS n, coalesce(date || ' - ', '') || coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), '{rules.UNTITLED}') AS stem, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS label FROM x),
+z AS (SELECT *, CAST(floor((n - 1) / 50) AS BIGINT) AS page, '- [[' || stem || CASE WHEN label <> '' AND label <> stem THEN '|' || label ELSE '' END || ']]' AS line FROM y)
+SELECT archive_id, name || CASE WHEN page > 0 THEN ' ' || (page + 1) ELSE '' END || '.md' AS path, md5('# ' || name || chr(10) || chr(10) || 'Theme index generated for private review.' || chr(10) || chr(10) || '## Records' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10)) AS digest FROM z GROUP BY archive_id, name, page""",
+    "ingest_rows": f"WITH {TALKS} SELECT archive_id, record_id, '| ' || coalesce(date, '?') || ' | ' || coalesce(title, '') || ' | ' || transcript_status || ' | ' || array_to_string(list_concat(review_flags, questionable_claims), '; ') || ' |' AS row FROM t",
+    "related_resolved": f"""WITH {TALKS}, s AS (SELECT *, coalesce(date || ' - ', '') || coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), '{rules.UNTITLED}') AS stem FROM t),
+w AS (SELECT archive_id, record_id, unnest(list_filter([title, stem, 'no such record'], lambda q: q IS NOT NULL)) AS label, generate_subscripts(list_filter([title, stem, 'no such record'], lambda q: q IS NOT NULL), 1) - 1 AS place FROM s),
+a AS (SELECT archive_id, title AS label, max(record_id) AS t0 FROM s WHERE title IS NOT NULL GROUP BY ALL), b AS (SELECT archive_id, stem AS label, max(record_id) AS t1 FROM s GROUP BY ALL), c AS (SELECT archive_id, replace(stem, ' - ', ' ') AS label, max(record_id) AS t2 FROM s GROUP BY ALL)
+SELECT archive_id, record_id, place, label, coalesce(t0, t1, t2) AS target_id FROM w LEFT JOIN a USING (archive_id, label) LEFT JOIN b USING (archive_id, label) LEFT JOIN c USING (archive_id, label) WHERE coalesce(t0, t1, t2) IS NOT NULL""",
+    "alias_joined": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Canon ' || c_custkey ELSE upper(c_name) END AS name FROM customer",
+    "first_rules": "SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY o_custkey",
+    "changed_lines": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) WHERE b IS NULL OR b <> o_orderstatus",
     "page_fronts": f"WITH {TALKS} SELECT record_id, title, date, 'draft' AS status, len(questionable_claims) AS n_claims FROM t",
     "index_rows": f"WITH {TALKS} SELECT archive_id, speaker AS name, '| [[' || speaker || ']] | ' || count(*) || ' | ' || coalesce(min(date), '') || ' | ' || coalesce(max(date), '') || ' |' AS row FROM t WHERE speaker <> '' GROUP BY archive_id, speaker",
 }
