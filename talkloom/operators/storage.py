@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.talkloom.local.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(?:$|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="talkloom-")
         spark.conf.set("spark.talkloom.local.dir", where)

@@ -5,13 +5,14 @@ import itertools
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from talkloom import catalogue
 from talkloom.functions import passages, rules, text
-from talkloom.operators import concordance, content, enrich, naming, pages, records, resolve
+from talkloom.operators import concordance, content, enrich, indexes, naming, pages, records, resolve
 from talkloom.sources import files
 from tests.support import SF, difference
 
@@ -203,6 +204,36 @@ def test_enrichment(spark):
     assert got["1"].summary is None and got["1"].review_flags == [] and got["2"].summary == "plain" and got["3"].review_flags == ["External summary empty."]
 
 
+def test_enrichment_stays_in_its_scope_and_time(spark):
+    rows = [(a, i, f"{a}{i}") for a in "ab" for i in ("1", "2")]
+    df = rec(spark, rows, "archive_id string, record_id string, title string")
+
+    def fn(fields):
+        if fields["title"] == "b2":
+            time.sleep(30)
+        return f"about {fields['title']}"
+
+    began = time.time()
+    got = {(x.archive_id, x.record_id): x for x in enrich.merged(df, enrich.enrich(df, fn, timeout=2, workers=4)).collect()}
+    assert len(got) == 4 and time.time() - began < 25
+    assert {k: x.summary for k, x in got.items()} == {("a", "1"): "about a1", ("a", "2"): "about a2", ("b", "1"): "about b1", ("b", "2"): None}
+    assert got["b", "2"].review_flags == ["External summary timed out."]
+
+
+def test_equal_rows_of_two_archives_stay_apart(spark):
+    rows = spark.createDataFrame([("Hope", "2020-01-05", "x"), ("Hope", "2020-01-05", "x"), ("Other", "2021-01-05", None)], "title string, date string, topics string")
+    found = resolve.resolved(files.collected(files.catalog(rows.limit(1), "c", "a"), files.catalog(rows, "c", "b"))).collect()
+    assert sorted((r.archive_id, r.title, r.n_sources) for r in found) == [("a", "Hope", 1), ("b", "Hope", 2), ("b", "Other", 1)]
+
+
+def test_places_among_equal_names(spark):
+    r = random.Random(9)
+    rows = [(r.choice("xy"), f"{i:03}") for i in range(200)] + [(None, f"n{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "name string, i string").repartition(6)
+    got = {x.i: x.n for x in indexes.numbered(df, ["name"], [F.col("i")]).collect()}
+    assert got == {i: 1 + sum(n == m and j < i for m, j in rows) for n, i in rows}
+
+
 def test_pages_are_rewritten_by_archive(spark, tmp_path):
     df = rec(spark, [("a", "1", "|giv| Week 1", "2025-11-30"), ("b", "2", "T", None)], "archive_id string, record_id string, title string, date string")
     out = str(tmp_path / "pages")
