@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from talkloom.llm import chat_format, conversation_repair, decontamination, embedding_dedup, html_text, language_id, merkle_manifest, mixing, simhash, token_counts, token_files, toxicity
+from talkloom.llm import chat_format, conversation_repair, decontamination, embedding_dedup, html_text, language_id, language_model, merkle_manifest, mixing, simhash, token_counts, token_files, toxicity
 from talkloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
@@ -60,7 +64,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_html_text, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_token_files, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts, op12_conversation_repair, op13_merkle_manifest)
+    found = (op1_chat_format, op2_html_text, op3_embedding_dedup, op4_toxicity, op5_mixing, op6_token_files, op7_decontamination, op8_simhash, op9_language_id, op10_token_counts, op11_lm_scoring, op12_conversation_repair, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
