@@ -15,8 +15,12 @@ shuffle; the model that is broadcast has langs x per_landmark x DIMS numbers.
 Defined cases: null text and text without a letter give ``und`` with score 0,
 as every text does when nothing could be learned (no labelled rows); a null id
 counts as empty text for the fold; one learned language takes every text. A
-caller may ask that a text's n-grams be known of its language: texts of which
-less than ``least_known`` is, such as those of a foreign script, are ``und`` too.
+caller may ask for texts of no learned language (foreign languages, keyboard
+noise, program code) to be ``und`` too (``refuse``): those that no language's own
+classifier claims (all below ``CLAIM``), that are no nearer to one language than
+to the next by ``MARGIN``, and of whose n-grams the language knows less than
+``KNOWN``. A text that one of the three speaks for stays, unless less than
+``STRANGE`` of its n-grams are known, as in a foreign script.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from talkloom.llm.common import crc_part
 
 DIMS_LOG2, NOTHING = 13, "und"
 DIMS = 1 << DIMS_LOG2
+#: Of a text's best one-versus-rest value, its lead over the second, and the share of n-grams that the language's sample has.
+CLAIM, MARGIN, KNOWN, STRANGE = 0.0, 0.2, 0.8, 0.6
 MIX = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 AT_ONCE, PIECE = 256, 1 << 20
 _letter = re.compile(r"[^\W\d_]")
@@ -121,7 +127,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, landmarks, root @ beta, known)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), least_known: float = 0.0) -> DataFrame:
+def claimed(value: np.ndarray, presence: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which texts some language claims, leads in, or knows the n-grams of."""
+    best, order = value.argmax(1), np.sort(value, axis=1)
+    lead = order[:, -1] - order[:, -2] if value.shape[1] > 1 else np.zeros(len(value))
+    share = (presence * known[best]).sum(1) / np.maximum(presence.sum(1), 1)
+    return (share >= KNOWN) | ((share >= STRANGE) & ((order[:, -1] >= CLAIM) | (lead >= MARGIN)))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score"), refuse: bool = False) -> DataFrame:
     """The ``keep`` columns (all of ``docs`` by default) with the language and its score, 0 to 1, under ``names``.
 
     Kept columns of these names give way to the results.
@@ -151,13 +165,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                     names += [NOTHING] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                f = 3.0 * m.score(x[: len(texts)])
+                value = m.score(x[: len(texts)])
+                f = 3.0 * value
                 e = np.exp(f - f.max(1, keepdims=True))
                 best = f.argmax(1)
                 p = (e / e.sum(1, keepdims=True)).max(1)
-                if least_known:
-                    share = (x[: len(texts)] * m.known[best]).sum(1) / np.maximum(x[: len(texts)].sum(1), 1)
-                    known = [ok and s >= least_known for ok, s in zip(known, share, strict=True)]
+                if refuse:
+                    known = [ok and s for ok, s in zip(known, claimed(value, x[: len(texts)], m.known), strict=True)]
                 names += [m.langs[j] if ok else NOTHING for j, ok in zip(best, known, strict=True)]
                 scores += [float(s) if ok else 0.0 for s, ok in zip(p, known, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=kinds)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.llm.common import stored
+from talkloom.llm.common import fresh, row_hash, stored
 from talkloom.operators.positions import ranged, running_total, running_totals
 
 WEIGHTS, SHARE, COPIES, SEED = (5, 2, 1), 1.5, 2, "mix-1"
@@ -129,16 +129,21 @@ def take(docs: DataFrame, id_col: str = "doc_id", share: float = SHARE, copies:
 
     A row is known again by its id and a hash of all its columns. Rows equal in
     both are one row of which as many are taken as of all of them together.
+    Columns of any name stay as they are.
     """
-    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    hashed = docs.withColumn("row_hash", F.xxhash64(*plain, *[F.col(c).isNull() for c in plain]))
-    n = _mixed(queued(hashed, id_col, keep="row_hash", share=share, copies=copies, **how), share, copies)
-    n = stored(n.groupBy("doc_id", "row_hash").agg(F.sum("n_taken").cast("int").alias("mixed_times"), F.count("*").alias("mixed_rows")).where("mixed_times > 0").withColumnsRenamed({"doc_id": "mixed_id", "row_hash": "mixed_hash"}), "taken")
-    same = F.col(id_col).eqNullSafe(F.col("mixed_id")) & (F.col("row_hash") == F.col("mixed_hash"))
-    once = hashed.join(n.where("mixed_rows = 1"), same).select(*docs.columns, "mixed_times")
-    repeated = hashed.join(n.where("mixed_rows > 1"), same).groupBy("mixed_id", "mixed_hash").agg(F.first("mixed_times").alias("mixed_times"), F.first(F.struct(*docs.columns)).alias("row"))
-    every = once.unionByName(repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns], "mixed_times"))
-    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mixed_times")).alias("mixed_copy")).drop("mixed_copy")
+    text, source = how.get("text_col", "text"), how.get("source_col", "source")
+    h, times, rows, named, hashed, row = fresh(docs, "row_hash", "mixed_times", "mixed_rows", "mixed_id", "mixed_hash", "mixed_row")
+    whole = docs.withColumn(h, row_hash(docs))
+    slim = whole.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(h).alias("row_hash"))
+    how = {k: v for k, v in how.items() if k not in ("text_col", "source_col")}
+    n = _mixed(queued(slim, keep="row_hash", share=share, copies=copies, **how), share, copies)
+    n = n.groupBy("doc_id", "row_hash").agg(F.sum("n_taken").cast("int").alias(times), F.count("*").alias(rows)).where(F.col(times) > 0)
+    n = stored(n.withColumnsRenamed({"doc_id": named, "row_hash": hashed}), "taken")
+    same = F.col(id_col).eqNullSafe(F.col(named)) & (F.col(h) == F.col(hashed))
+    once = whole.join(n.where(F.col(rows) == 1), same).select(*docs.columns, times)
+    repeated = whole.join(n.where(F.col(rows) > 1), same).groupBy(named, hashed).agg(F.first(times).alias(times), F.first(F.struct(*docs.columns)).alias(row))
+    every = once.unionByName(repeated.select(*[F.col(row)[c].alias(c) for c in docs.columns], times))
+    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias(row)).drop(row)
 
 
 ORACLE = """

@@ -21,7 +21,7 @@ Exact copies are one distinct fingerprint from the start. Only bit statistics
 
 Defined cases: null or wordless text has fingerprint zero, linked like any
 other; a null doc_id takes part in its group but is never its name; repeated
-rows return as often as they come.
+rows return as often as they come, and one of them stays of a deduplicated table.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkloom.llm.common import stored
+from talkloom.llm.common import fresh, row_hash, stored
 from talkloom.operators.components import components
 
 BITS, TAU, SEED, SHINGLE = 64, 2, 42, 3
@@ -66,15 +66,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fp``: nothing is shuffled."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``id_col, fp`` and the ``keep`` columns: nothing is shuffled."""
+    names = [id_col, *(keep or [])]
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(x.as_py()) for x in b.column(len(names))], pa.int64())], [*names, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*names, text_col).mapInArrow(run, schema)
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -190,19 +191,37 @@ def links(distinct: DataFrame, groups: list[list[int]], chosen: list[int], most:
     return pairs.union(stars).distinct()
 
 
+def _named(marked: DataFrame, id_col: str, most: int) -> DataFrame:
+    """``fp, component, smallest``: each fingerprint's component, named by one of its fingerprints, and its smallest id."""
+    distinct = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    linked = components(links(distinct, *plan(distinct), most)).withColumnsRenamed({"node": "fp"})
+    every = stored(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"), "named")
+    return every.join(every.groupBy("component").agg(F.min("least").alias("smallest")), "component").select("fp", "component", "smallest")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1024) -> DataFrame:
     """``id_col, fingerprint, component_id``: component_id is the smallest id reachable by links."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    joined = components(links(distinct, *plan(distinct), most))
-    joined = joined.join(distinct.withColumnRenamed("fp", "node"), "node")
-    smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
-    named = stored(joined.join(smallest, "component").select(F.col("node").alias("fp"), "smallest"), "named")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return marked.join(every, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their group, one for each; rows without an id stay."""
-    keep = groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    named = _named(marked, id_col, most)
+    return marked.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("smallest").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1024) -> DataFrame:
+    """One row of ``docs`` for each group of linked fingerprints.
+
+    It is the row of the smallest id (nulls last), of equal ids that of the least
+    hash of all columns, of equal rows any. Two texts of one id that don't link
+    are two groups, and both stay. Columns of any name stay as they are.
+    """
+    h, kept, hashed, row = fresh(docs, "row_hash", "kept_id", "kept_hash", "kept_row")
+    whole = docs.withColumn(h, row_hash(docs))
+    slim = whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(h).alias("row_hash"))
+    marked = stored(fingerprints(slim, "id", "text", keep=["row_hash"]), "fingerprints")
+    counted = marked.groupBy("fp", "id", "row_hash").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row_hash", "fp", "rows")
+    best = counted.join(_named(marked, "id", most).select("fp", "component"), "fp").groupBy("component").agg(F.min(order).alias("best"))
+    chosen = stored(best.select(F.col("best.id").alias(kept), F.col("best.row_hash").alias(hashed), (F.col("best.rows") > 1).alias(row)), "chosen")
+    same = F.col(id_col).eqNullSafe(F.col(kept)) & (F.col(h) == F.col(hashed))
+    once = whole.join(chosen.where(~F.col(row)), same, "left_semi").select(*docs.columns)
+    repeated = whole.join(chosen.where(F.col(row)), same).groupBy(kept, hashed).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return once.unionByName(repeated.select(*[F.col(row)[c].alias(c) for c in docs.columns]))

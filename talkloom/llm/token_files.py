@@ -31,7 +31,8 @@ A task holds one segment (a document longer than ``SEGMENT`` ids is one by
 itself) and the models of one group of blocks: about 60 MB at most.
 
 Defined cases: null text is empty and has the end id alone; null ids come first;
-rows of equal id are laid out next to each other; an empty table gives no rows.
+rows of equal id go by the text's MD5; an empty table gives no rows; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -52,8 +53,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkloom.llm.common import shared_folder
+from talkloom.llm.common import shared_folder, stored
 from talkloom.llm.token_counts import byte_symbols
+from talkloom.operators.storage import forgotten
 
 BLOCK, RENEW, END = 2048, 256, 2
 #: Blocks coded in step, less where their order-0 models would have more than PLACES entries; ids that close a segment (at the next document's end); chunks a worker keeps.
@@ -459,7 +461,9 @@ def written(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text
         if names:
             yield flush()
 
-    ranged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    tied = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"digest": F.md5(F.col("text").cast("binary")), "tie": F.monotonically_increasing_id()})
+    order = [F.col(c).asc_nulls_first() for c in ("id", "digest", "tie")]  # rows of one id, even equal ones, fill as many files as they need
+    ranged = tied.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.select("id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, schema).write.parquet(path)
     return path
 
@@ -498,9 +502,14 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32. Files without a ``path`` go when they have been read."""
     spark = docs.sparkSession
-    path = written(docs, path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}", vocab, id_col, text_col)
+    if path is None:
+        path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+        found = stored(round_trip(docs, vocab, id_col, text_col, path), "token-rows")
+        forgotten(spark.read.parquet(path))
+        return found
+    written(docs, path, vocab, id_col, text_col)
     rows = read(spark, path).select("part", "segment", "place", "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     earlier = F.sum("n_tokens").over(Window.partitionBy("part", "segment").orderBy("place")) - F.col("n_tokens")  # a segment is one file row
     rows = rows.withColumn("inside", earlier).join(index(spark, path), ["part", "segment"])

@@ -99,6 +99,20 @@ def test_token_files_read_back(spark):
     assert token_files.round_trip(docs(spark, []), WORD_BPE).count() == 0
 
 
+def test_token_files_deal_out_rows_of_one_id(spark, tmp_path):
+    """A third of all rows without an id, many of them equal: no file holds more than its share, and nothing is lost."""
+    rows = [(i if i % 3 else None, f"text {i % 50} of many" if i % 2 else "the same text", "en", "s", 0) for i in range(12_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = token_files.written(spark.createDataFrame(rows, DOCS).repartition(5), str(tmp_path / "t"), WORD_BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r[1] for r in spark.read.parquet(path).groupBy("part").agg(F.sum(F.size("doc_ids"))).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * 12_000 / len(sizes) and sum(sizes) == 12_000
+    found = token_files.round_trip(spark.createDataFrame(rows, DOCS), WORD_BPE).collect()
+    assert min(r.start for r in found if r.doc_id is None) == 0 and len({r.start for r in found}) == 12_000
+
+
 def test_added_tokens_are_found_in_the_raw_text_only():
     lib = Tokenizer.from_file(WORD_BPE)
     texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "A <|endoftext|> B <|STARTOFTEXT|>x", "Ab<|endoftext|>Cd Ef", "PLAIN Text", "<|ENDOFTEXT|", "Éa<|startoftext|>"]
@@ -144,6 +158,19 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.groups(docs(spark, [])).count() == 0
 
 
+def test_simhash_keeps_every_text_of_a_repeated_id(spark):
+    """Two texts under one id, in either order, and ids that are null; columns named like the operator's own."""
+    base, other = "one long text that says the same thing as the next one does " * 9, "something else altogether is told here by many other words " * 9
+    rows = [(3, base), (5, base), (5, other), (None, other), (None, "null ids only, told twice and kept once " * 5), (None, "null ids only, told twice and kept once " * 5), (9, None), (8, " "), (None, "")]
+    want = sorted([(3, base), (5, other), (None, rows[4][1]), (8, " ")], key=str)
+    for some in (rows, rows[::-1]):
+        d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in some], DOCS).repartition(3)
+        d = d.withColumns({c: F.lit("mine") for c in ("fp", "row_hash", "component", "Kept_Id", "kept_row", "kept_hash", "rows", "id")})
+        kept = simhash.deduplicated(d)
+        assert kept.columns == d.columns and kept.where("fp <> 'mine' OR row_hash <> 'mine'").count() == 0
+        assert sorted([(x.doc_id, x.text) for x in kept.collect()], key=str) == want
+
+
 @pytest.mark.parametrize(("parts", "most"), [(2, 3), (3, 1000), (4, 3)])
 def test_simhash_links_lose_nothing(spark, parts, most):
     r, fps = random.Random(parts), {}
@@ -171,7 +198,7 @@ def test_decontamination_slices_agree_and_spans_are_of_the_original(spark):
     assert sorted(map(tuple, decontamination.report(one).collect())) == sorted(map(tuple, decontamination.report(many).collect()))
     item = spark.createDataFrame([(1, "Ünï one TWO three"), (2, None), (3, " , "), (4, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
     text = "é: ünï, ONE two-three! " + " ".join(f"W{i}" for i in range(1, 11)) + " end"
-    r = decontamination.contamination(docs(spark, [text, None, ""]).withColumn("items", F.lit("x")), item).orderBy("doc_id").collect()
+    r = decontamination.contamination(docs(spark, [text, None, ""]).withColumn("items", F.lit("x")), item, keep=["doc_id", "items"]).orderBy("doc_id").collect()
     assert (r[0].n_words, r[0].n_hit, r[0].items) == (16, 10, [4])  # ASCII folding leaves the capital Ü of item 1 another word
     assert [text[s.start : s.end] for s in r[0].spans] == [" ".join(f"W{i}" for i in range(1, 11))]
     assert [x.n_words for x in r[1:]] == [0, 0]
@@ -274,7 +301,12 @@ def test_mixing_meets_targets(spark):
     assert all(0 <= r.taken <= 2 * r.size for r in rows)
     odd = spark.createDataFrame([(1, None, "en", None, 0), (2, "a b", "en", None, 0), (None, "c", None, "s", 0), (2, "a b", "en", None, 0), (3, "", "en", "t", 0)], DOCS)
     assert mixing.mixed(odd).count() == 5 and mixing.mixed(odd.limit(0)).count() == 0
-    assert mixing.take(odd).columns == odd.columns and mixing.take(odd.limit(0)).count() == 0
+    clash = odd.withColumns({c: F.lit("mine") for c in ("row_hash", "Mixed_Times", "mixed_id", "mixed_hash", "mixed_rows", "mixed_row", "size", "tie", "passed")})
+    for d in (odd, clash):
+        taken = mixing.take(d)
+        assert taken.columns == d.columns and mixing.take(d.limit(0)).count() == 0
+        assert sorted(map(str, taken.select(*odd.columns).collect())) == sorted(map(str, mixing.take(odd).collect()))
+    assert taken.where("row_hash <> 'mine' OR mixed_times <> 'mine'").count() == 0
 
 
 def test_mixing_takes_rows_of_null_and_repeated_ids(spark):
@@ -324,12 +356,22 @@ def test_language_marks_are_the_n_grams_of_one_to_three_characters():
 
 
 def test_language_refuses_what_it_does_not_know(spark):
-    d = table(spark, "documents")
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language_id.fit(d)
-    odd = docs(spark, ["漢字仮名交じり文の例です。" * 30, "Привет мир как дела " * 30, d.where("lang = 'en'").first().text]).withColumn("lang_pred", F.lit("x"))
-    assert [r.lang_pred for r in language_id.predict(odd, model, least_known=0.4).orderBy("doc_id").collect()] == ["und", "und", "en"]
-    assert [r.lang_pred == "und" for r in language_id.predict(odd, model).orderBy("doc_id").collect()] == [False] * 3
-    assert language_id.predict(d, model, least_known=0.4).where("lang_pred = 'und'").count() == d.where("text IS NULL OR NOT text RLIKE '[A-Za-zÀ-ÿ]'").count()
+    foreign = [
+        "漢字仮名交じり文の例です。" * 30, "Привет мир как дела " * 30,
+        "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset. Se on toinen Suomen virallisista kielistä.",
+        "A magyar nyelv az uráli nyelvcsalád tagja, a finnugor nyelvek közé tartozó ugor nyelvek egyike. Legközelebbi rokonai a manysi és a hanti nyelv.",
+        "Język polski należy do grupy języków zachodniosłowiańskich, stanowiącej część rodziny języków indoeuropejskich. Jest językiem urzędowym w Polsce.",
+        "asdfkjh qwelkjrh zxcvmnb asdkfjh qpowieur zmxncbv lkajshdf qowieuryt bnvmcx zlkjahsd fpqowieur xcvbzm alskdjfh wqieury mznxbcv",
+        "xq7 zzkw pfft 9933 ghjk vbnm uiop wxcv qsdf hjkl mpoi yttr nbvg zzz kkk lll 123 wrq tgb yhn ujm ik ol p",
+        "def main(args):\n    for i in range(10):\n        if args[i] == None:\n            raise ValueError('bad')\n    return {k: v for k, v in items.items()}",
+    ]
+    odd = docs(spark, [*foreign, d.where("lang = 'en'").first().text]).withColumn("lang_pred", F.lit("x"))
+    assert [r.lang_pred for r in language_id.predict(odd, model, refuse=True).orderBy("doc_id").collect()] == ["und"] * len(foreign) + ["en"]
+    assert "und" not in [r.lang_pred for r in language_id.predict(odd, model).collect()]
+    for given in (d, table(spark, "documents")):
+        assert language_id.predict(given, model, refuse=True).where("lang_pred = 'und'").count() == given.where("text IS NULL OR NOT text RLIKE '[A-Za-zÀ-ÿ]'").count()
     nothing = spark.createDataFrame([(None, "abc " * 40, "en", "s", 0)] * 3000, DOCS)
     assert language_id.fit(nothing, per_lang=30).langs == ["en"]
 
@@ -533,7 +575,7 @@ def test_pipeline_stages_of_odd_rows(spark):
     d = table(spark, "documents")
     clean = d.where("length(text) > 400").limit(40)
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "漢字仮名交じり文 " * 40, None, "s", 0), (7, "漢字仮名交じり文 " * 40, None, "s", 0)], DOCS)
-    extra = {c: F.lit(k) for k, c in enumerate(("n_hit", "items", "score", "lang_pred", "size", "target", "fp", "start"))}
+    extra = {c: F.lit(k) for k, c in enumerate(("n_hit", "items", "score", "lang_pred", "size", "target", "fp", "start", "row_hash", "mixed_times", "kept_row"))}
     rows = clean.unionByName(odd).withColumns(extra)
     sizes = {}
     for name, stage in corpus_pipeline.STAGES:
