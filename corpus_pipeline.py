@@ -27,42 +27,57 @@ def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"_kept_{c}" if f"_kept_{c}" in found.columns else c).alias(c) for c in docs.columns])
 
 
-#: Share of a document's n-grams that its predicted language must know; given documents have 0.6 and more.
-LEAST_KNOWN = 0.4
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier knows.
 
-    Those go whose text is null or letterless, or mostly of n-grams that the
-    predicted language doesn't have. Where nothing could be learned, all stay.
+    Those go whose text is null or letterless, or in none of the learned languages
+    (see ``language_id``). Where nothing could be learned, all stay. Repeated rows
+    stay or go together; columns that clash keep their values; no rows give none.
     """
     model = language_id.fit(docs.where(crc_part("doc_id", 5) != 0))
     if not model.langs:
         return docs
-    found = language_id.predict(_aside(docs, ("lang_pred", "score")), model, least_known=LEAST_KNOWN)
+    found = language_id.predict(_aside(docs, ("lang_pred", "score")), model, refuse=True)
     return _back(found.where(f"lang_pred <> '{language_id.NOTHING}'"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that of the smallest id."""
+    """One document of each group of linked fingerprints: that of the smallest id.
+
+    Null and wordless texts are one group. Null ids come last in a group and are
+    deduplicated like others; of equal ids the least hash of all columns decides, of equal rows one stays; two
+    texts of one id stay both unless they link. Columns of any name stay as they are.
+    """
     return simhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and wordless texts hold none and stay, as all do where the benchmark has
+    no words. Each row is judged by itself, whatever its id; columns that clash keep their values.
+    """
     ours = _aside(docs, ("n_words", "n_hit", "items", "spans"))
     found = decontamination.contamination(ours, table(spark, sf_dir, "benchmark"), keep=ours.columns)
     return _back(found.where("n_hit = 0"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources; a document taken twice is there twice."""
+    """The mix of sources; a document taken twice is there twice.
+
+    A null source is one, last. Rows without words have no size and stay, as the
+    budget is one of words. Equal rows are taken together, other rows of one or no
+    id each by itself; columns of any name stay as they are.
+    """
     return mixing.take(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: a row for each document."""
+    """Token files of the mix, read back: a row for each document.
+
+    Null text has the end id alone; null ids come first, rows of one id by their
+    text's MD5; repeated rows are written as often as they come; no rows give none.
+    """
     return token_files.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
