@@ -14,9 +14,12 @@ article or main, but for those that are mostly links).
 Tags and the words of class, id and role only weigh: lines inside an article or
 main ``INSIDE``, others 1, and lines of parts that are never article text 0
 (menus, asides, footers, form controls, adverts, notices, sidebars, comments,
-hidden ones). Headings are never marked by a word, one ambiguous word needs links
-or the lack of sentences as a second witness, and a form or a word in a longer
-name never takes the weight of what holds most of the content cluster.
+hidden ones). Headings are never marked by a word. A class or role of ambiguous
+words only (notice, related, site-notice, commentlist) marks a box; an ambiguous
+word among others, or in an id, which may name a section, needs links
+or the lack of sentences as a second witness. A form, a word in a longer name or an ambiguous
+one never takes the weight of what holds most of the content cluster. Articles
+inside main whose heading is a link are teasers of others.
 
 Markup that the library's parser stumbles over or needs quadratic time for is
 repaired first: a tag that another tag begins in is closed there, CDATA is text,
@@ -32,6 +35,7 @@ columns named text or n_chars give way to the results.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -74,6 +78,8 @@ AMBIGUOUS = frozenset(
     comment comments discussion respond reply replies share sharing social tabs toc promotion banner menu skip complementary""".split()
 )
 REMARKS = frozenset("comment comments disqus respond replies".split())  # as a class or role, they are readers' words: one is enough
+#: Words that say of whom or in what shape; with them a name still says of marking words only.
+NEUTRAL = frozenset("site page user users reader readers visitor top bottom left right box bar list area section block wrap wrapper container holder panel unit slot group item items link links post posts article articles story stories thread".split())
 FURNITURE = frozenset("copyright disclaimer print search register feedback form menu skip complementary".split())  # ambiguous inside a region only
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _sentence = re.compile(r"[.!?…。！？][\"'”’»)\]]*\Z")
@@ -130,22 +136,41 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and v and re.search(r"display\s*:\s*none", v, re.I)) for n, v in attrs)
 
 
+@functools.lru_cache(4096)
+def _split(word: str) -> tuple[str, ...]:
+    """A word written together with a shape or owner, such as commentlist, in two."""
+    if word not in MARKS and word not in NEUTRAL:
+        for k in range(2, len(word) - 1):
+            head, tail = word[:k], word[k:]
+            if (head in MARKS and tail in NEUTRAL) or (head in NEUTRAL and tail in MARKS):
+                return head, tail
+    return (word,)
+
+
 def _mark(attrs: list[tuple[str, str | None]], inside: bool) -> str:
-    """What class, id or role say of the element: "sure" (a name of such words only, or readers' remarks), "mark" (such a word in a longer name), "maybe" (one ambiguous word), or nothing."""
+    """What class, id or role say of the element.
+
+    "sure": a name of marking words only, or readers' remarks. "mark": such a word
+    in a longer name, or a class or role of ambiguous words only, which is said of
+    boxes; an id may be a section's. "maybe": one ambiguous word. Or nothing.
+    """
     said = ""
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for one in value.split():
-                words = [w.lower() for w in _words.findall(one)]
+                words = [x for w in _words.findall(one) for x in _split(w.lower())]
                 if words and words[0] in ("has", "with", "no", "without"):
                     continue
                 found = {w for w in words if w in MARKS and not (inside and w in TITLES)} | ({"header"} & set(words) if not inside else set())
-                if found & REMARKS and (name != "id" or len(words) == 1):
+                only = found >= set(words) - NEUTRAL
+                if found & REMARKS and (name != "id" or only):
+                    return "sure"
+                if name != "id" and only and "discussion" in found:
                     return "sure"
                 vague = {w for w in found if w in AMBIGUOUS and (inside or w not in FURNITURE)}
                 if found - vague and found == set(words):
                     return "sure"
-                if found - vague or len(vague) > 1:
+                if found - vague or len(vague) > 1 or (vague and only and name != "id"):
                     said = "mark"
                 elif vague:
                     said = said or "maybe"
@@ -222,12 +247,11 @@ class Lines(HTMLParser):
         self.parent.append(self.stack[-1].number)
         up, number = self.stack[-1], len(self.parent) - 1
         dropped, doubt, region = up.dropped, up.doubt, up.region
-        if tag in REGION:
-            if not up.barred:
-                dropped, doubt, region = False, 0, region or number
+        if tag in REGION and not region and not up.barred:
+            dropped, doubt, region = False, 0, number
         elif tag not in ("html", "body") and not dropped:
             dropped = (tag in NEVER and tag != "form") or _hidden(attrs)
-            said = "form" if tag == "form" else "mark" if tag == "header" and not region else "" if tag in HEADINGS else _mark(attrs, bool(region))
+            said = "form" if tag == "form" else "mark" if tag == "header" and not region else "" if tag in HEADINGS else _mark(attrs, bool(region)) or ("teaser" if tag == "article" else "")
             if said:
                 self.doubts[number] = said, doubt
                 doubt = number
@@ -316,11 +340,26 @@ def _is_sentence(text: str) -> bool:
     return len(text) >= SENTENCE or bool(_sentence.search(text))
 
 
+def _article(p: Lines, line: Line) -> int | None:
+    """The innermost article around a heading's line that is in another one's or in main."""
+    e = line.element
+    while e and e not in p.headings and e not in p.holders:
+        e = p.parent[e]
+    if e not in p.headings:
+        return None
+    while e:
+        if p.doubts.get(e, ("",))[0] == "teaser":
+            return e
+        e = p.parent[e]
+    return None
+
+
 def _weights(p: Lines) -> np.ndarray:
     """What each line weighs: nothing if it is no article text, more inside an article.
 
     An element with one ambiguous word counts if it holds a sentence and is not
-    mostly links. A marked element or a form counts if it holds most of the
+    mostly links; an article inside another or main whose heading is a link only
+    if it has most of the sentences or nothing else has any. A marked element or a form counts if it holds most of the
     content cluster of all but the surely marked (an advert may be longer than a
     short article), which count only where nothing else is left.
     """
@@ -332,7 +371,8 @@ def _weights(p: Lines) -> np.ndarray:
     there = weights > 0
     told = there & (2 * links < size) & np.array([_is_sentence(x.text) for x in lines])
     in_all, in_links, in_told = (_mass(p.parent, lines, n * there) for n in (size, links, told))
-    out = {e for e, (doubt, _) in p.doubts.items() if doubt != "maybe" or 2 * in_links[e] >= in_all[e] or not in_told[e]}
+    out = {e for e, (doubt, _) in p.doubts.items() if doubt not in ("maybe", "teaser") or (doubt == "maybe" and (2 * in_links[e] >= in_all[e] or not in_told[e]))}
+    teasers = {e for x in lines if 5 * x.links >= 4 * len(x.text) and (e := _article(p, x)) is not None and 2 * in_told[e] <= in_told[0]}
     sure = {e for e, (doubt, _) in p.doubts.items() if doubt == "sure"}
 
     def without(bad: set[int]) -> np.ndarray:
@@ -346,6 +386,8 @@ def _weights(p: Lines) -> np.ndarray:
         content = content_cluster(lines, np.minimum(ours, 1.0))
         mass = _mass(p.parent, lines, size * content)
         out -= {e for e in out if 2 * mass[e] > (size * content).sum()}
+    if (told & (without(out | teasers) > 0)).any():  # else the page is a list of them
+        out |= teasers
     for chosen in (without(out), ours):
         if chosen.any():
             return chosen

@@ -509,6 +509,40 @@ def test_html_marks_need_a_second_witness(body, want):
     assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want)
 
 
+BOXES = [f"class='{c}'" for c in ("notice", "alert", "related", "share", "popular", "promotion", "site-notice", "discussion", "commentlist", "notices", "share-bar", "relatedPosts", "recommended", "trending-stories", "user-comments", "reply", "social-links")] + ["role='alert'", "role='complementary'", "id='user-comments'", "id='comments'"]
+BOXES_INSIDE = [f"class='{c}'" for c in ("disclaimer", "copyright", "feedback", "print", "register")]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", None])
+def test_html_drops_boxes_with_sentences(tag):
+    """Notices, promotions, related stories, share bars and readers' comments go, however long their sentences; headings and sections by id stay."""
+    wrapped = lambda x: f"<{tag}>{x}</{tag}>" if tag else x
+    for box in BOXES + (BOXES_INSIDE if tag in ("article", "main") else []):
+        for kind in ("div", "section", "ul"):
+            inner = f"<p>{B} It has a sentence.</p><p>And another one, with a <a href=x>link</a>.</p>"
+            page = f"<html><body>{wrapped(f'<h1>Title</h1><p>{A}</p><{kind} {box}>{inner}</{kind}><p>{B}</p><p>{C}</p>')}</body></html>"
+            assert html_text.main_text(page) == "\n".join(["Title", A, B, C]), page
+    kept = f"<h1>Title</h1><p>{A}</p><h2 class='related'>Related work</h2><p>{B}</p><section id='discussion'><h2>Discussion</h2><p>{C}</p></section><div id='notice'><p>{B}</p></div><div class='notice-of-intent'><p>{C}</p></div>"
+    assert html_text.main_text(f"<html><body>{wrapped(kept)}</body></html>") == "\n".join(["Title", A, "Related work", B, "Discussion", C, B, C])
+
+
+def test_html_drops_teasers_and_keeps_lists_of_articles():
+    teaser = lambda k: f"<article><h3><a href=/{k}>Another story number {k}</a></h3><p>What it says, told in one sentence.</p></article>"
+    page = f"<html><body><main><article><h1>Title</h1><p>{A}</p><p>{B}</p></article>{teaser(1)}{teaser(2)}<section class=related><h2>More</h2>{teaser(3)}</section></main></body></html>"
+    assert html_text.main_text(page) == "\n".join(["Title", A, B])
+    listed = html_text.main_text(f"<html><body><main>{teaser(1)}{teaser(2)}{teaser(3)}</main></body></html>")
+    assert all(f"Another story number {k}\nWhat it says" in listed for k in (1, 2, 3))
+    parts = f"<html><body><main><h1>Title</h1><article><h2>One</h2><p>{A}</p></article><article><h2>Two</h2><p>{B}</p></article></main></body></html>"
+    assert html_text.main_text(parts) == "\n".join(["Title", "One", A, "Two", B])
+
+
+def test_html_an_article_outweighs_longer_text_around_it(monkeypatch):
+    page = f"<html><body><div><p>{B}</p><p>{B}</p></div><article><h1>Title</h1><p>{C}</p></article><div><p>Short.</p></div></body></html>"
+    assert html_text.main_text(page) == f"Title\n{C}"
+    monkeypatch.setattr(html_text, "INSIDE", 1.0)
+    assert html_text.main_text(page) != f"Title\n{C}"
+
+
 def test_html_clusters_decide(monkeypatch):
     body = f"<nav><a href=x>Home</a></nav><div>Login to see more</div><div><h1>Title</h1><p>{A}</p><p>{B}</p></div><div>All rights kept</div><footer>Foot</footer>"
     pages = [f"<html><body>{body}</body></html>", PAGE]
@@ -522,7 +556,7 @@ def test_html_planted_articles():
     r = random.Random(8)
     said = lambda n: " ".join("".join(r.choice("abcdeno") for _ in range(r.randint(2, 8))) for _ in range(n))
     link = lambda: f"<a href=/{said(1)}>{said(2)}</a>"
-    noise = [lambda: f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(6))}</ul></nav>", lambda: f"<div class='ad'>{said(8)}.</div>", lambda: f"<aside><p>{said(12)}</p></aside>", lambda: f"<div class=sidebar>{said(5)} {link()}</div>", lambda: f"<footer>{said(9)}</footer>", lambda: "<script>var x = '<p>no</p>';</script>", lambda: f"<section class='comments'><p>{said(30)}.</p></section>"]
+    noise = [lambda: f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(6))}</ul></nav>", lambda: f"<div class='ad'>{said(8)}.</div>", lambda: f"<aside><p>{said(12)}</p></aside>", lambda: f"<div class=sidebar>{said(5)} {link()}</div>", lambda: f"<footer>{said(9)}</footer>", lambda: "<script>var x = '<p>no</p>';</script>", lambda: f"<section class='comments'><p>{said(30)}.</p></section>", lambda: f"<div {r.choice(BOXES)}><p>{said(9).capitalize()}. {said(7)}.</p></div>", lambda: f"<ol class=commentlist>{''.join(f'<li><p>{said(12)}.</p></li>' for _ in range(4))}</ol>"]
     for k in range(200):
         blocks = [f"{said(r.randint(20, 90))}." for _ in range(r.randint(2, 7))]
         title = said(4).title()
