@@ -493,7 +493,7 @@ WITH a AS (
 ), b AS (
   SELECT page_id, url, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '<br ?/?>', ' ', 'g'), '</?(p|h[1-6]|div|ul|ol|li|section|blockquote|table|tr|td|th|article)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS ls FROM a
 ), c AS (
-  SELECT page_id, url, array_to_string(list_filter(list_transform(ls, lambda l: trim(regexp_replace(replace(replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' +', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b
+  SELECT page_id, url, array_to_string(list_filter(list_transform(ls, lambda l: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(l, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), ' +', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM b
 )
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 """
