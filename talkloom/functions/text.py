@@ -129,12 +129,20 @@ def stemmed(w: Column) -> Column:
     )
 
 
+def raw_words(c: str | Column) -> Column:
+    """Words of three characters or more, letters and apostrophes, in order."""
+    return F.regexp_extract_all(casefold(F.coalesce(col(c), F.lit(""))), F.lit("([a-z][a-z']{2,})"), F.lit(1))
+
+
+def carries_weight(word: Column) -> Column:
+    """Of a word without outer apostrophes."""
+    return (F.length(word) >= 3) & ~word.isin(*rules.STOPWORDS)
+
+
 def tokens(c: str | Column) -> Column:
     """Stemmed words of three letters or more that carry weight, in order, with repeats."""
-    words = F.regexp_extract_all(casefold(F.coalesce(col(c), F.lit(""))), F.lit("([a-z][a-z']{2,})"), F.lit(1))
-    words = F.transform(words, lambda w: F.btrim(w, F.lit("'")))
-    stop = F.array(*[F.lit(w) for w in rules.STOPWORDS])
-    return F.transform(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)), stemmed)
+    words = F.transform(raw_words(c), lambda w: F.btrim(w, F.lit("'")))
+    return F.transform(F.filter(words, carries_weight), stemmed)
 
 
 def sentences(c: str | Column) -> Column:

@@ -122,6 +122,9 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _, v = _vectors(spark, sf_dir)
+    i = F.col("record_id").cast("long")
+    said = lambda n, of: F.concat(F.lit(of), (i % n).cast("string"))
+    t = t.withColumns({"primary_refs": F.when(i % 3 > 0, F.array(said(5, "John "), said(7, "Luke "))), "mentioned_refs": F.when(i % 2 == 0, F.array(said(5, "JOHN "), said(2, "Mark "), said(11, "Acts ")))})
     return content.related(t, v).select("archive_id", "record_id", "other_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -293,8 +296,9 @@ SELECT record_id, count(*) AS n, CAST(min(position) AS BIGINT) AS first, CAST(su
     "related_records": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w),
 x AS (SELECT archive_id, record_id, term, weight FROM v WHERE rn <= 180), nm AS (SELECT archive_id, record_id, sqrt(sum(weight * weight)) AS norm FROM x GROUP BY ALL),
 dot AS (SELECT a.archive_id, a.record_id AS a, b.record_id AS b, sum(a.weight * b.weight) AS dot FROM x a JOIN x b ON a.archive_id = b.archive_id AND a.term = b.term AND a.record_id <> b.record_id GROUP BY ALL),
-l AS (SELECT archive_id, record_id, series, list_distinct(list_transform(list_concat(topics, themes), lambda q: lower(q))) AS labels FROM t),
-pairs AS (SELECT p.archive_id, p.record_id AS a, q.record_id AS b, CASE WHEN p.series = q.series THEN 0.05 ELSE 0 END + least(0.08, 0.02 * len(list_intersect(p.labels, q.labels))) AS bonus FROM l p JOIN l q ON p.archive_id = q.archive_id AND p.record_id <> q.record_id),
+l AS (SELECT archive_id, record_id, series, list_distinct(list_transform(list_concat(topics, themes), lambda q: lower(q))) AS labels,
+  list_distinct(list_concat(CASE WHEN i % 3 > 0 THEN ['john ' || (i % 5), 'luke ' || (i % 7)] ELSE [] END, CASE WHEN i % 2 = 0 THEN ['john ' || (i % 5), 'mark ' || (i % 2), 'acts ' || (i % 11)] ELSE [] END)) AS refs FROM (SELECT *, CAST(record_id AS BIGINT) AS i FROM t)),
+pairs AS (SELECT p.archive_id, p.record_id AS a, q.record_id AS b, CASE WHEN p.series = q.series THEN 0.05 ELSE 0 END + least(0.08, 0.02 * len(list_intersect(p.refs, q.refs))) + least(0.08, 0.02 * len(list_intersect(p.labels, q.labels))) AS bonus FROM l p JOIN l q ON p.archive_id = q.archive_id AND p.record_id <> q.record_id),
 sc AS (SELECT archive_id, a, b, round(CAST(bonus AS DOUBLE) + coalesce(dot / (m.norm * n.norm), 0), 9) AS score FROM pairs LEFT JOIN dot USING (archive_id, a, b) LEFT JOIN nm m ON m.archive_id = pairs.archive_id AND m.record_id = a LEFT JOIN nm n ON n.archive_id = pairs.archive_id AND n.record_id = b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY archive_id, a ORDER BY score DESC, b) AS rank FROM sc WHERE score >= 0.12)
 SELECT archive_id, a AS record_id, b AS other_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5""",
