@@ -6,7 +6,7 @@ import difflib
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +14,12 @@ from talkloom.functions import rules
 from talkloom.functions.passages import _book_of, citations, refs
 from talkloom.functions.text import appended, casefold, col, let, normalized_key, normalized_value, unique_values
 from talkloom.operators.records import SCOPE
+from talkloom.operators.resolve import first_rule
 from talkloom.operators.storage import stored
 
-#: Rule tables are given by hand; past this many entries they are joined, not looked up in the plan.
-INLINE_RULES = 1000
+#: Rules given by hand are looked up in the plan up to so many, and joined beyond; tables are always joined.
+BY_HAND = 1000
+Rules = dict | DataFrame | None
 
 
 def _plain_key(s: str) -> str:
@@ -37,19 +39,71 @@ def alias_map(given: dict) -> dict[str, str]:
 
 
 def aliased(c: str | Column, aliases: dict[str, str]) -> Column:
-    """The canonical name of a value, or the value."""
+    """The canonical name of a value, or the value, by a map in the plan."""
     if not aliases:
         return col(c)
-    if len(aliases) > INLINE_RULES:
-        raise ValueError("join an alias table of this size with apply_alias_table()")
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     return F.coalesce(F.try_element_at(table, normalized_key(c)), col(c))
 
 
-def apply_alias_table(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """The same by a join with a table of (key, canonical), of any size."""
-    a = aliases.select(F.col("key").alias("_key"), "canonical")
-    return df.withColumn("_k", normalized_key(column)).join(a, F.col("_k") == F.col("_key"), "left").withColumn(column, F.coalesce("canonical", column)).drop("_k", "_key", "canonical")
+def alias_table(spark: SparkSession, aliases: Rules) -> dict[str, str] | DataFrame:
+    """What :func:`alias_map` makes of a few rules; of many, and of a table of (alias, canonical, optionally ord), rows of (key, canonical).
+
+    Of a table's rows with one key the last by ``ord`` counts, without it the greatest name; canonical names stand for themselves unless a row says otherwise.
+    """
+    if not isinstance(aliases, DataFrame):
+        few = alias_map(aliases or {})
+        return few if len(few) <= BY_HAND else spark.createDataFrame(list(few.items()), "key string, canonical string")
+    ord_ = F.col("ord") if "ord" in aliases.columns else F.lit(0)
+    given = aliases.select(normalized_key("alias").alias("key"), normalized_value("canonical").alias("canonical"), F.lit(1).alias("said"), ord_.alias("ord"))
+    itself = given.select(normalized_key("canonical").alias("key"), "canonical", F.lit(0).alias("said"), "ord")
+    rows = given.unionByName(itself).where("key <> '' AND canonical <> ''")
+    return rows.groupBy("key").agg(F.max_by("canonical", F.struct("said", "ord", "canonical")).alias("canonical"))
+
+
+def apply_alias_table(df: DataFrame, column: str, aliases: dict[str, str] | DataFrame, into: str | None = None) -> DataFrame:
+    """The canonical name of a column's values, or the values; a table of (key, canonical) of any size is joined."""
+    if isinstance(aliases, dict):
+        return df.withColumn(into or column, aliased(column, aliases))
+    a = aliases.select(F.col("key").alias("_key"), F.col("canonical").alias("_canonical"))
+    return df.withColumn("_k", normalized_key(column)).join(a, F.col("_k") == F.col("_key"), "left").withColumn(into or column, F.coalesce("_canonical", column)).drop("_k", "_key", "_canonical")
+
+
+def _apply_to_lists(df: DataFrame, column: str, aliases: dict[str, str] | DataFrame, into: str) -> DataFrame:
+    """The same for every value of a list; a table is joined with the values of distinct lists only."""
+    if isinstance(aliases, dict):
+        return df.withColumn(into, F.transform(column, lambda x: aliased(x, aliases)))
+    lists = df.select(F.col(column).alias("_list")).where("_list IS NOT NULL").distinct()
+    one = apply_alias_table(lists.select("_list", F.posexplode("_list").alias("_at", "_value")), "_value", aliases)
+    new = one.groupBy("_list").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda x: x["_value"]).alias("_new"))
+    return df.join(new, F.col(column) == F.col("_list"), "left").withColumn(into, F.coalesce("_new", column)).drop("_list", "_new")
+
+
+def _is_listed(df: DataFrame, key: str, names: list[str] | DataFrame | None, into: str) -> DataFrame:
+    """Whether a key is that of one of the names; a table of ``name`` is joined."""
+    if isinstance(names, DataFrame):
+        listed = names.select(normalized_key("name").alias("_key")).where("_key <> ''").distinct()
+        return df.join(listed, F.col(key) == F.col("_key"), "left").withColumn(into, F.col("_key").isNotNull()).drop("_key")
+    few = [k for k in map(_plain_key, names or []) if k]
+    return df.withColumn(into, F.coalesce(F.col(key).isin(*few), F.lit(False)) if few else F.lit(False))
+
+
+def titles_by_phrase(df: DataFrame, rules_: DataFrame, key: str = "_tkey") -> DataFrame:
+    """Adds ``_title``, the first rule (by ``ord``) whose ``phrase`` stands in the title as whole words: STRUCT<series, reason, override>.
+
+    Rules of any number are listed under the word of theirs that the fewest rules
+    have, and joined to the words of distinct titles.
+    """
+    r = rules_.select("ord", normalized_key("phrase").alias("phrase"), normalized_value("series").alias("series"), F.col("override").cast("boolean").alias("override")).where("phrase <> '' AND series <> ''")
+    words = r.select("ord", "phrase", F.explode(F.array_distinct(F.split("phrase", " "))).alias("word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("n"))
+    under = words.join(rare, "word").groupBy("ord", "phrase").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    listed = r.join(under, ["ord", "phrase"])
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    titles = df.select(F.col(key).alias("_key")).where("_key <> ''").distinct()
+    met = titles.select("_key", F.explode(F.array_distinct(F.split("_key", " "))).alias("word")).join(listed, "word").where(F.contains(padded("_key"), padded("phrase")))
+    rule = F.struct("series", F.lit("series inferred from title pattern").alias("reason"), "override")
+    return df.join(first_rule(met.withColumn("rule", rule), ["_key"], "ord", "rule").withColumnRenamed("rule", "_title"), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def _change(scope: str, value: Column, replacement: Column, reason: Column | str, kind: str = "change") -> Column:
@@ -67,18 +121,19 @@ def _organisation(key: Column, name: str) -> Column:
     return key.isin(*variants) | (part(rules.ORGANISATION_WORDS) & part(sorted(variants)))
 
 
-def speakers(records: DataFrame, aliases: dict | None = None, ignored: list[str] | None = None, organisation: str = "") -> DataFrame:
+def speakers(records: DataFrame, aliases: Rules = None, ignored: list[str] | DataFrame | None = None, organisation: str = "") -> DataFrame:
     """Speakers cleaned: passages go to the references, organisations and ignored names go, aliases become canonical.
 
-    ``log`` holds what was changed and warned of.
+    ``log`` holds what was changed and warned of. Aliases and ignored names may be tables (see :func:`alias_table`; ``name``).
     """
-    names, skip = alias_map(aliases or {}), [k for k in map(_plain_key, ignored or []) if k]
+    names = alias_table(records.sparkSession, aliases)
     r = records.withColumns({"_clean": F.nullif(normalized_value("speaker"), F.lit("")), "_cited": refs(citations("speaker", alone=False))})
-    r = r.withColumn("_key", normalized_key("_clean"))
+    r = _is_listed(r.withColumn("_own", normalized_key("_clean")), "_own", ignored, "_ignored")
+    r = apply_alias_table(r, "_clean", names, "_known").withColumnRenamed("_own", "_key")
     passage = F.coalesce(F.exists("_cited", lambda x: normalized_key(x) == F.col("_key")), F.lit(False))
-    group = F.coalesce((F.col("_key").isin(*skip) if skip else F.lit(False)) | _organisation(F.col("_key"), organisation), F.lit(False))
+    group = F.coalesce(F.col("_ignored") | _organisation(F.col("_key"), organisation), F.lit(False))
     r = r.withColumn("_case", F.when(F.col("_clean").isNull(), "none").when(passage, "passage").when(group, "group").otherwise("name"))
-    case, clean, known = F.col("_case"), F.col("_clean"), aliased("_clean", names)
+    case, clean, known = F.col("_case"), F.col("_clean"), F.col("_known")
     why_p, why_g = "speaker field looked like a scripture reference", "speaker field looked like a church, team, or organization instead of a person"
     log = F.array_compact(
         F.array(
@@ -91,7 +146,7 @@ def speakers(records: DataFrame, aliases: dict | None = None, ignored: list[str]
     flags = appended(F.col("review_flags"), F.when(case == "passage", F.lit("Speaker field contained a scripture reference; confirm the missing speaker.")), F.when(case == "group", F.lit("Speaker value looked like a church/team label; confirm the preacher.")))
     old = F.col("log") if "log" in records.columns else F.array().cast("array<struct<kind:string,scope:string,value:string,replacement:string,reason:string>>")
     out = r.withColumns({"log": F.concat(old, log), "review_flags": flags, "primary_refs": F.when(case == "passage", unique_values("primary_refs", "_cited")).otherwise(F.col("primary_refs")), "_new": F.when(case == "name", known)})
-    return out.withColumn("speaker", F.col("_new")).drop("_clean", "_cited", "_key", "_case", "_new")
+    return out.withColumn("speaker", F.col("_new")).drop("_clean", "_cited", "_key", "_case", "_new", "_known", "_ignored")
 
 
 def _annual(key: Column, date: Column, rule: dict, need_week: bool) -> Column:
@@ -122,20 +177,21 @@ def _first(choices: list[tuple[Column, str, bool]]) -> Column:
     return F.coalesce(*made) if made else F.lit(None).cast("struct<series:string,reason:string,override:boolean>")
 
 
-def series(records: DataFrame, aliases: dict | None = None, annual: list[dict] | None = None, titles: list[dict] | None = None, from_book: bool = True) -> DataFrame:
+def series(records: DataFrame, aliases: Rules = None, annual: list[dict] | None = None, titles: list[dict] | DataFrame | None = None, from_book: bool = True) -> DataFrame:
     """Series decided in order: alias, annual rules, title rules, the book a title begins with, the cleaned value.
 
     A rule fills a blank, respells the same key, or overrides where it may (flagged).
+    Title rules are patterns, or a table of phrases (see :func:`titles_by_phrase`).
     """
-    names = alias_map(aliases or {})
+    names = alias_table(records.sparkSession, aliases)
     r = records.withColumns({"_clean": F.nullif(normalized_value("series"), F.lit("")), "_tkey": normalized_key("title"), "_skey": normalized_key("series"), "_cited": refs(citations("title"))})
-    r = r.withColumn("_known", aliased("_clean", names))
+    r = apply_alias_table(r, "_clean", names, "_known")
     by_year: list[tuple[Column, str, bool]] = []
     for rule in annual or []:
         by_year.append((_annual(F.col("_tkey"), F.col("date"), rule, rule.get("require_week", True)), "annual series inferred from title/date", rule.get("override_existing", False)))
         by_year.append((_annual(F.col("_skey"), F.col("date"), rule, False), "annual series normalized from series/date", True))
     by_title = []
-    for rule in titles or []:
+    for rule in titles if isinstance(titles, list) else []:
         try:
             re.compile(rule["pattern"])
         except re.error:
@@ -144,7 +200,8 @@ def series(records: DataFrame, aliases: dict | None = None, annual: list[dict] |
     book = _book_of(F.get("_cited", F.lit(0))) if from_book else F.lit(None).cast("string")
     bkey = normalized_key(book)
     begins = F.when((F.col("_tkey") == bkey) | F.startswith(F.col("_tkey"), F.concat(bkey, F.lit(" "))), book)
-    r = r.withColumns({"_year": _first(by_year), "_title": _first(by_title), "_book": begins})
+    r = r.withColumns({"_year": _first(by_year), "_book": begins})
+    r = titles_by_phrase(r, titles) if isinstance(titles, DataFrame) else r.withColumn("_title", _first(by_title))
     known = F.col("_known")
 
     def applies(rule: str) -> Column:
@@ -170,22 +227,23 @@ def series(records: DataFrame, aliases: dict | None = None, annual: list[dict] |
     return r.withColumns({"log": F.concat(old, log), "review_flags": flags, "_new": new}).withColumn("series", F.col("_new")).drop("_clean", "_tkey", "_skey", "_cited", "_known", "_year", "_title", "_book", "_pick", "_new")
 
 
-def named_lists(records: DataFrame, columns: list[str], aliases: dict | None = None, scope: str = "theme") -> DataFrame:
+def named_lists(records: DataFrame, columns: list[str], aliases: Rules = None, scope: str = "theme") -> DataFrame:
     """Lists of names: cleaned, canonical, unique; alias changes are logged."""
-    names, r = alias_map(aliases or {}), records
+    names, r = alias_table(records.sparkSession, aliases), records
     old = F.col("log") if "log" in records.columns else F.array().cast("array<struct<kind:string,scope:string,value:string,replacement:string,reason:string>>")
     for c in columns:
-        clean = F.filter(F.transform(c, normalized_value), lambda x: x != "")
-        log = F.transform(F.filter(clean, lambda x: aliased(x, names) != x), lambda x: _change(scope, x, aliased(x, names), "configured alias"))
-        r = r.withColumn("log", F.concat(old, log)).withColumn(c, unique_values(F.transform(clean, lambda x: aliased(x, names))))
+        r = _apply_to_lists(r.withColumn("_were", F.filter(F.transform(c, normalized_value), lambda x: x != "")), "_were", names, "_are")
+        changed = F.filter(F.arrays_zip("_were", "_are"), lambda p: p["_were"] != p["_are"])
+        r = r.withColumn("log", F.concat(old, F.transform(changed, lambda p: _change(scope, p["_were"], p["_are"], "configured alias")))).withColumn(c, unique_values("_are")).drop("_were", "_are")
         old = F.col("log")
     return r
 
 
-def passages(records: DataFrame, aliases: dict | None = None) -> DataFrame:
+def passages(records: DataFrame, aliases: Rules = None) -> DataFrame:
     """Primary references as canonical ones; values that are none are dropped, logged and warned of."""
-    names = alias_map(aliases or {})
-    r = records.withColumn("_vals", F.filter(F.transform("primary_refs", lambda x: aliased(normalized_value(x), names)), lambda x: x != ""))
+    names = alias_table(records.sparkSession, aliases)
+    r = _apply_to_lists(records.withColumn("_given", F.transform("primary_refs", normalized_value)), "_given", names, "_vals").drop("_given")
+    r = r.withColumn("_vals", F.filter("_vals", lambda x: x != ""))
     # one text for all values: each on its own line, so that one read of the row finds the first reference of each
     r = r.withColumn("_firsts", first_citations("_vals"))
     pairs = F.arrays_zip("_vals", "_firsts")

@@ -86,12 +86,40 @@ def names_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_names(spark, sf_dir).select("record_id", "speaker", "series", F.array_join("primary_refs", "; ").alias("refs"), F.array_join("topics", "; ").alias("topics"), F.size("log").cast("long").alias("n_log"))
 
 
+def _by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made uniform by aliases, ignored names and title phrases that are tables: as many rules as there are customers."""
+    o, c = table(spark, sf_dir, "orders").withColumn("hall", F.format_string("Hall %06d", "o_custkey")), table(spark, sf_dir, "customer")
+    said = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("  THE cust "), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("Cust. "), F.col("o_custkey").cast("string")))
+    df = records.conform(
+        o.select(
+            F.lit("a").alias("archive_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.concat(F.lit("At "), F.lower("hall"), F.lit(", again")).alias("title"), said.alias("speaker"),
+            F.when(F.col("o_orderkey") % 3 == 0, F.lit("Old")).alias("series"), F.array(F.concat(F.lit("cust "), (F.col("o_custkey") % 50).cast("string")), F.lit("x")).alias("topics"),
+        )
+    )
+    ids = F.col("c_custkey").cast("string")
+    aliases = c.select(F.concat(F.lit("cust "), ids).alias("alias"), F.col("c_name").alias("canonical"))
+    ignored = c.where("c_nationkey = 3").select(F.concat(F.lit("the cust "), ids).alias("name"))
+    phrases = o.groupBy("hall").agg(F.min("o_orderkey").alias("ord")).select("ord", F.col("hall").alias("phrase"), F.concat(F.lit("Of "), "hall").alias("series"), (F.right("hall", F.lit(1)) == "7").alias("override"))
+    r = naming.speakers(df, aliases, ignored)
+    r = naming.series(r, None, titles=phrases, from_book=False)
+    return naming.named_lists(r, ["topics"], aliases)
+
+
+def names_by_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = F.transform("log", lambda x: F.concat_ws("|", x["kind"], x["scope"], x["value"], x["replacement"]))
+    return _by_tables(spark, sf_dir).select("record_id", "speaker", "series", F.array_join("topics", "; ").alias("topics"), F.array_join(log, "; ").alias("log"))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.naming_log(_all_names(spark, sf_dir)).unionByName(naming.naming_log(_by_tables(spark, sf_dir)))
+
+
 def naming_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return naming.naming_summary(naming.naming_log(_all_names(spark, sf_dir)))
+    return naming.naming_summary(_log(spark, sf_dir))
 
 
 def naming_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return naming.naming_totals(naming.naming_log(_all_names(spark, sf_dir)))
+    return naming.naming_totals(_log(spark, sf_dir))
 
 
 def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +240,7 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        name_keys, catalog_records, video_records, caption_texts, records_resolved, records_resolved_in_order, names_normalized, naming_summary, naming_totals, near_duplicate_names, term_frequency, token_totals, vector_norms,
+        name_keys, catalog_records, video_records, caption_texts, records_resolved, records_resolved_in_order, names_normalized, names_by_tables, naming_summary, naming_totals, near_duplicate_names, term_frequency, token_totals, vector_norms,
         related_records, sentence_candidates, content_labels, content_index, enriched, page_fronts, record_pages, index_rows, theme_documents, ingest_rows, related_resolved, alias_joined, first_rules, changed_lines,
     )
 }
@@ -240,6 +268,10 @@ g(node, seen) AS (SELECT raw_id, raw_id FROM r0 UNION SELECT e.b, g.seen FROM g
 _WORDS = "(VALUES " + ", ".join(f"('{k}', '{w}', {rules.LABEL_MINIMUM.get(k, 4)})" for k, ws in (rules.THEMES | rules.TOPICS).items() for w in ws) + ") AS kw(label, word, least)"
 _hits = lambda x: f"len(regexp_extract_all(regexp_replace({x}, '[À-ɏ]', 'q', 'g'), '\\b' || word || '\\b'))"  # noqa: E731  (its word ends know ASCII letters only)
 _MDY = "CAST(month(o_orderdate) AS VARCHAR)"
+_BY_TABLES = r"""o AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN '  THE cust ' || o_custkey ELSE 'Cust. ' || o_custkey END AS raw, trim(CASE WHEN o_orderkey % 4 = 0 THEN '  THE cust ' || o_custkey ELSE 'Cust. ' || o_custkey END) AS clean,
+  o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3) AS ign, CASE WHEN o_orderkey % 3 = 0 THEN 'Old' END AS ser FROM orders),
+n AS (SELECT o.*, CASE WHEN o_orderkey % 4 = 0 THEN clean ELSE coalesce(c.c_name, clean) END AS known, t.c_name AS tname, 'cust ' || (o_custkey % 50) AS topic, 'Of Hall ' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS of_hall, ser IS NULL OR o_custkey % 10 = 7 AS takes
+  FROM o LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN customer t ON t.c_custkey = o_custkey % 50)"""
 ORACLES = {
     "name_keys": rf"""WITH v AS (SELECT p_partkey, {_V} AS v FROM part), w AS (SELECT p_partkey, v, trim(regexp_replace(v, '\s+', ' ', 'g')) AS value, trim(regexp_replace(regexp_replace(v, '[\[\]#]+', ' ', 'g'), '\s+', ' ', 'g')) AS file FROM v)
 SELECT p_partkey, value, trim(regexp_replace(replace(lower(v), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS key, trim(regexp_replace(replace(lower(trim(v)), '''', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug, file, '[[' || value || ']]' AS link FROM w""",
@@ -261,17 +293,27 @@ SELECT CAST(k AS VARCHAR) AS record_id, CASE k % 5 WHEN 0 THEN 'Anna Bell' WHEN
   CASE WHEN t = 0 THEN 'giv 2025' WHEN s = 0 AND k % 2 = 0 THEN 'giv 2022' WHEN s = 0 THEN 'GIV' WHEN s = 1 THEN 'New Name' WHEN t = 2 THEN 'Re:Member' WHEN t = 1 THEN '2 Samuel' END AS series,
   '1 Corinthians 15; Exodus 21-23' || CASE WHEN k % 5 = 3 THEN '; 1 Peter 2:11-12' ELSE '' END AS refs, 'Prayer; x' AS topics,
   CAST(CASE k % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE CASE WHEN k = 9 THEN 2 ELSE 0 END END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3 + 1 AS BIGINT) AS n_log FROM c""",
-    "naming_summary": """SELECT * FROM (
+    "names_by_tables": rf"""WITH {_BY_TABLES}
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN NOT ign THEN known END AS speaker, CASE WHEN takes THEN of_hall ELSE ser END AS series, coalesce(tname, topic) || '; x' AS topics,
+  concat_ws('; ', CASE WHEN raw <> clean THEN 'change|speaker|' || raw || '|' || clean END, CASE WHEN ign THEN 'change|speaker|' || clean || '|; warning|speaker|' || clean || '|' END, CASE WHEN NOT ign AND known <> clean THEN 'change|speaker|' || clean || '|' || known END,
+    CASE WHEN takes THEN 'change|series|' || coalesce(ser, '') || '|' || of_hall END, CASE WHEN tname IS NOT NULL THEN 'change|theme|' || topic || '|' || tname END) AS log FROM n""",
+    "naming_summary": f"""WITH {_BY_TABLES}, e AS (
   SELECT 'scripture' AS scope, 'the' AS value, 'scripture field did not look like a Bible reference' AS reason, count(*) AS n FROM customer
   UNION ALL SELECT 'theme', 'prayers', 'configured alias', count(*) FROM customer
   UNION ALL SELECT 'speaker', 'a. bell', 'configured alias', count(*) FROM customer WHERE c_custkey % 5 = 1
   UNION ALL SELECT 'series', 'old name', 'configured alias', count(*) FROM customer WHERE c_custkey % 3 = 1
   UNION ALL SELECT 'speaker', 'Grace Church Team', 'speaker field looked like a church, team, or organization instead of a person', count(*) FROM customer WHERE c_custkey % 5 = 2
   UNION ALL SELECT 'speaker', '1 Peter 2:11-12', 'speaker field looked like a scripture reference', count(*) FROM customer WHERE c_custkey % 5 = 3
-  UNION ALL SELECT 'speaker', c_name, 'speaker field looked like a church, team, or organization instead of a person', 1 FROM customer WHERE c_custkey = 9)""",
-    "naming_totals": """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer)
-SELECT 'warning' AS kind, CAST(sum(1 + CASE WHEN k % 5 IN (2, 3) OR k = 9 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM c
-UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 OR k = 9 THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3) AS BIGINT) FROM c""",
+  UNION ALL SELECT 'speaker', c_name, 'speaker field looked like a church, team, or organization instead of a person', 1 FROM customer WHERE c_custkey = 9
+  UNION ALL SELECT 'speaker', clean, 'configured alias', count(*) FROM n WHERE NOT ign AND known <> clean GROUP BY clean
+  UNION ALL SELECT 'speaker', clean, 'speaker field looked like a church, team, or organization instead of a person', count(*) FROM n WHERE ign GROUP BY clean
+  UNION ALL SELECT 'theme', topic, 'configured alias', count(*) FROM n WHERE tname IS NOT NULL GROUP BY topic)
+SELECT scope, value, reason, CAST(sum(n) AS BIGINT) AS n FROM e WHERE n > 0 GROUP BY scope, value, reason ORDER BY n DESC, scope, value, reason LIMIT 40""",
+    "naming_totals": f"""WITH {_BY_TABLES}, c AS (SELECT c_custkey AS k, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer), e AS (SELECT 'warning' AS kind, CAST(sum(1 + CASE WHEN k % 5 IN (2, 3) OR k = 9 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM c
+UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 OR k = 9 THEN 1 ELSE 0 END + CASE WHEN s = 1 THEN 2 ELSE 0 END + CASE WHEN t = 0 THEN 1 WHEN s = 0 AND k % 2 = 0 THEN 1 WHEN s = 2 AND t IN (1, 2) THEN 1 ELSE 0 END + 3) AS BIGINT) FROM c
+UNION ALL SELECT 'warning', count(*) FROM n WHERE ign
+UNION ALL SELECT 'change', CAST(sum(CASE WHEN raw <> clean THEN 1 ELSE 0 END + CASE WHEN ign OR known <> clean THEN 1 ELSE 0 END + CASE WHEN takes THEN 1 ELSE 0 END + CASE WHEN tname IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) FROM n)
+SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY kind""",
     "term_frequency": f"WITH {_TF} SELECT archive_id, term, df, n, round(idf, 6) AS idf FROM df",
     "token_totals": f"WITH {_TF} SELECT record_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_terms FROM tf GROUP BY record_id",
     "vector_norms": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w)
