@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.text import casefold, slugify, stripped
 from talkloom.operators.components import components
+from talkloom.operators.positions import running_total
 from talkloom.operators.records import SCOPE, unresolved_flags
 from talkloom.operators.storage import stored
 
@@ -58,18 +59,20 @@ def _linked(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataF
     return narrow.select("raw_id").join(found.withColumnRenamed("node", "raw_id"), "raw_id", "left").select("raw_id", F.coalesce("component", "raw_id").alias("group_id"))
 
 
-def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS, most_rounds: int = 10) -> DataFrame:
-    """raw_id, group_id (the least raw_id) of ``raw``, whose ``raw_id`` orders the sources."""
+def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """raw_id, group_id (the least raw_id) of ``raw``, whose ``raw_id`` orders the sources.
+
+    Rounds of folding only merge groups, so they end.
+    """
     narrow = stored(raw.select(*scope, "raw_id", "title", "date", "video_url", "video_id"), "narrow")
     member = stored(_linked(narrow, scope, keys), "member")
-    for _ in range(most_rounds):
+    while True:
         first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("raw_id"))).alias(c)
         folded = narrow.join(member, "raw_id").groupBy(*scope, "group_id").agg(*[first(c) for c in ("title", "date", "video_url", "video_id")]).withColumnRenamed("group_id", "raw_id")
         again = stored(_linked(folded, scope, keys).where("raw_id <> group_id").withColumnsRenamed({"raw_id": "old", "group_id": "new"}), "again")
         if again.isEmpty():
             return member
         member = stored(member.join(again, member["group_id"] == again["old"], "left").select("raw_id", F.coalesce("new", "group_id").alias("group_id")), "member")
-    raise RuntimeError(f"{most_rounds} rounds of folding did not settle the groups")
 
 
 def link_in_order(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
@@ -112,13 +115,47 @@ def link_in_order(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     return ordered.mapInArrow(replay, f"raw_id {kind}, group_id {kind}")
 
 
-def fold(raw: DataFrame, member: DataFrame) -> DataFrame:
+#: A record's arrays and maps hold so many values of each kind at most; :func:`list_values` has all.
+LISTED = 20_000
+
+
+def list_values(joined: DataFrame) -> DataFrame:
+    """archive_id, group_id, kind, key, first, last, n: each group's different list values, counts and extras, a row each.
+
+    ``first`` and ``last`` are (raw_id, place, value) in source order. Lists,
+    counts and extras of a group of any size are rows that aggregation combines.
+    """
+    entry = lambda kind, key, value, n, place: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), n.alias("n"), place.alias("place"))
+    none = F.lit(None).cast("int")
+    listed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: entry(c, casefold(stripped(x)), stripped(x), none, i))
+    pairs = lambda c, n: F.transform(F.coalesce(F.map_entries(c), F.array().cast(f"array<struct<key:string,value:{n}>>")), lambda e, i: entry(c, e["key"], e["value"].cast("string"), e["value"].cast("int") if n == "int" else none, i))
+    every = joined.select("archive_id", "group_id", "raw_id", F.explode(F.concat(*map(listed, _LISTS), pairs("ref_counts", "int"), pairs("extra", "string"))).alias("e")).where(F.coalesce("e.key", F.lit("")) != "").where((F.col("e.kind") != "extra") | (F.coalesce("e.value", F.lit("")) != ""))
+    place = F.struct("raw_id", "e.place", "e.value")
+    return every.groupBy("archive_id", "group_id", "e.kind", "e.key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.sum("e.n").cast("int").alias("n"))
+
+
+def _shortened(values: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` values of each group and kind; groups with more are numbered in one order by ranges, whatever their size."""
+    of = ["archive_id", "group_id", "kind"]
+    long = values.groupBy(*of).agg(F.count("*").alias("_all")).where(F.col("_all") > most)
+    if long.isEmpty():
+        return values
+    same = lambda b: F.col("archive_id").eqNullSafe(F.col(f"{b}archive_id")) & (F.col("group_id") == F.col(f"{b}group_id")) & (F.col("kind") == F.col(f"{b}kind"))
+    named = long.withColumnsRenamed({c: f"_l{c}" for c in of})
+    placed = running_total(values.join(named, same("_l")).select(*values.columns), F.lit(1), [F.col(c).asc_nulls_first() for c in (*of, "first", "key")], "_at")
+    start = placed.groupBy(*of).agg(F.min("_at").alias("_from")).withColumnsRenamed({c: f"_s{c}" for c in of})
+    kept = placed.join(start, same("_s")).where(F.col("_at") - F.col("_from") < most).select(*values.columns)
+    return values.join(named, same("_l"), "left_anti").unionByName(kept)
+
+
+def fold(raw: DataFrame, member: DataFrame, listed: int = LISTED) -> DataFrame:
     """One record for each group, in source order: first non-blank scalars, ordered unions of lists, sums of counts.
 
     Text and status come together from the first row with a text, else the first
     status that isn't missing; the last non-blank extra of each key stays. List
-    values, counts and extras are merged by value before a group gathers them, so
-    it gathers different ones only; of the texts only those that stay are moved.
+    values, counts and extras are merged by value as rows (:func:`list_values`)
+    before a group gathers them, the first ``listed`` of each kind, so that no
+    record grows without bound; of the texts only those that stay are moved.
     """
     filled = lambda c: F.col(c).isNotNull() if c == "duration_seconds" else F.coalesce(F.col(c), F.lit("")) != ""
     narrow = raw.withColumn("_texted", filled("transcript_text")).drop("transcript_text")
@@ -128,13 +165,7 @@ def fold(raw: DataFrame, member: DataFrame) -> DataFrame:
         *[F.min_by(c, at(filled(c))).alias(c) for c in _SCALARS], F.min(at(F.col("_texted"))).alias("_text_of"), F.min_by("transcript_status", at(F.col("_texted"))).alias("_texted_status"),
         F.min_by("transcript_status", at(F.coalesce("transcript_status", F.lit("missing")) != "missing")).alias("_status"), F.count("*").alias("n_sources"),
     )
-    entry = lambda kind, key, value, n, place: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), n.alias("n"), place.alias("place"))
-    none = F.lit(None).cast("int")
-    listed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: entry(c, casefold(stripped(x)), stripped(x), none, i))
-    pairs = lambda c, n: F.transform(F.coalesce(F.map_entries(c), F.array().cast(f"array<struct<key:string,value:{n}>>")), lambda e, i: entry(c, e["key"], e["value"].cast("string"), e["value"].cast("int") if n == "int" else none, i))
-    every = r.select("archive_id", "group_id", "raw_id", F.explode(F.concat(*map(listed, _LISTS), pairs("ref_counts", "int"), pairs("extra", "string"))).alias("e")).where(F.coalesce("e.key", F.lit("")) != "").where((F.col("e.kind") != "extra") | (F.coalesce("e.value", F.lit("")) != ""))
-    place = F.struct("raw_id", "e.place", "e.value")
-    values = every.groupBy("archive_id", "group_id", "e.kind", "e.key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.sum("e.n").cast("int").alias("n"))
+    values = _shortened(stored(list_values(r), "values"), listed)
     of = lambda kind, *what: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("first", *what))))
     lists = values.groupBy("archive_id", "group_id").agg(
         *[F.transform(of(c), lambda x: x["first"]["value"]).alias(c) for c in _LISTS], F.map_from_entries(F.transform(of("ref_counts", "key", "n"), lambda x: F.struct(x["key"], x["n"]))).alias("ref_counts"),

@@ -49,13 +49,18 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("archive_id"), F.col("o_orderpriority").alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), opt(3, F.concat(F.lit("S"), (k % 4).cast("string"))).alias("speaker"),
         opt(7, F.concat(F.lit("v"), (k % 40).cast("string"))).alias("video_id"), F.array(F.concat(F.lit("T"), (k % 3).cast("string")), F.concat(F.lit("t"), (k % 2).cast("string"))).alias("topics"), (k % 3).cast("int").alias("source_rank"), F.lpad(k.cast("string"), 12, "0").alias("source_ord"),
+        F.when(k % 4 == 0, F.concat(F.lit(" text "), k.cast("string"))).alias("transcript_text"), F.when(k % 4 == 0, "provided").when(k % 5 == 0, "catalog-listed").otherwise("missing").alias("transcript_status"),
+        F.array(F.lit(records.RESOLVED[1]), F.concat(F.lit("Check "), (k % 3).cast("string"))).alias("review_flags"), F.create_map(F.concat(F.lit("R "), (k % 3).cast("string")), (k % 5 + 1).cast("int")).alias("ref_counts"),
+        F.create_map(F.concat(F.lit("e"), (k % 2).cast("string")), F.when(k % 3 > 0, k.cast("string")).otherwise("")).alias("extra"),
     )
     return resolve.with_raw_id(records.conform(df, records.RAW))
 
 
 def records_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolve.resolved(_raw(spark, sf_dir))
-    return r.select("archive_id", "group_id", "n_sources", "title", "date", "speaker", "video_id", F.array_join("topics", ",").alias("topics"))
+    told = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";").alias(c)
+    text = [F.trim("transcript_text").alias("said"), "transcript_status", F.array_join("review_flags", ";").alias("flags"), told("ref_counts"), told("extra")]
+    return r.select("archive_id", "group_id", "n_sources", "title", "date", "speaker", "video_id", F.array_join("topics", ",").alias("topics"), *text)
 
 
 def records_resolved_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +267,7 @@ _SKIP = "|".join(w.replace("'", "''") for w in rules.SKIP_PHRASES)
 _KEYS = "[CASE WHEN video_id IS NOT NULL THEN 'i' || video_id END, 'yt' || left(date, 4) || title, 'd' || date]"
 _RAW = f"""r0 AS (
   SELECT 'c' || o_custkey AS archive_id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 <> 0 THEN 'S' || (o_orderkey % 4) END AS speaker, CASE WHEN o_orderkey % 7 <> 0 THEN 'v' || (o_orderkey % 40) END AS video_id,
-    ['T' || (o_orderkey % 3), 't' || (o_orderkey % 2)] AS topics, 'c' || o_custkey || chr(9) || (o_orderkey % 3) || chr(9) || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS raw_id FROM orders
+    ['T' || (o_orderkey % 3), 't' || (o_orderkey % 2)] AS topics, o_orderkey AS ok, CASE WHEN o_orderkey % 4 = 0 THEN 'text ' || o_orderkey END AS said, CASE WHEN o_orderkey % 4 = 0 THEN 'provided' WHEN o_orderkey % 5 = 0 THEN 'catalog-listed' ELSE 'missing' END AS status, 'c' || o_custkey || chr(9) || (o_orderkey % 3) || chr(9) || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS raw_id FROM orders
 ), k AS (SELECT archive_id, raw_id, unnest({_KEYS}) AS key FROM r0), e AS (SELECT DISTINCT a.raw_id AS a, b.raw_id AS b FROM k a JOIN k b USING (archive_id, key) WHERE a.raw_id <> b.raw_id),
 g(node, seen) AS (SELECT raw_id, raw_id FROM r0 UNION SELECT e.b, g.seen FROM g JOIN e ON e.a = g.node), m AS (SELECT node AS raw_id, min(seen) AS group_id FROM g GROUP BY node)"""
 _WORDS = "(VALUES " + ", ".join(f"('{k}', '{w}', {rules.LABEL_MINIMUM.get(k, 4)})" for k, ws in (rules.THEMES | rules.TOPICS).items() for w in ws) + ") AS kw(label, word, least)"
@@ -285,9 +290,26 @@ CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.youtube.com/watch?v=1' WHEN o_ord
 SELECT conv_id, turn, md5(array_to_string(list_append(list_filter(ls, lambda x, i: i = 1 OR x <> ls[i - 1]), 'same'), chr(10))) AS digest FROM l""",
     "records_resolved": f"""WITH RECURSIVE {_RAW}, f AS (SELECT r0.*, group_id FROM r0 JOIN m USING (raw_id)),
 tp AS (SELECT archive_id, group_id, lower(x) AS lx, arg_min(x, raw_id || p) AS x, min(raw_id || p) AS o FROM (SELECT archive_id, group_id, raw_id, unnest(topics) AS x, unnest([1, 2]) AS p FROM f) GROUP BY ALL),
-tj AS (SELECT archive_id, group_id, string_agg(x, ',' ORDER BY o) AS topics FROM tp GROUP BY ALL)
-SELECT archive_id, group_id, count(*) AS n_sources, arg_min(title, raw_id) AS title, arg_min(date, raw_id) AS date, arg_min(speaker, raw_id) FILTER (WHERE speaker IS NOT NULL) AS speaker, arg_min(video_id, raw_id) FILTER (WHERE video_id IS NOT NULL) AS video_id, any_value(topics.topics) AS topics
-FROM f JOIN tj AS topics USING (archive_id, group_id) GROUP BY archive_id, group_id""",
+tj AS (SELECT archive_id, group_id, string_agg(x, ',' ORDER BY o) AS topics FROM tp GROUP BY ALL),
+fl AS (SELECT archive_id, group_id, x, min(raw_id || p) AS o FROM (SELECT archive_id, group_id, raw_id, unnest(['{records.RESOLVED[1]}', 'Check ' || (ok % 3)]) AS x, unnest([1, 2]) AS p FROM f) GROUP BY archive_id, group_id, x),
+fg AS (SELECT archive_id, group_id, count(*) AS n, count(said) > 0 AS has FROM f GROUP BY archive_id, group_id),
+fj AS (SELECT archive_id, group_id, coalesce(string_agg(x, ';' ORDER BY o) FILTER (NOT (n > 1 AND has AND x = '{records.RESOLVED[1]}')), '') AS flags FROM fl JOIN fg USING (archive_id, group_id) GROUP BY archive_id, group_id),
+rc AS (SELECT archive_id, group_id, string_agg(t, ';' ORDER BY t) AS ref_counts FROM (SELECT archive_id, group_id, 'R ' || (ok % 3) || '=' || sum(ok % 5 + 1) AS t FROM f GROUP BY archive_id, group_id, ok % 3) GROUP BY archive_id, group_id),
+ex AS (SELECT archive_id, group_id, string_agg(t, ';' ORDER BY t) AS extra FROM (SELECT archive_id, group_id, 'e' || (ok % 2) || '=' || arg_max(ok, raw_id) AS t FROM f WHERE ok % 3 > 0 GROUP BY archive_id, group_id, ok % 2) GROUP BY archive_id, group_id)
+SELECT archive_id, group_id, count(*) AS n_sources, arg_min(said, raw_id) FILTER (WHERE said IS NOT NULL) AS said, coalesce(CASE WHEN count(said) > 0 THEN 'provided' END, arg_min(status, raw_id) FILTER (WHERE status <> 'missing'), 'missing') AS transcript_status,
+  any_value(fj.flags) AS flags, any_value(rc.ref_counts) AS ref_counts, coalesce(any_value(ex.extra), '') AS extra, arg_min(title, raw_id) AS title, arg_min(date, raw_id) AS date, arg_min(speaker, raw_id) FILTER (WHERE speaker IS NOT NULL) AS speaker, arg_min(video_id, raw_id) FILTER (WHERE video_id IS NOT NULL) AS video_id, any_value(topics.topics) AS topics
+FROM f JOIN tj AS topics USING (archive_id, group_id) JOIN fj USING (archive_id, group_id) JOIN rc USING (archive_id, group_id) LEFT JOIN ex USING (archive_id, group_id) GROUP BY archive_id, group_id""",
+    "records_resolved_in_order": f"""WITH RECURSIVE {_RAW}, q AS (
+  SELECT archive_id, raw_id, title, date, video_id, row_number() OVER (PARTITION BY archive_id ORDER BY raw_id) AS n, list_filter(['i' || video_id, 'dt' || date || title, 'yt' || left(date, 4) || title, 'd' || date], lambda x: x IS NOT NULL) AS ks FROM r0
+), s AS (
+  SELECT DISTINCT archive_id, CAST(0 AS BIGINT) AS n, map(CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])) AS known, map(CAST([] AS VARCHAR[]), CAST([] AS STRUCT(t VARCHAR, d VARCHAR, v VARCHAR)[])) AS merged, CAST(NULL AS VARCHAR) AS raw_id, CAST(NULL AS VARCHAR) AS home FROM r0
+  UNION ALL
+  SELECT archive_id, n, map_concat(known, map(allk, list_transform(allk, lambda x: home))), map_concat(merged, map([home], [m])), raw_id, home
+  FROM (SELECT *, list_distinct(list_concat(ks, list_filter(['i' || m.v, 'dt' || m.d || m.t, 'yt' || left(m.d, 4) || m.t, 'd' || m.d], lambda x: x IS NOT NULL))) AS allk
+    FROM (SELECT *, {{'t': coalesce(merged[home].t, title), 'd': coalesce(merged[home].d, date), 'v': coalesce(merged[home].v, video_id)}} AS m
+      FROM (SELECT q.*, known, merged, coalesce(list_filter(list_transform(ks, lambda x: known[x]), lambda x: x IS NOT NULL)[1], q.raw_id) AS home FROM s JOIN q ON q.archive_id = s.archive_id AND q.n = s.n + 1)))
+)
+SELECT archive_id, home AS group_id, count(*) AS n_sources, arg_min(title, raw_id) AS title, arg_min(date, raw_id) AS date FROM s JOIN r0 USING (archive_id, raw_id) GROUP BY archive_id, home""",
     "names_normalized": """WITH c AS (SELECT c_custkey AS k, c_name, c_custkey % 4 AS t, c_custkey % 3 AS s FROM customer)
 SELECT CAST(k AS VARCHAR) AS record_id, CASE k % 5 WHEN 0 THEN 'Anna Bell' WHEN 1 THEN 'Anna Bell' WHEN 4 THEN CASE WHEN k <> 9 THEN c_name END END AS speaker,
   CASE WHEN t = 0 THEN 'giv 2025' WHEN s = 0 AND k % 2 = 0 THEN 'giv 2022' WHEN s = 0 THEN 'GIV' WHEN s = 1 THEN 'New Name' WHEN t = 2 THEN 'Re:Member' WHEN t = 1 THEN '2 Samuel' END AS series,
