@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,9 +177,12 @@ def content_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries, labels and related records of all talks."""
-    r = content.indexed(talks(spark, sf_dir))
-    return r.select("archive_id", "record_id", F.length("summary").cast("long").alias("summary_chars"), "summary_status", F.size("related").cast("long").alias("n_related"))
+    """Summaries, labels and related records of all talks, told whole by their digests."""
+    i = F.col("record_id").cast("long")
+    said = F.concat(F.col("transcript_text"), F.when(i % 2 == 0, F.lit("\nWhat we see is grace and mercy and hope for all who stand here together tonight. ")).otherwise("\n"), F.when(i % 3 == 0, F.lit("We pray in prayer, and the point is that love, love and money never met. ")).otherwise(""))
+    r = content.indexed(talks(spark, sf_dir).withColumn("transcript_text", said))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return r.select("archive_id", "record_id", digest(F.coalesce("summary", F.lit(""))).alias("summary"), "summary_status", "summary_source", F.array_join("themes", ";").alias("themes"), F.array_join("topics", ";").alias("topics"), F.array_join("review_flags", ";").alias("flags"), digest(F.array_join("related", "|")).alias("related"))
 
 
 def _summarise(fields: dict) -> object:
@@ -277,6 +282,45 @@ _BY_TABLES = r"""o AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN '  THE cust '
   o_orderkey % 4 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3) AS ign, CASE WHEN o_orderkey % 3 = 0 THEN 'Old' END AS ser FROM orders),
 n AS (SELECT o.*, CASE WHEN o_orderkey % 4 = 0 THEN clean ELSE coalesce(c.c_name, clean) END AS known, t.c_name AS tname, 'cust ' || (o_custkey % 50) AS topic, 'Of Hall ' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS of_hall, ser IS NULL OR o_custkey % 10 = 7 AS takes
   FROM o LEFT JOIN customer c ON c.c_custkey = o_custkey LEFT JOIN customer t ON t.c_custkey = o_custkey % 50)"""
+_SAID = r"""text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'What we see is grace and mercy and hope for all who stand here together tonight. ' ELSE chr(10) END || CASE WHEN doc_id % 3 = 0 THEN 'We pray in prayer, and the point is that love, love and money never met. ' ELSE '' END"""
+_SAID_TF = _TF.replace("text AS transcript_text", f"{_SAID} AS transcript_text")
+_SIGNAL = "|".join(re.escape(w).replace("'", "''") for w in rules.SIGNAL_PHRASES)
+_fold = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+_cut = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE rtrim(regexp_extract(left({x}, {n - 2}), '^(.*)\\s', 1, 's')) || '...' END"  # noqa: E731  (no hyphenated words stand at these texts' cuts)
+_jaccard = lambda a, b: f"len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))"
+_labels = lambda kinds, n: f"SELECT archive_id, record_id, list(label ORDER BY score DESC, label)[1:{n}] AS ls FROM lab WHERE label IN ({', '.join(repr(k) for k in kinds)}) GROUP BY archive_id, record_id"
+_added = lambda old, new: f"list_concat({old}, list_filter(coalesce({new}, []), lambda x: NOT list_contains(list_transform({old}, lambda y: {_fold('y')}), {_fold('x')})))"
+_INDEX = rf"""WITH {_SAID_TF}, s AS (SELECT archive_id, record_id, unnest(regexp_split_to_array(regexp_replace(transcript_text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) AS raw, generate_subscripts(regexp_split_to_array(regexp_replace(transcript_text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), 1) - 1 AS position FROM t WHERE has_text),
+c AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS sentence FROM s),
+k AS (SELECT *, {_tokens('sentence')} AS toks, {_fold('sentence')} AS low, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY position) AS n FROM c WHERE length(sentence) BETWEEN 55 AND 420 AND NOT regexp_matches({_fold('sentence')}, '{_SKIP}') AND len({_tokens('sentence')}) >= 8),
+w0 AS (SELECT archive_id, record_id, position, sum(idf) AS s FROM (SELECT archive_id, record_id, position, unnest(toks) AS term FROM k WHERE n <= 900) JOIN df USING (archive_id, term) GROUP BY ALL),
+q AS (SELECT k.*, list_distinct(toks) AS terms, round(s / sqrt(len(toks)) * CASE WHEN list_has_any({_tokens("concat_ws(' ', t.title, t.series)")}, toks) THEN 1.08 ELSE 1.0 END * CASE WHEN position < 6 THEN 0.55 ELSE 1.0 END * CASE WHEN regexp_matches(low, '{_SIGNAL}') THEN 1.35 ELSE 1.0 END
+    * CASE WHEN contains(' ' || low || ' ', ' uh ') OR contains(' ' || low || ' ', ' um ') THEN 0.78 ELSE 1.0 END * CASE WHEN len(regexp_extract_all(low, ' i ')) + len(regexp_extract_all(low, ' me ')) + len(regexp_extract_all(low, ' my ')) >= 4 THEN 0.82 ELSE 1.0 END * CASE WHEN length(sentence) > 320 THEN 0.78 ELSE 1.0 END, 9) AS score
+  FROM k JOIN w0 USING (archive_id, record_id, position) JOIN t USING (archive_id, record_id)),
+rk AS (SELECT archive_id, record_id, position, sentence, terms, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY score DESC, position DESC) AS rk FROM q),
+p1 AS (SELECT * FROM rk WHERE rk = 1),
+p2 AS (SELECT DISTINCT ON (r.archive_id, r.record_id) r.* FROM rk r JOIN p1 USING (archive_id, record_id) WHERE r.rk > 1 AND {_jaccard('p1.terms', 'r.terms')} <= 0.45 ORDER BY r.archive_id, r.record_id, r.rk),
+p3 AS (SELECT DISTINCT ON (r.archive_id, r.record_id) r.* FROM rk r JOIN p1 USING (archive_id, record_id) JOIN p2 USING (archive_id, record_id) WHERE r.rk > p2.rk AND {_jaccard('p1.terms', 'r.terms')} <= 0.45 AND {_jaccard('p2.terms', 'r.terms')} <= 0.45 ORDER BY r.archive_id, r.record_id, r.rk),
+pk AS (SELECT archive_id, record_id, string_agg(sentence, ' ' ORDER BY position) AS picked FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) GROUP BY archive_id, record_id),
+pt AS (SELECT t.*, picked, CASE WHEN coalesce(series, '') <> '' AND NOT contains({_fold("coalesce(title, '')")}, {_fold('series')}) THEN 'Series: ' || series || '.' END AS part, trim(regexp_replace(transcript_text, '\s+', ' ', 'g')) AS flat FROM t LEFT JOIN pk USING (archive_id, record_id)),
+pw AS (SELECT *, concat_ws(' ', part, 'Generated review summary:', picked) AS long_ FROM pt),
+mk AS (SELECT *, coalesce(CASE WHEN picked IS NOT NULL THEN {_cut('long_', 950)} END, nullif(concat_ws(' ', part, {_cut('flat', 520)}), '')) AS made FROM pw),
+sm AS (SELECT * EXCLUDE (summary), has_text AND summary IS NULL AND made IS NOT NULL AS fresh, CASE WHEN has_text AND summary IS NULL AND made IS NOT NULL THEN made ELSE summary END AS summary FROM mk),
+lab AS (SELECT archive_id, record_id, label, sum(8 * {_hits('m')} + 3 * {_hits('e0')} + {_hits('f0')}) AS score FROM (SELECT archive_id, record_id, {_fold("concat_ws(' ', title, series, '')")} AS m, {_fold("left(transcript_text, 5000)")} AS e0, {_fold('transcript_text')} AS f0 FROM t WHERE has_text), {_WORDS} GROUP BY archive_id, record_id, label, least
+  HAVING sum(8 * {_hits('m')} + 3 * {_hits('e0')} + {_hits('f0')}) >= least),
+th AS ({_labels(rules.THEMES, 6)}), tp AS ({_labels(rules.TOPICS, 8)}),
+lb AS (SELECT sm.* EXCLUDE (themes, topics), {_added('sm.themes', 'th.ls')} AS themes, {_added('sm.topics', 'tp.ls')} AS topics FROM sm LEFT JOIN th USING (archive_id, record_id) LEFT JOIN tp USING (archive_id, record_id)),
+w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY archive_id, record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w),
+x AS (SELECT archive_id, record_id, term, weight FROM v WHERE rn <= 180), nm AS (SELECT archive_id, record_id, sqrt(sum(weight * weight)) AS norm FROM x GROUP BY ALL),
+dot AS (SELECT a.archive_id, a.record_id AS a, b.record_id AS b, sum(a.weight * b.weight) AS dot FROM x a JOIN x b ON a.archive_id = b.archive_id AND a.term = b.term AND a.record_id <> b.record_id GROUP BY ALL),
+l AS (SELECT archive_id, record_id, series, list_distinct(list_transform(list_concat(topics, themes), lambda q: lower(q))) AS labels FROM lb),
+pairs AS (SELECT p.archive_id, p.record_id AS a, q.record_id AS b, CASE WHEN p.series = q.series THEN 0.05 ELSE 0 END + least(0.08, 0.02 * len(list_intersect(p.labels, q.labels))) AS bonus FROM l p JOIN l q ON p.archive_id = q.archive_id AND p.record_id <> q.record_id),
+sc AS (SELECT archive_id, a, b, round(CAST(bonus AS DOUBLE) + coalesce(dot / (m.norm * n.norm), 0), 9) AS score FROM pairs LEFT JOIN dot USING (archive_id, a, b) LEFT JOIN nm m ON m.archive_id = pairs.archive_id AND m.record_id = a LEFT JOIN nm n ON n.archive_id = pairs.archive_id AND n.record_id = b),
+best AS (SELECT *, row_number() OVER (PARTITION BY archive_id, a ORDER BY score DESC, b) AS rank FROM sc WHERE score >= 0.12),
+stems AS (SELECT archive_id, record_id, coalesce(date || ' - ', '') || coalesce(nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), ''), '{rules.UNTITLED}') AS stem FROM t),
+rl AS (SELECT archive_id, a AS record_id, string_agg(stem, '|' ORDER BY rank) AS related FROM (SELECT best.archive_id, a, {_fold('stem')} AS fs, arg_min(stem, rank) AS stem, min(rank) AS rank FROM best JOIN stems ON stems.archive_id = best.archive_id AND stems.record_id = b WHERE rank <= 5 GROUP BY ALL) GROUP BY archive_id, a)
+SELECT lb.archive_id, lb.record_id, md5(coalesce(summary, '')) AS summary, CASE WHEN fresh THEN 'deterministic_review_required' END AS summary_status, CASE WHEN fresh THEN 'deterministic_content_index' END AS summary_source, array_to_string(themes, ';') AS themes, array_to_string(topics, ';') AS topics,
+  array_to_string(CASE WHEN has_text AND summary IS NOT NULL THEN list_append(review_flags, '{rules.CONTENT_FLAG}') ELSE review_flags END, ';') AS flags, md5(coalesce(related, '')) AS related FROM lb LEFT JOIN rl USING (archive_id, record_id)"""
 ORACLES = {
     "name_keys": rf"""WITH v AS (SELECT p_partkey, {_V} AS v FROM part), w AS (SELECT p_partkey, v, trim(regexp_replace(v, '\s+', ' ', 'g')) AS value, trim(regexp_replace(regexp_replace(v, '[\[\]#]+', ' ', 'g'), '\s+', ' ', 'g')) AS file FROM v)
 SELECT p_partkey, value, trim(regexp_replace(replace(lower(v), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS key, trim(regexp_replace(replace(lower(trim(v)), '''', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug, file, '[[' || value || ']]' AS link FROM w""",
@@ -340,6 +384,7 @@ SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY kind""",
     "token_totals": f"WITH {_TF} SELECT record_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_terms FROM tf GROUP BY record_id",
     "vector_norms": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w)
 SELECT record_id, count(*) AS n, round(sqrt(sum(weight * weight)), 4) AS norm FROM v WHERE rn <= 180 GROUP BY record_id""",
+    "content_index": _INDEX,
     "content_labels": f"""WITH {TALKS}, s AS (SELECT record_id, coalesce(series, '') AS m, replace(lower(CASE WHEN CAST(record_id AS BIGINT) % 2 = 0 THEN 'Grace and mercy. ' ELSE 'The Holy Spirit, hope! ' END || coalesce(transcript_text, '') || CASE WHEN CAST(record_id AS BIGINT) % 3 = 0 THEN ' we pray in prayer, love, love, money' ELSE '' END), 'ß', 'ss') AS f0,
   CASE WHEN CAST(record_id AS BIGINT) % 2 = 0 THEN 'Grace and mercy. ' ELSE 'The Holy Spirit, hope! ' END || coalesce(transcript_text, '') || CASE WHEN CAST(record_id AS BIGINT) % 3 = 0 THEN ' we pray in prayer, love, love, money' ELSE '' END AS raw FROM t)
 SELECT record_id, label, CAST(sum(8 * {_hits('m')} + 3 * {_hits("replace(lower(left(raw, 5000)), 'ß', 'ss')")} + {_hits('f0')}) AS BIGINT) AS score FROM s, {_WORDS} GROUP BY record_id, label, least
