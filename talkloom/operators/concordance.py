@@ -6,7 +6,7 @@ reference, which combines before it moves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions import rules
@@ -64,8 +64,13 @@ def flagged(total: DataFrame) -> DataFrame:
     return total.withColumn("flag", F.when(specific, flag))
 
 
-def ranked(total: DataFrame) -> DataFrame:
-    return total.orderBy(F.desc("mentions"), casefold("ref"))
+def rank_order(scope: list[str] = SCOPE) -> list[Column]:
+    """Most mentions first; ties by reference whatever its case, its spelling, then scope."""
+    return [F.desc("mentions"), casefold("ref"), F.col("ref"), *map(F.col, scope)]
+
+
+def ranked(total: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    return total.orderBy(*rank_order(scope))
 
 
 def frequent(total: DataFrame, most: int = 20, scope: list[str] = SCOPE) -> DataFrame:

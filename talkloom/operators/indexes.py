@@ -21,12 +21,26 @@ def entity_index(records: DataFrame, keys: Column, scope: list[str] = SCOPE) ->
     return named.groupBy(*scope, "name").agg(F.count("*").alias("records"), F.min(date).alias("first_date"), F.max(date).alias("latest_date"))
 
 
-def by_name(index: DataFrame) -> DataFrame:
-    return index.orderBy(casefold("name"))
+def name_order(scope: list[str] = SCOPE) -> list[Column]:
+    """By name whatever its case; ties by spelling, then scope."""
+    return [casefold("name"), F.col("name"), *map(F.col, scope)]
 
 
-def by_count(index: DataFrame) -> DataFrame:
-    return index.orderBy(F.desc("records"), casefold("name"))
+def count_order(scope: list[str] = SCOPE) -> list[Column]:
+    return [F.desc("records"), *name_order(scope)]
+
+
+def by_name(index: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    return index.orderBy(*name_order(scope))
+
+
+def by_count(index: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
+    return index.orderBy(*count_order(scope))
+
+
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``place``, each row's number in an order of all rows, by ranges."""
+    return running_total(df, F.lit(1), order, "place")
 
 
 def recent(records: DataFrame, most: int = 12, scope: list[str] = SCOPE) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.functions.text import page_stem, safe_filename, table_row, wikilink
-from talkloom.operators.records import excerpt, has_text, referenced_only
+from talkloom.functions.text import casefold, page_stem, safe_filename, table_row, wikilink
+from talkloom.operators.records import and_more, excerpt, has_text, referenced_only
 
 FRONT = ("title", "date", "speaker", "series", "primary_refs", "mentioned_refs", "ref_counts", "source_files", "audio_files", "video_url", "transcript_status", "status", "review_status", "summary_status", "questionable_claims", "review_flags")
 
@@ -40,6 +40,32 @@ def record_pages(records: DataFrame, excerpt_chars: int = 0, full: bool = True)
     return records.select("archive_id", F.concat(page_stem("date", "title"), F.lit(".md")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
 
 
+#: How many mentioned references a page's cross-references and an info box show.
+REFERENCES, BOX_REFERENCES = 40, 12
+
+
+def cross_references() -> Column:
+    """The lines of a page's links to its series, speaker, references, topics, themes and related records.
+
+    Of the first 40 mentioned references those that aren't primary are shown.
+    """
+    link = lambda c: wikilink(safe_filename(c))
+    none = F.array().cast("array<string>")
+    lines = lambda label, a: F.transform(F.coalesce(a, none), lambda x: F.concat(F.lit(f"- **{label}:** "), link(x)))
+    one = lambda label, c: lines(label, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(c)))
+    primary = F.transform("primary_refs", casefold)
+    shown = F.filter(F.slice("mentioned_refs", 1, REFERENCES), lambda x: ~F.array_contains(primary, casefold(x)))
+    rest = F.size("mentioned_refs") - REFERENCES
+    more = F.when(rest > 0, F.array(F.concat(F.lit("- **Referenced Scripture:** +"), rest.cast("string"), F.lit(" more detected references")))).otherwise(none)
+    found = F.concat(one("Series", "series"), one("Speaker", "speaker"), lines("Scripture", F.col("primary_refs")), lines("Referenced Scripture", shown), more, lines("Topic", F.col("topics")), lines("Theme", F.col("themes")), lines("Related sermon suggestion", F.col("related")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("- Review needed: no cross-references found yet.")))
+
+
+def box_references() -> Column:
+    """The mentioned references of an info box, 12 and how many more, as one text."""
+    return F.array_join(and_more(referenced_only(), BOX_REFERENCES), ", ")
+
+
 def index_rows(index: DataFrame) -> DataFrame:
     """The table rows of an entity index."""
     return index.select("archive_id", "name", table_row(wikilink(safe_filename("name")), F.col("records"), F.col("first_date"), F.col("latest_date")).alias("row"))

@@ -108,6 +108,12 @@ def referenced_only(most: int | None = None) -> Column:
     return out if most is None else F.slice(out, 1, most)
 
 
+def and_more(values: Column, most: int, all_: Column | None = None, words: str = "more") -> Column:
+    """The first ``most`` values, and how many there are besides."""
+    rest = F.size(values if all_ is None else all_) - most
+    return F.concat(F.slice(values, 1, most), F.when(rest > 0, F.array(F.concat(F.lit("+"), rest.cast("string"), F.lit(f" {words}")))).otherwise(F.array().cast("array<string>")))
+
+
 def excerpt(chars: int = 0, full: bool = True) -> Column:
     """The text for a page: its first characters, all of it, or a shortened line."""
     text = stripped("transcript_text")
@@ -121,10 +127,14 @@ def chronological() -> list[Column]:
     return [F.coalesce(F.nullif("date", F.lit("")), F.lit("9999-99-99")), casefold(F.coalesce("title", F.lit("")))]
 
 
-def sorted_index(df: DataFrame, column: str, kind: str = "text", descending: bool = False) -> DataFrame:
-    """Sorted as text, number or date; unreadable numbers and blank dates are least."""
+def sort_order(column: str, kind: str = "text", descending: bool = False, ties: list[str] | None = None) -> list[Column]:
+    """As text, number or date; unreadable numbers and blank dates are least; ``ties`` go up."""
     key = {"text": casefold(F.coalesce(F.col(column).cast("string"), F.lit(""))), "number": F.coalesce(F.regexp_replace(F.col(column).cast("string"), ",", "").try_cast("double"), F.lit(float("-inf"))), "date": F.coalesce(F.col(column).cast("string"), F.lit(""))}[kind]
-    return df.orderBy(key.desc() if descending else key.asc())
+    return [key.desc() if descending else key.asc(), *map(F.col, ties or [])]
+
+
+def sorted_index(df: DataFrame, column: str, kind: str = "text", descending: bool = False, ties: list[str] | None = None) -> DataFrame:
+    return df.orderBy(*sort_order(column, kind, descending, ties))
 
 
 def catalog_status(has_transcript: Column, path: Column) -> tuple[Column, Column]:

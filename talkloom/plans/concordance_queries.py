@@ -45,11 +45,11 @@ def passage_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.by_name(indexes.entity_index(talks(spark, sf_dir), F.array("series")))
+    return indexes.by_name(indexes.placed(indexes.entity_index(talks(spark, sf_dir), F.array("series")), indexes.name_order()))
 
 
 def speaker_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.by_count(indexes.entity_index(talks(spark, sf_dir), F.array("speaker")))
+    return indexes.by_count(indexes.placed(indexes.entity_index(talks(spark, sf_dir), F.array("speaker")), indexes.count_order()))
 
 
 def theme_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,31 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.sorted_index(indexes.entity_index(talks(spark, sf_dir), F.array("series")), "records", "number", True).select("archive_id", "name", "records")
+    order = records.sort_order("records", "number", True, ["name", "archive_id"])
+    return indexes.placed(indexes.entity_index(talks(spark, sf_dir), F.array("series")), order).orderBy(*order).select("archive_id", "name", "records", "place")
+
+
+def passage_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference's place among all, and its row of the index page."""
+    from talkloom.operators.pages import passage_rows
+
+    total = indexes.placed(_totals(spark, sf_dir), concordance.rank_order())
+    return total.select("archive_id", "ref", "place").join(passage_rows(total), ["archive_id", "ref"])
+
+
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-references and info box of pages that mention more references than are shown; three forms of media addresses."""
+    from talkloom.functions.text import media_uri
+    from talkloom.operators import pages
+
+    part, ref = F.col("l_partkey") % 500, F.format_string("Psalm %d", F.col("l_suppkey") % 70 + 1)
+    t = table(spark, sf_dir, "lineitem").groupBy(part.alias("part")).agg(F.array_sort(F.collect_set(ref)).alias("mentioned_refs"))  # 70 at most
+    p = F.col("part")
+    given = {"record_id": p.cast("string"), "series": F.when(p % 3 == 0, F.lit("S | s")), "speaker": F.when(p % 4 == 0, F.lit("[Ann]")), "primary_refs": F.when(p % 5 > 0, F.transform(F.slice("mentioned_refs", 1, 2), F.upper)), "topics": F.when(p % 2 == 0, F.array(F.lit("T")))}
+    t = records.conform(t.withColumns(given).withColumn("mentioned_refs", F.when(p % 7 > 0, F.col("mentioned_refs"))))
+    i = F.col("record_id").cast("int")
+    address = media_uri(F.when(i % 3 == 0, F.concat(F.lit("/a b/"), "record_id")).when(i % 3 == 1, F.lit(" https://x/y z ")).otherwise("a b.mp3"))
+    return t.select("record_id", F.array_join(pages.cross_references(), "\n").alias("lines"), pages.box_references().alias("box"), address.alias("address"))
 
 
 def transcript_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         passage_index, frequent_passages, passage_entries, passage_first_refs, passage_parsed, passage_inferred, series_index, speaker_index, theme_index, theme_pages, completeness_counts, archive_stats,
-        review_inbox, completeness_report, gap_flags, recent_records, preview_records, page_paths, text_search, index_sorted, transcript_excerpts, page_parts, passage_verses,
+        review_inbox, completeness_report, gap_flags, recent_records, preview_records, page_paths, text_search, index_sorted, passage_places, page_references, transcript_excerpts, page_parts, passage_verses,
     )
 }
 
@@ -157,8 +181,17 @@ SELECT CAST(k AS VARCHAR) AS record_id, CASE WHEN k % 3 = 0 THEN 1 ELSE least(8,
   CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS n_claims, CASE WHEN k % 3 = 0 THEN '' ELSE 'Review inferred scripture reference.; ' END || 'Add or confirm speaker.; Add or confirm series.' AS flags FROM g GROUP BY k""",
     "passage_verses": f"""WITH {CITED.split(", said AS")[0].replace("WITH ", "")}, v AS (SELECT book, c, max(v) - 1 AS most FROM l GROUP BY book, c)
 SELECT k AS l_orderkey, n AS l_linenumber, CASE WHEN v <= most THEN book || ' ' || c || ':' || v ELSE '' END AS refs FROM l JOIN v USING (book, c)""",
-    "series_index": _index("[series]"),
-    "speaker_index": _index("[speaker]"),
+    "series_index": _index("[series]").replace("SELECT archive_id, name,", "SELECT row_number() OVER (ORDER BY replace(lower(name), 'ß', 'ss'), name, archive_id) AS place, archive_id, name,"),
+    "speaker_index": _index("[speaker]").replace("SELECT archive_id, name,", "SELECT row_number() OVER (ORDER BY count(*) DESC, replace(lower(name), 'ß', 'ss'), name, archive_id) AS place, archive_id, name,"),
+    "passage_places": f"""WITH {CITED} SELECT archive_id, ref, row_number() OVER (ORDER BY mentions DESC, lower(ref), ref, archive_id) AS place,
+'| [[' || replace(ref, ':', ' ') || ']] | ' || records || ' | ' || mentions || ' | ' || primary_records || ' | ' || coalesce(first_date, '') || ' | ' || coalesce(latest_date, '') || ' |' AS row FROM tot""",
+    "page_references": """WITH p AS (SELECT l_partkey % 500 AS part, list_sort(list_distinct(list('Psalm ' || (l_suppkey % 70 + 1)))) AS refs FROM lineitem GROUP BY l_partkey % 500),
+m AS (SELECT part, CASE WHEN part % 7 > 0 THEN refs ELSE [] END AS men, CASE WHEN part % 5 > 0 THEN list_transform(refs[1:2], lambda x: upper(x)) ELSE [] END AS pri FROM p),
+o AS (SELECT *, list_filter(men, lambda x: NOT list_contains(pri, upper(x))) AS other, list_filter(men[1:40], lambda x: NOT list_contains(pri, upper(x))) AS shown FROM m),
+l AS (SELECT *, list_concat(CASE WHEN part % 3 = 0 THEN ['- **Series:** [[S s]]'] ELSE [] END, CASE WHEN part % 4 = 0 THEN ['- **Speaker:** [[Ann]]'] ELSE [] END, list_transform(pri, lambda x: '- **Scripture:** [[' || x || ']]'), list_transform(shown, lambda x: '- **Referenced Scripture:** [[' || x || ']]'),
+  CASE WHEN len(men) > 40 THEN ['- **Referenced Scripture:** +' || (len(men) - 40) || ' more detected references'] ELSE [] END, CASE WHEN part % 2 = 0 THEN ['- **Topic:** [[T]]'] ELSE [] END) AS ls FROM o)
+SELECT CAST(part AS VARCHAR) AS record_id, CASE WHEN len(ls) > 0 THEN array_to_string(ls, chr(10)) ELSE '- Review needed: no cross-references found yet.' END AS lines,
+  array_to_string(list_concat(other[1:12], CASE WHEN len(other) > 12 THEN ['+' || (len(other) - 12) || ' more'] ELSE [] END), ', ') AS box, CASE part % 3 WHEN 0 THEN 'file:///a%20b/' || part WHEN 1 THEN 'https://x/y z' ELSE 'a b.mp3' END AS address FROM l""",
     "theme_index": _index("list_concat(topics, themes)"),
     "theme_pages": f"""WITH {TALKS}, x AS (SELECT archive_id, record_id, title, date, unnest(list_concat(topics, themes)) AS name FROM t),
 y AS (SELECT *, row_number() OVER (PARTITION BY archive_id, name ORDER BY {_ORDER}) AS n FROM x)
@@ -177,7 +210,7 @@ CASE WHEN transcript_status = 'missing' THEN 'Transcript missing; page is metada
 n AS (SELECT *, coalesce(nullif(slug0, ''), 'untitled') AS slug, row_number() OVER (PARTITION BY archive_id, coalesce(nullif(slug0, ''), 'untitled') ORDER BY {_ORDER}) AS n FROM s)
 SELECT archive_id, record_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS path FROM n""",
     "text_search": f"WITH {TALKS} SELECT record_id FROM t WHERE contains(lower(concat_ws(' ', title, date, speaker, series, array_to_string(audio_files, ' '), transcript_status)), 'speaker 1')",
-    "index_sorted": f"WITH {TALKS} SELECT archive_id, series AS name, count(*) AS records FROM t WHERE series <> '' GROUP BY archive_id, series",
+    "index_sorted": f"WITH {TALKS} SELECT row_number() OVER (ORDER BY count(*) DESC, series, archive_id) AS place, archive_id, series AS name, count(*) AS records FROM t WHERE series <> '' GROUP BY archive_id, series",
     "transcript_excerpts": rf"""WITH {TALKS}, x AS (SELECT record_id, regexp_replace(transcript_text, '^\s+|\s+$', '', 'g') AS s, transcript_text AS raw, trim(regexp_replace(transcript_text, '\s+', ' ', 'g')) AS one FROM t WHERE has_text)
 SELECT record_id, md5(regexp_replace(left(s, 200), '\s+$', '') || CASE WHEN length(raw) > 200 THEN '...' ELSE '' END) AS head,
   md5(CASE WHEN length(one) <= 1200 THEN one ELSE rtrim(regexp_extract(left(one, 1198), '^(.*)\s', 1, 's')) || '...' END) AS short, CAST(len(string_split(s, chr(10) || chr(10))) AS BIGINT) AS paragraphs FROM x""",
