@@ -41,11 +41,8 @@ OPENING_PREPOSITIONS = ["to", "through", "from", "on", "in"]
 PLACE_PREPOSITIONS = ["in", "from", "through", "throughout", "inside"]
 BEHIND_BOOK = ("chapter", "chapters", "verse", "verses", "series", "sermon", "week", "part")
 #: Phrases that open the text of the day, and phrases that announce another.
-OPENING_PHRASES = [
-    "turn", "turning", "open", "flip", "flipping", "our text", "our passage", "we're in", "we are in", "we will be in", "we're going to be in", "we are going to be in", "we will be going to be in",
-    "today in", "today we're in", "today we are in", "today looking at", "today we're looking at", "today we are looking at",
-    "this morning in", "this morning we're in", "this morning we are in", "this morning looking at", "this morning we're looking at", "this morning we are looking at",
-]
+OPENING_WORDS = ["turn", "turning", "open", "flip", "flipping", "our text", "our passage"]
+OPENING_SUBJECTS, OPENING_DAYS, OPENING_DAY_VERBS = ["we're", "we are"], ["today", "this morning"], ["in", "looking at"]
 LATER_PHRASES = ["next week", "next month", "later", "eventually", "in a few weeks"]
 #: Words without weight.
 STOPWORDS = """about after again against also because been before being between church could does doing down each even every from

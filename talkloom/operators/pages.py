@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions.text import casefold, page_stem, safe_filename, table_row, wikilink
 from talkloom.operators.records import and_more, excerpt, has_text, referenced_only
+from talkloom.operators.storage import forgotten, stored
 
 FRONT = ("title", "date", "speaker", "series", "primary_refs", "mentioned_refs", "ref_counts", "source_files", "audio_files", "video_url", "transcript_status", "status", "review_status", "summary_status", "questionable_claims", "review_flags")
 
@@ -98,25 +100,57 @@ def write(pages: DataFrame, path: str, form: str = "parquet", by: str = "archive
 def write_files(pages: DataFrame, folder: str) -> int:
     """One file for each (path, text) under ``folder`` of any file system that Arrow knows; gives their number.
 
-    Each task writes its own rows. A repeated task writes the same files again.
+    In two phases: tasks first write all files to a folder beside, which readers
+    pass over, then move them into place. Where any page fails, the folder beside
+    goes and all pages stay as they were. A repeated task writes, or moves, the same
+    files again. Of rows with one path one stays.
     """
     folder = re.sub("^file:/+", "/", folder)
+    beside = f"{folder}/_writing-{uuid.uuid4().hex}"
+
+    def parents(system: object, whole: str, made: set[str]) -> None:
+        parent = whole.rsplit("/", 1)[0]
+        if parent not in made:
+            system.create_dir(parent)
+            made.add(parent)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
-        system, base = FileSystem.from_uri(folder)
+        system, base = FileSystem.from_uri(beside)
         made: set[str] = set()
         for b in batches:
             for path, text in zip(b.column(0), b.column(1), strict=True):
                 whole = f"{base}/{path.as_py()}"
-                parent = whole.rsplit("/", 1)[0]
-                if parent not in made:
-                    system.create_dir(parent)
-                    made.add(parent)
+                parents(system, whole, made)
                 with system.open_output_stream(whole) as f:
                     f.write((text.as_py() or "").encode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["path"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem, FileType
+
+        (system, base), (_, there) = FileSystem.from_uri(folder), FileSystem.from_uri(beside)
+        made: set[str] = set()
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                parents(system, f"{base}/{path}", made)
+                if system.get_file_info(f"{there}/{path}").type != FileType.NotFound:  # else it has been moved
+                    system.move(f"{there}/{path}", f"{base}/{path}")
             yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
 
-    written = pages.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(put, "n long")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    try:
+        written = stored(pages.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(put, "path string"), "written")
+        n = written.mapInArrow(move, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        forgotten(written)
+        return n
+    finally:
+        _removed(beside)
+
+
+def _removed(folder: str) -> None:
+    from pyarrow.fs import FileSystem, FileType
+
+    system, path = FileSystem.from_uri(folder)
+    if system.get_file_info(path).type == FileType.Directory:
+        system.delete_dir(path)

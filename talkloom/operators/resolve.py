@@ -9,6 +9,7 @@ move once, in the fold, and only those that stay.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,13 +43,13 @@ def record_keys(keys: tuple[str, ...] = KEYS) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
 
 
-def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str]) -> DataFrame:
-    """raw_id, first: every row with the first row of each of its keys; a null scope is one of its own."""
+def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str], *more: str) -> DataFrame:
+    """raw_id, first: every row with the first row of each of its keys (and more columns of both); a null scope is one of its own."""
     f = first.withColumnsRenamed({c: f"_{c}" for c in (*scope, "key")})
     same = F.col("key") == F.col("_key")
     for c in scope:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return keyed.join(f, same).select("raw_id", "first")
+    return keyed.join(f, same).select("raw_id", "first", *more)
 
 
 def _linked(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
@@ -75,43 +76,85 @@ def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS)
         member = stored(member.join(again, member["group_id"] == again["old"], "left").select("raw_id", F.coalesce("new", "group_id").alias("group_id")), "member")
 
 
+class _Replay:
+    """The sequential rule over one component; of names and groups it keeps those that a later record can still meet."""
+
+    def __init__(self):
+        self.known: dict[str, object] = {}
+        self.groups: dict[object, list] = {}  # a group's (value, last record with it) of date, slug, url, video
+        self.held: dict[object, int] = {}  # names that stand for a group
+        self.ends: list[tuple] = []
+
+    @staticmethod
+    def names(date: tuple, slug: tuple, url: tuple, video: tuple, unknown: object = None) -> dict[str, object]:
+        """Names in order of preference, each with the last record that may look it up."""
+        found = {f"i:{video[0]}": video[1]} if video[0] else {}
+        found |= {f"u:{url[0]}": url[1]} if url[0] else {}
+        if date[0] and slug[0]:
+            found |= {f"dt:{date[0]}:{slug[0]}": min(date[1], slug[1]), f"yt:{date[0][:4]}:{slug[0]}": slug[1]}
+        found |= {f"d:{date[0]}": date[1]} if date[0] else {f"t:{slug[0]}": slug[1]} if slug[0] else {}
+        return found or {"unknown": unknown}
+
+    def _let_go(self, name: str) -> None:
+        home = self.known.pop(name, None)
+        if home is not None:
+            self.held[home] -= 1
+            if not self.held[home]:
+                del self.held[home], self.groups[home]
+
+    def home_of(self, raw_id: object, own: list[tuple], unknown: object) -> object:
+        mine = self.names(*own, unknown)
+        home = next((self.known[k] for k in mine if k in self.known), raw_id)
+        old = self.groups.get(home)
+        merged = [a if a[0] else c for a, c in zip(old, own, strict=True)] if old else own
+        self.groups[home] = merged
+        self.held[home] = self.held.get(home, 0) + 1  # by this call, while names change hands
+        for name, end in (mine | self.names(*merged, unknown)).items():
+            new = name not in self.known
+            self._let_go(name)
+            if end is not None and end > raw_id:
+                self.known[name] = home
+                self.held[home] += 1
+                if new:
+                    heapq.heappush(self.ends, (end, name))
+        while self.ends and self.ends[0][0] <= raw_id:
+            self._let_go(heapq.heappop(self.ends)[1])
+        self.held[home] -= 1
+        if not self.held[home]:
+            del self.held[home], self.groups[home]
+        return home
+
+
 def link_in_order(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """raw_id, group_id by the sequential rule: the first of a record's keys that is known picks its group.
 
     All its keys and the merged record's then name that group. A component's
-    narrow rows stream by in order; a task keeps its key names alone, so a
-    component may have any number of records.
+    narrow rows stream by in order, each with the last rows that share its parts of
+    keys, so that a task keeps only names that are still to be looked up.
     """
     slug = F.when(F.coalesce(F.col("title"), F.lit("")) != "", slugify("title"))
-    coarse = F.array_compact(F.array(F.concat(F.lit("i:"), F.col("video_id")), F.concat(F.lit("u:"), F.col("video_url")), F.concat(F.lit("d:"), F.col("date")), F.concat(F.lit("t:"), slug)))
+    coarse = F.array_compact(F.array(F.concat(F.lit("i:"), F.nullif("video_id", F.lit(""))), F.concat(F.lit("u:"), F.nullif("video_url", F.lit(""))), F.concat(F.lit("d:"), F.nullif("date", F.lit(""))), F.concat(F.lit("t:"), slug)))
     narrow = stored(raw.select(*scope, "raw_id", "title", "date", "video_url", "video_id", slug.alias("slug")), "narrow")
     keyed = narrow.select(*scope, "raw_id", F.explode(F.when(F.size(coarse) > 0, coarse).otherwise(F.array(F.lit("unknown")))).alias("key"))
-    first = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"))
-    parts = components(_same_keys(keyed, first, scope), "raw_id", "first").withColumnRenamed("node", "raw_id")
-    placed = narrow.join(parts, "raw_id", "left").withColumn("component", F.coalesce("component", "raw_id"))
+    ends = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"), F.max("raw_id").alias("last"))
+    met = stored(_same_keys(keyed, ends, scope, "key", "last"), "met")
+    parts = components(met, "raw_id", "first").withColumnRenamed("node", "raw_id")
+    kinds = ("d", "t", "u", "i", "un")
+    lasts = met.groupBy("raw_id").agg(*[F.max(F.when(F.col("key").startswith(f"{k}:" if k != "un" else "unknown"), F.col("last"))).alias(f"last_{k}") for k in kinds])
+    placed = narrow.join(lasts, "raw_id").join(parts, "raw_id", "left").withColumn("component", F.coalesce("component", "raw_id"))
     kind = raw.schema["raw_id"].dataType.simpleString()
 
-    def names(date: str | None, slug: str | None, url: str | None, video: str | None) -> list[str]:
-        found = [f"i:{video}" if video else "", f"u:{url}" if url else ""]
-        found += [f"dt:{date}:{slug}", f"yt:{date[:4]}:{slug}"] if date and slug else []
-        found += [f"d:{date}"] if date else [f"t:{slug}"] if slug else []
-        return [x for x in found if x] or ["unknown"]
-
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, merged = None, {}, {}
+        now, state = None, _Replay()
         for b in batches:
             homes = []
             for component, raw_id, *own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if component != now:
-                    now, known, merged = component, {}, {}
-                keys = names(*own)
-                home = next((known[k] for k in keys if k in known), raw_id)
-                merged[home] = [a or c for a, c in zip(merged[home], own, strict=True)] if home in merged else own
-                known.update(dict.fromkeys([*keys, *names(*merged[home])], home))
-                homes.append(home)
+                    now, state = component, _Replay()
+                homes.append(state.home_of(raw_id, list(zip(own[:4], own[4:8], strict=True)), own[8]))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(homes, b.schema.field(1).type)], ["raw_id", "group_id"])
 
-    ordered = placed.repartition("component").sortWithinPartitions("component", "raw_id").select("component", "raw_id", "date", "slug", "video_url", "video_id")
+    ordered = placed.repartition("component").sortWithinPartitions("component", "raw_id").select("component", "raw_id", "date", "slug", "video_url", "video_id", *[f"last_{k}" for k in kinds])
     return ordered.mapInArrow(replay, f"raw_id {kind}, group_id {kind}")
 
 

@@ -126,13 +126,22 @@ def greedy(rows):
     return out
 
 
-def test_ordered_resolving_matches_the_plain_rule(spark):
-    r = random.Random(2)
-    rows = [(i, r.choice(["A b", "C", "D e", None]), r.choice(["2020-01-01", "2020-02-01", "2021-01-01", None]), r.choice(["v1", "v2", None, None])) for i in range(60)]
+@pytest.mark.parametrize(("n", "titles", "days", "videos"), [(60, 3, 3, 2), (5000, 40, 300, 400), (5000, 1, 900, 0), (5000, 2000, 2, 50)])
+def test_ordered_resolving_matches_the_plain_rule(spark, n, titles, days, videos):
+    r = random.Random(n + titles)
+    day = lambda k: f"{2019 + k % 4}-{k % 12 + 1:02d}-{k % 28 + 1:02d}"
+    rows = [(i, r.choice([None, *[f"T {r.randrange(titles)}"] * 5]), r.choice([None, *[day(r.randrange(days))] * 4]), f"v{r.randrange(videos)}" if videos and r.random() < 0.3 else None) for i in range(n)]
     df = spark.createDataFrame([("a", *x, None) for x in rows], "archive_id string, raw_id long, title string, date string, video_id string, video_url string")
     assert {x.raw_id: x.group_id for x in resolve.link_in_order(df).collect()} == greedy(rows)
 
 
+def test_ordered_resolving_keeps_only_names_to_come():
+    state, last = resolve._Replay(), 100_000
+    for i in range(last):
+        state.home_of(i, [(f"2020-01-{i % 28 + 1:02d}x{i}", i), ("hot", last), (None, None), (f"v{i}", i)], None)
+        assert len(state.known) < 4 and len(state.groups) < 3 and len(state.ends) < 9
+
+
 def test_recurring_titles_and_chains(spark):
     schema = "archive_id string, raw_id long, title string, date string, speaker string, video_id string, transcript_text string, transcript_status string, review_flags array<string>"
     flag = [files.AUDIO_FLAG]
