@@ -380,6 +380,28 @@ UNION ALL SELECT 'change', CAST(sum(CASE WHEN k % 5 < 4 OR k = 9 THEN 1 ELSE 0 E
 UNION ALL SELECT 'warning', count(*) FROM n WHERE ign
 UNION ALL SELECT 'change', CAST(sum(CASE WHEN raw <> clean THEN 1 ELSE 0 END + CASE WHEN ign OR known <> clean THEN 1 ELSE 0 END + CASE WHEN takes THEN 1 ELSE 0 END + CASE WHEN tname IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) FROM n)
 SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY kind""",
+    "near_duplicate_names": r"""WITH RECURSIVE v AS (
+  SELECT p_brand AS archive_id, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END || CASE WHEN p_partkey % 5 = 0 THEN ' s' ELSE '' END AS value FROM part
+), n AS (SELECT archive_id, value, count(*) AS n, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) AS key, lower(value) AS fold FROM v GROUP BY archive_id, value),
+w AS (SELECT *, string_split(key, ' ') AS ws FROM n WHERE key <> ''),
+p AS (
+  SELECT row_number() OVER () AS pid, a.archive_id, a.value, b.value AS replacement, a.n AS n_value, b.n AS n_replacement, len(a.ws) > 1 AND len(b.ws) > 1 AND a.ws[1] = b.ws[1] AS same,
+    CASE WHEN same THEN a.ws[-1] ELSE a.key END AS x, CASE WHEN same THEN b.ws[-1] ELSE b.key END AS y, CASE WHEN same THEN 0.78 ELSE 0.92 END AS least
+  FROM w a JOIN w b ON a.archive_id = b.archive_id AND (a.fold, a.value) < (b.fold, b.value) AND a.key <> b.key
+), c AS (
+  SELECT * FROM p WHERE 2 * least(length(x), length(y)) >= least * (length(x) + length(y))
+    AND 2 * list_sum(list_transform(list_distinct(string_split(x, '')), lambda q: least(length(x) - length(replace(x, q, '')), length(y) - length(replace(y, q, ''))))) >= least * (length(x) + length(y))
+), s AS (
+  SELECT pid, CAST(0 AS BIGINT) AS pos, x, y, CAST(0 AS BIGINT) AS k FROM c
+  UNION ALL
+  SELECT pid, CASE WHEN side = 1 THEN pos ELSE pos + b.i - 1 + b.k END AS pos, CASE WHEN side = 1 THEN substr(x, 1, b.i - 1) ELSE substr(x, b.i + b.k) END AS x, CASE WHEN side = 1 THEN substr(y, 1, b.j - 1) ELSE substr(y, b.j + b.k) END AS y, CASE WHEN side = 1 THEN b.k ELSE 0 END AS k
+  FROM (
+    SELECT pid, pos, x, y, arg_max({'i': i, 'j': j, 'k': k}, k * 1000000 - i * 1000 - j) AS b
+    FROM (SELECT *, unnest(range(1, least(length(x) - i, length(y) - j) + 2)) AS k FROM (SELECT *, unnest(range(1, length(y) + 1)) AS j FROM (SELECT pid, pos, x, y, unnest(range(1, length(x) + 1)) AS i FROM s WHERE x <> '' AND y <> '')) WHERE substr(x, i, 1) = substr(y, j, 1))
+    WHERE substr(x, i, k) = substr(y, j, k) GROUP BY pid, pos, x, y
+  ), (VALUES (1), (2)) AS sides(side)
+), m AS (SELECT pid, sum(k) AS matched FROM s GROUP BY pid)
+SELECT archive_id, value, replacement, n_value, n_replacement FROM c JOIN m USING (pid) WHERE 2.0 * matched / (length(x) + length(y)) >= least""",
     "term_frequency": f"WITH {_TF} SELECT archive_id, term, df, n, round(idf, 6) AS idf FROM df",
     "token_totals": f"WITH {_TF} SELECT record_id, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_terms FROM tf GROUP BY record_id",
     "vector_norms": f"""WITH {_TF}, w AS (SELECT tf.*, (1 + ln(tf)) * idf AS weight FROM tf JOIN df USING (archive_id, term)), v AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(weight, 9) DESC, term) AS rn FROM w)

@@ -170,7 +170,7 @@ def test_near_duplicate_names_lose_nothing(spark):
     assert {(x.value, x.replacement) for x in naming.near_duplicate_names(df, "speaker").collect()} == want and want
 
 
-def test_related_matches_all_pairs(spark):
+def test_related_matches_all_pairs(spark, monkeypatch):
     r = random.Random(7)
     rows = [(r.choice("ab"), f"{i:03}", r.choice(["s", "t", None]), [r.choice(["John 3", "Mark 4"])], [r.choice(["x", "y"])], " ".join(r.choice(["grace", "hope", "lion", "tree", "river", "stone", "cloud"]) for _ in range(r.randint(0, 12)))) for i in range(40)]
     df = rec(spark, rows, "archive_id string, record_id string, series string, primary_refs array<string>, topics array<string>, transcript_text string")
@@ -191,8 +191,9 @@ def test_related_matches_all_pairs(spark):
                 if round(s, 9) >= 0.12:
                     scores.append((-round(s, 9), b[1]))
         want.update({(a[1], b): k + 1 for k, (_, b) in enumerate(sorted(scores)[:5])})
-    for block in (128, 7):
-        assert {(x.record_id, x.other_id): x.rank for x in content.related(df, vectors, block=block).collect()} == want
+    for cuts in (content.CUTS, (2, 7)):
+        monkeypatch.setattr(content, "CUTS", cuts)
+        assert {(x.record_id, x.other_id): x.rank for x in content.related(df, vectors).collect()} == want
 
 
 def test_diverse_pick(spark):
