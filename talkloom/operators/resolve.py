@@ -54,7 +54,7 @@ def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str], *more: str)
 
 def _linked(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
     """raw_id, group_id of narrow records that share any key, transitively."""
-    keyed = narrow.select(*scope, "raw_id", F.explode(record_keys(keys)).alias("key"))
+    keyed = stored(narrow.select(*scope, "raw_id", F.explode(record_keys(keys)).alias("key")), "keys")  # made once, read twice
     first = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"))
     found = components(_same_keys(keyed, first, scope), "raw_id", "first")
     return narrow.select("raw_id").join(found.withColumnRenamed("node", "raw_id"), "raw_id", "left").select("raw_id", F.coalesce("component", "raw_id").alias("group_id"))
