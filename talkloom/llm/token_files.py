@@ -117,6 +117,7 @@ class Start:
         end = np.cumsum(f)
         self.share = np.concatenate([[0], (end - f) % LOW << 16 | f])
         self.symbol = np.repeat(np.arange(1, m + 1, dtype=np.uint16 if m < 1 << 16 else np.int32), f)
+        self.kind = np.int16 if m < 1 << 12 else np.int32  # of a symbol * 8 + 7
         at, mask = np.arange(m + 1), (1 << SLOTS_LOG2) - 1
         self.hashes = (at * 30011 >> 3 & mask) << 16 | at * 40503 >> 4 & mask
 
@@ -163,7 +164,7 @@ class Mixer:
         lane, g = np.arange(lanes), start.groups
         self.group, self.states, self.places = lane * g, lane << 7, lane * HIGH
         self.base = np.stack([lane, lane + (lanes << SLOTS_LOG2)])  # of order 1 and of order 2, here as in all that follows; a slot's blocks are neighbours
-        self.seen = np.zeros(2 * lanes << SLOTS_LOG2, np.int32)  # symbol * 8 + times in a row
+        self.seen = np.zeros(2 * lanes << SLOTS_LOG2, start.kind)  # symbol * 8 + times in a row
         self.right = np.tile(RIGHT, (2, lanes, 1))
         self.weights = np.full((2, lanes), 1 << 15, np.int32)
         self.at, self.hash2 = self.base.copy(), np.zeros(lanes, np.int64)
@@ -198,13 +199,13 @@ class Mixer:
         mixed = (self.weights[:, :, None] * self.stretched).sum(0, dtype=np.int32) >> 16
         chances = SQUASH[np.clip(mixed, -3072, 3071) + 3072]
         chances[:, 64] = 1  # there is no candidate
-        self.chances = chances.astype(np.int64).ravel()
+        self.chances = chances.astype(np.int16).ravel()
 
     def predict(self) -> np.ndarray:
         """The candidate (0: none); its state is ``state``."""
         self.e = e = self.seen.take(self.at)
         n = e & 7
-        state = np.multiply((e[0] ^ e[1]) < 8, np.int32(64))
+        state = np.multiply((e[0] ^ e[1]) < 8, 64, dtype=e.dtype)
         state += n[0] << 3
         state += n[1]
         self.state = self.states + state
@@ -212,7 +213,7 @@ class Mixer:
 
     def update(self, x: np.ndarray) -> None:
         """Learns the symbols that came."""
-        k, came = self.new, (x << 3).astype(np.int32)
+        k, came = self.new, (x << 3).astype(self.start.kind)
         self.seen[self.at] = self._after(self.e, came, self.held[k])
         self.ids[k], self.was[k] = x, self.state
         one = self.start.hashes.take(x)
@@ -231,7 +232,7 @@ class Mixer:
         e = e ^ came  # below 8: it held
         np.less(e, 8, out=held)
         no = e - 8
-        no >>= 31  # all bits where it held
+        no >>= 8 * no.itemsize - 1  # all bits where it held
         np.minimum(e, 6, out=e)
         e &= no
         e += came
@@ -250,14 +251,14 @@ class Mixer:
         one ^= two[:-1]
         np.multiply(one, self.lanes, out=at[1:, 1])
         at[1:] += self.base
-        came, seen, after, held = (part << 3).astype(np.int32), self.seen, self._after, self.held[k : k + n]
-        was = np.empty((n, 2, self.lanes), np.int32)
+        came, seen, after, held = (part << 3).astype(self.start.kind), self.seen, self._after, self.held[k : k + n]
+        was = np.empty((n, 2, self.lanes), seen.dtype)
         for e, i, c, ok in zip(was, at, came, held, strict=False):
             seen.take(i, out=e, mode="clip")
             seen[i] = after(e, c, ok)
         self.at, self.hash2 = at[n].copy(), two[n]
         e1, e2 = was[:, 0], was[:, 1]
-        state = np.multiply((e1 ^ e2) < 8, np.int32(64))
+        state = np.multiply((e1 ^ e2) < 8, 64, dtype=e1.dtype)
         state += (e1 & 7) << 3
         state += e2 & 7
         self.ids[k : k + n] = part
@@ -300,7 +301,7 @@ def _encode(rows: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
     for j in range(0, rows.shape[1], STRIDE):
         part = rows[:, j : j + STRIDE].T.astype(np.int64, order="C")
         hit = m.follow(part)
-        c = m.chances.take(m.state)  # all else stands still: intervals are found at once
+        c = m.chances.take(m.state).astype(np.int64)  # all else stands still: intervals are found at once
         at = start.group.take(part)
         at += m.group
         f, low_ = m.share.take(at), start.share.take(part)
@@ -358,13 +359,13 @@ def _like(n: int, most: int) -> int:
 def encode(ids: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray, bytes]:
     """Each block's payload, the crc32 of its ids, and the segment's header."""
     alphabet, weights = header(ids)
-    start, place = Start(alphabet, weights), np.ones(int(ids.max(initial=0)) + 1, np.int32)
+    start, place = Start(alphabet, weights), np.ones(int(ids.max(initial=0)) + 1, np.uint16 if len(alphabet) < 1 << 16 else np.int32)
     place[alphabet] = np.arange(1, len(alphabet) + 1)
     payloads, crcs = [], []
     lanes = _like(-(-len(ids) // BLOCK), start.lanes)
     for k in range(0, len(ids), BLOCK * lanes):
         part = ids[k : k + BLOCK * lanes]
-        rows = np.ones((-(-len(part) // BLOCK), BLOCK), np.int32)
+        rows = np.ones((-(-len(part) // BLOCK), BLOCK), place.dtype)
         rows.ravel()[: len(part)] = place[part]
         words, size = _encode(rows[:, : min(BLOCK, len(part))], start)
         payloads += [words[i, :n].tobytes() for i, n in enumerate(size.tolist())]
@@ -392,7 +393,7 @@ def _decode(payloads: list[bytes], steps: int, start: Start) -> np.ndarray:
         if m.new == 0:
             places = m.at_places()
         cand = m.predict()
-        c = m.chances.take(m.state)
+        c = m.chances.take(m.state).astype(np.int64)
         span >>= U35
         t = np.minimum(code // span, top).view(np.int64)
         rest = ONE - c
