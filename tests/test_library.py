@@ -267,3 +267,10 @@ def test_references_without_a_semicolon(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
     got = [r.t for r in df.orderBy("i").select(transcript_text("h").alias("t")).collect()]
     assert got == ["A &&ampB © && &nosuch; &ltx", "B & C © D <", "&amp", ""]
+
+
+def test_saved_pages_without_paragraphs_keep_open_references(spark, tmp_path):
+    (tmp_path / "2026-07-19_Cut-short.html").write_text("<title>Gest &amp;&amp</title><h1>Gest &quot;x&quot;</h1>")
+    (tmp_path / "2026-07-20_Whole.htm").write_text("<title>A &amp</title><p>&lt;B &amp</p>")
+    got = {r.title: r.transcript_text for r in files.html_pages(spark, str(tmp_path)).collect()}
+    assert got == {"Cut short": 'Gest &&ampGest "x"', "Whole": "<B &"}
