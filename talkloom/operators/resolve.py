@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.functions.text import casefold, slugify, stripped
+from talkloom.functions.text import casefold, slugify, stripped, unique_values
 from talkloom.operators.components import components
 from talkloom.operators.positions import running_total
 from talkloom.operators.records import SCOPE, unresolved_flags
-from talkloom.operators.storage import stored
+from talkloom.operators.storage import forgotten, stored
 
 KEYS = ("video-id", "video-url", "date-title", "year-title", "date", "title")
 _SCALARS = ("title", "date", "speaker", "series", "transcript_path", "video_url", "video_id", "duration_seconds", "summary", "summary_status", "summary_source", "status", "review_status")
@@ -43,6 +43,15 @@ def record_keys(keys: tuple[str, ...] = KEYS) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unknown")))
 
 
+def _having(keyed: DataFrame, some: DataFrame, scope: list[str]) -> DataFrame:
+    """The rows whose scope and key are among ``some``'s."""
+    named = some.withColumnsRenamed({c: f"_{c}" for c in (*scope, "key")})
+    same = F.col("key") == F.col("_key")
+    for c in scope:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return keyed.join(named, same, "left_semi")
+
+
 def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str], *more: str) -> DataFrame:
     """raw_id, first: every row with the first row of each of its keys (and more columns of both); a null scope is one of its own."""
     f = first.withColumnsRenamed({c: f"_{c}" for c in (*scope, "key")})
@@ -52,12 +61,42 @@ def _same_keys(keyed: DataFrame, first: DataFrame, scope: list[str], *more: str)
     return keyed.join(f, same).select("raw_id", "first", *more)
 
 
-def _linked(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
-    """raw_id, group_id of narrow records that share any key, transitively."""
-    keyed = stored(narrow.select(*scope, "raw_id", F.explode(record_keys(keys)).alias("key")), "keys")  # made once, read twice
-    first = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"))
-    found = components(_same_keys(keyed, first, scope), "raw_id", "first")
-    return narrow.select("raw_id").join(found.withColumnRenamed("node", "raw_id"), "raw_id", "left").select("raw_id", F.coalesce("component", "raw_id").alias("group_id"))
+def _keyed(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
+    return narrow.select(*scope, "raw_id", F.explode(record_keys(keys)).alias("key"))
+
+
+def _linked(keyed: DataFrame, scope: list[str]) -> DataFrame:
+    """raw_id, group_id of the rows of scope, raw_id, key that share any key with others, transitively."""
+    met = keyed.groupBy(*scope, "key").agg(F.min("raw_id").alias("first"), F.max("raw_id").alias("_last")).where(F.col("first") < F.col("_last")).drop("_last")
+    return components(_same_keys(keyed, met, scope), "raw_id", "first").select(F.col("node").alias("raw_id"), F.col("component").alias("group_id"))
+
+
+def _merged(narrow: DataFrame, scope: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """raw_id, group_id of the records that are in groups of several; all others are groups of their own.
+
+    Only a group of several can gain a key by folding, so each round compares
+    such groups' new keys with what has them already.
+    """
+    keyed = stored(_keyed(narrow, scope, keys), "keys")  # made once, read in every round
+    member = stored(_linked(keyed, scope), "member")
+    while not member.isEmpty():
+        first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("raw_id"))).alias(c)
+        folded = narrow.join(member, "raw_id").groupBy(*scope, "group_id").agg(*[first(c) for c in ("title", "date", "video_url", "video_id")]).withColumnRenamed("group_id", "raw_id")
+        mine = stored(_keyed(folded, scope, keys), "folded")
+        known = keyed.join(member, "raw_id").select(F.col("group_id").alias("raw_id"), "key")
+        new = stored(mine.join(known, ["raw_id", "key"], "left_anti").select(*scope, "key").distinct(), "new")
+        if new.isEmpty():
+            break
+        having = _having(keyed, new, scope).join(member, "raw_id", "left_anti").unionByName(_having(mine, new, scope))
+        again = stored(_linked(having, scope), "again")
+        if again.isEmpty():
+            break
+        moved = again.withColumnsRenamed({"raw_id": "old", "group_id": "to"})
+        more = member.join(moved, member["group_id"] == moved["old"], "left").select("raw_id", F.coalesce("to", "group_id").alias("group_id"))
+        member = stored(more.unionByName(again.join(member, "raw_id", "left_anti")), "member")
+        forgotten(mine)
+    forgotten(keyed)
+    return member
 
 
 def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -66,14 +105,7 @@ def link(raw: DataFrame, scope: list[str] = SCOPE, keys: tuple[str, ...] = KEYS)
     Rounds of folding only merge groups, so they end.
     """
     narrow = stored(raw.select(*scope, "raw_id", "title", "date", "video_url", "video_id"), "narrow")
-    member = stored(_linked(narrow, scope, keys), "member")
-    while True:
-        first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("raw_id"))).alias(c)
-        folded = narrow.join(member, "raw_id").groupBy(*scope, "group_id").agg(*[first(c) for c in ("title", "date", "video_url", "video_id")]).withColumnRenamed("group_id", "raw_id")
-        again = stored(_linked(folded, scope, keys).where("raw_id <> group_id").withColumnsRenamed({"raw_id": "old", "group_id": "new"}), "again")
-        if again.isEmpty():
-            return member
-        member = stored(member.join(again, member["group_id"] == again["old"], "left").select("raw_id", F.coalesce("new", "group_id").alias("group_id")), "member")
+    return narrow.select("raw_id").join(_merged(narrow, scope, keys), "raw_id", "left").select("raw_id", F.coalesce("group_id", "raw_id").alias("group_id"))
 
 
 class _Replay:
@@ -191,21 +223,51 @@ def _shortened(values: DataFrame, most: int) -> DataFrame:
     return values.join(named, same("_l"), "left_anti").unionByName(kept)
 
 
+#: A row that is a group of its own is folded where it stands if its lists hold so many values each at most.
+SHORT = 100
+
+
+def _folded_alone(rows: DataFrame) -> DataFrame:
+    """What folding makes of rows that are a group each; their lists are short."""
+    named = lambda c: F.coalesce(F.map_filter(c, lambda k, v: F.coalesce(k, F.lit("")) != ""), F.create_map().cast(rows.schema[c].dataType)).alias(c)
+    said = F.map_filter("extra", lambda k, v: F.coalesce(v, F.lit("")) != "")
+    scalars = [F.when(_filled(c), F.col(c)).alias(c) for c in _SCALARS]
+    text = F.when(_filled("transcript_text"), F.col("transcript_text")).alias("transcript_text")
+    return rows.withColumn("extra", said).select("archive_id", F.col("raw_id").alias("group_id"), F.lit(1).cast("long").alias("n_sources"), *scalars, *[unique_values(c).alias(c) for c in _LISTS], text, F.coalesce("transcript_status", F.lit("missing")).alias("transcript_status"), named("ref_counts"), named("extra"))
+
+
+def _filled(c: str) -> Column:
+    return F.col(c).isNotNull() if c == "duration_seconds" else F.coalesce(F.col(c), F.lit("")) != ""
+
+
 def fold(raw: DataFrame, member: DataFrame, listed: int = LISTED) -> DataFrame:
     """One record for each group, in source order: first non-blank scalars, ordered unions of lists, sums of counts.
 
-    Text and status come together from the first row with a text, else the first
-    status that isn't missing; the last non-blank extra of each key stays. List
-    values, counts and extras are merged by value as rows (:func:`list_values`)
-    before a group gathers them, the first ``listed`` of each kind, so that no
-    record grows without bound; of the texts only those that stay are moved.
+    Rows that ``member`` lacks are a group each, and so are those that it names
+    alone: these are folded where they stand and never gathered. Text and status come
+    together from the first row with a text, else the first status that isn't
+    missing; the last non-blank extra of each key stays. List values, counts and
+    extras are merged by value as rows (:func:`list_values`) before a group gathers
+    them, the first ``listed`` of each kind, so that no record grows without bound;
+    of the texts only those that stay are moved.
     """
-    filled = lambda c: F.col(c).isNotNull() if c == "duration_seconds" else F.coalesce(F.col(c), F.lit("")) != ""
-    narrow = raw.withColumn("_texted", filled("transcript_text")).drop("transcript_text")
-    r = stored(narrow.join(member, "raw_id"), "folding")
+    several = member.groupBy("group_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") > 1).select("group_id")
+    of_several = stored(member.join(several, "group_id").select("raw_id", "group_id"), "several")
+    long = F.lit(False)
+    for c in (*_LISTS, "ref_counts", "extra"):
+        long |= F.coalesce(F.size(c), F.lit(0)) > min(SHORT, listed)
+    placed = raw.join(of_several, "raw_id", "left")
+    alone = _folded_alone(placed.where(F.col("group_id").isNull() & ~long).drop("group_id"))
+    gathered = placed.where(F.col("group_id").isNotNull() | long).withColumn("group_id", F.coalesce("group_id", "raw_id"))
+    return _folded_together(gathered, raw, listed).unionByName(alone)
+
+
+def _folded_together(joined: DataFrame, raw: DataFrame, listed: int) -> DataFrame:
+    """Groups of rows, folded; texts come from ``raw``."""
+    r = stored(joined.withColumn("_texted", _filled("transcript_text")).drop("transcript_text"), "folding")
     at = lambda *cond: F.when(cond[0], F.col("raw_id")) if cond else F.col("raw_id")
     g = r.groupBy("archive_id", "group_id").agg(
-        *[F.min_by(c, at(filled(c))).alias(c) for c in _SCALARS], F.min(at(F.col("_texted"))).alias("_text_of"), F.min_by("transcript_status", at(F.col("_texted"))).alias("_texted_status"),
+        *[F.min_by(c, at(_filled(c))).alias(c) for c in _SCALARS], F.min(at(F.col("_texted"))).alias("_text_of"), F.min_by("transcript_status", at(F.col("_texted"))).alias("_texted_status"),
         F.min_by("transcript_status", at(F.coalesce("transcript_status", F.lit("missing")) != "missing")).alias("_status"), F.count("*").alias("n_sources"),
     )
     values = _shortened(stored(list_values(r), "values"), listed)
@@ -215,7 +277,7 @@ def fold(raw: DataFrame, member: DataFrame, listed: int = LISTED) -> DataFrame:
         F.map_from_entries(F.transform(of("extra", "key", F.col("last.value").alias("stays")), lambda x: F.struct(x["key"], x["stays"]))).alias("extra"),
     )
     lists = lists.withColumnsRenamed({"archive_id": "_a", "group_id": "_g"})
-    texts = raw.select(F.col("raw_id").alias("_text_of"), "transcript_text")
+    texts = raw.select(F.col("raw_id").alias("_text_of"), "transcript_text").join(r.where("_texted").select(F.col("raw_id").alias("_text_of")), "_text_of", "left_semi")
     out = g.join(lists, (F.col("group_id") == F.col("_g")) & F.col("archive_id").eqNullSafe(F.col("_a")), "left").join(texts, "_text_of", "left")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
     out = out.select(
@@ -233,8 +295,8 @@ def with_raw_id(raw: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
 
 def resolved(raw: DataFrame, scope: list[str] = SCOPE, mode: str = "transitive", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Linked and folded records. A given ``raw_id`` must be of one row alone, also across scopes."""
-    r = raw if "raw_id" in raw.columns else with_raw_id(raw, scope)
-    member = link(r, scope, keys) if mode == "transitive" else link_in_order(r, scope)
+    r = stored(raw if "raw_id" in raw.columns else with_raw_id(raw, scope), "raw")  # read several times, its sources once
+    member = _merged(r, scope, keys) if mode == "transitive" else link_in_order(r, scope)
     return fold(r, member)
 
 

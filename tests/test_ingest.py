@@ -1,11 +1,13 @@
 """The ingest chain, re-runs, the page sink's two phases, folds of very large groups."""
 
 import os
+import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from talkloom.operators import enrich, ingest, pages, resolve
+from talkloom.operators import enrich, ingest, pages, resolve, storage
 from talkloom.operators.records import RAW, conform
 from talkloom.sources import files
 
@@ -112,3 +114,37 @@ def test_enrichment_asks_once_though_a_worker_dies(spark, tmp_path):
     calls = {t: len((asked / t).read_text()) for t in os.listdir(log)}
     assert calls.pop("t25") >= 3 and set(calls.values()) == {1} and len(calls) == 29
     assert run() == got and all(len((asked / t).read_text()) == 1 for t in calls)
+
+
+def test_rows_of_their_own_are_folded_without_being_gathered(spark, monkeypatch):
+    """Only groups of several, and rows with long lists, go through the fold by values; both ways give the same."""
+    rows = [(k, f"t{k // 2 if k < 4 else k}", [" A", "a", "", None, f"b{k}"], {"x": 1, "": 2}, {"p": " ", "q": str(k)}, " s " if k % 2 else None, " " if k % 3 else "said") for k in range(9)]
+    rows.append((9, "long", [f"v{k % 400}" for k in range(900)], None, None, "", None))
+    df = spark.createDataFrame(rows, "n int, title string, topics array<string>, ref_counts map<string,int>, extra map<string,string>, speaker string, transcript_text string")
+    raw = conform(df.withColumns({"archive_id": F.lit("a"), "review_flags": F.array(F.lit("f"), F.lit("f")), "transcript_status": F.when(F.col("n") == 5, "listed"), "source_rank": F.lit(0), "source_ord": F.col("n").cast("string")}), RAW)
+    told = lambda d: sorted(map(str, d.collect()))
+    gathered, together = [], resolve._folded_together
+    monkeypatch.setattr(resolve, "_folded_together", lambda joined, *a: gathered.append(joined.count()) or together(joined, *a))
+    got = told(resolve.resolved(raw))
+    assert gathered == [5] and len(got) == 8
+    monkeypatch.setattr(resolve, "SHORT", -1)
+    assert told(resolve.resolved(raw)) == got and gathered == [5, 10]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    of = lambda: {f for d, _, fs in os.walk(tempfile.gettempdir()) if "blockmgr-" in d for f in (f"{d}/{x}" for x in fs) if "/shuffle_" in f and f.endswith(".data")}
+    before, conf = of(), spark.conf.get(storage.CLEANED, None)
+    storage.stored(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "counted")
+    for _ in range(50):  # they go beside the driver's next steps
+        if of() <= before:
+            break
+        time.sleep(0.2)
+    assert of() <= before and spark.conf.get(storage.CLEANED, None) == conf
+
+
+def test_a_group_that_gains_a_key_meets_single_rows_and_groups(spark):
+    """Rows 0 and 1 share a video; folded they have the title of one in the year of the other, as the group of 2 and 3 and row 4 have."""
+    rows = [("0", "A", None, None, "v"), ("1", None, "2020-01-01", None, "v"), ("2", "A", "2020-07-07", "w", None), ("3", "Z", "2021-02-02", "w", None), ("5", "Q", "2019-02-02", None, None)]
+    group = lambda rows: {x.raw_id.split("\t")[-1]: x.group_id.split("\t")[-1] for x in resolve.link(resolve.with_raw_id(conform(spark.createDataFrame(rows, "source_ord string, title string, date string, video_url string, video_id string").withColumns({"archive_id": F.lit("a"), "source_rank": F.lit(0)}), RAW))).collect()}
+    assert group(rows) == {"0": "0", "1": "0", "2": "0", "3": "0", "5": "5"}
+    assert group(rows[:2] + [("4", "A", "2020-09-09", None, None)] + rows[4:]) == {"0": "0", "1": "0", "4": "0", "5": "5"}
