@@ -148,3 +148,28 @@ def test_a_group_that_gains_a_key_meets_single_rows_and_groups(spark):
     group = lambda rows: {x.raw_id.split("\t")[-1]: x.group_id.split("\t")[-1] for x in resolve.link(resolve.with_raw_id(conform(spark.createDataFrame(rows, "source_ord string, title string, date string, video_url string, video_id string").withColumns({"archive_id": F.lit("a"), "source_rank": F.lit(0)}), RAW))).collect()}
     assert group(rows) == {"0": "0", "1": "0", "2": "0", "3": "0", "5": "5"}
     assert group(rows[:2] + [("4", "A", "2020-09-09", None, None)] + rows[4:]) == {"0": "0", "1": "0", "4": "0", "5": "5"}
+
+
+def test_folders_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """As Spark's readers list them, by rounds of folders; no list of files is made by the driver."""
+    from talkloom.sources import folders
+
+    for k in range(60):
+        at = tmp_path / f"y{k % 3}" / f"talk {k}+%"
+        at.mkdir(parents=True)
+        (at / "a b.TXT").write_text(f"said {k}")
+        (at / "none.txt").write_text("")
+        (at / ".hidden.txt").write_text("x")
+        (at / "x.mp3").write_bytes(b"\xff")
+    (tmp_path / "_gone").mkdir()
+    (tmp_path / "_gone" / "a.txt").write_text("x")
+    for k in range(25):
+        (tmp_path / f"t{k}.txt").write_text(f"top {k}")
+    monkeypatch.setattr(folders, "ROWS", 10)
+    got = sorted(map(tuple, folders.bodies(spark, str(tmp_path), r"(?i)\.txt$").collect()))
+    want = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,TXT}").text(str(tmp_path), wholetext=True).select("_metadata.file_path", "value")
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 85
+    raw = files.audio_files(spark, str(tmp_path))
+    assert raw.count() == 60 and not raw.inputFiles()[0].endswith(".mp3")  # what it reads is a table of files
+    assert sorted(r.path for r in folders.files(spark, f"file://{tmp_path}/t7.txt", "").collect()) == [f"file:{tmp_path}/t7.txt"]
+    assert folders.files(spark, str(tmp_path / "y*"), "") is None and folders.files(spark, str(tmp_path / "no"), "") is None
