@@ -173,3 +173,23 @@ def test_folders_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     assert raw.count() == 60 and not raw.inputFiles()[0].endswith(".mp3")  # what it reads is a table of files
     assert sorted(r.path for r in folders.files(spark, f"file://{tmp_path}/t7.txt", "").collect()) == [f"file:{tmp_path}/t7.txt"]
     assert folders.files(spark, str(tmp_path / "y*"), "") is None and folders.files(spark, str(tmp_path / "no"), "") is None
+
+
+def test_video_files_are_read_by_tasks_as_by_sparks_reader(spark, tmp_path, monkeypatch):
+    from talkloom.sources import folders
+
+    bodies = {"list.json": '[{"id": "a", "duration": 3}, {"id": "b", "title": "B", "upload_date": 20200102}]', "one.json": '{"id": "c", "url": "/w", "timestamp": 5}', "many.json": '{"id": "x", "entries": [{"id": "d"}, {"title": "E"}]}', "none.json": '{"entries": []}', "bad.json": "{nothing", "empty.json": ""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    told = lambda: sorted(map(str, files.video_metadata(spark, str(tmp_path)).collect()))
+    got = told()
+    assert not files.video_metadata(spark, str(tmp_path)).inputFiles()[0].endswith(".json")
+    monkeypatch.setattr(folders, "files", lambda *a: None)
+    assert told() == got and len(got) == 6
+
+
+def test_transcripts_are_listed_by_tasks(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"2020-01-01_T{k}.txt").write_text(f"said {k}")
+    t = files.transcripts(spark, str(tmp_path))
+    assert sorted(r.transcript_text for r in t.collect()) == sorted(f"said {k}" for k in range(12)) and not [f for f in t.inputFiles() if f.endswith(".txt")]
