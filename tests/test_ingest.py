@@ -193,3 +193,12 @@ def test_transcripts_are_listed_by_tasks(spark, tmp_path):
         (tmp_path / f"2020-01-01_T{k}.txt").write_text(f"said {k}")
     t = files.transcripts(spark, str(tmp_path))
     assert sorted(r.transcript_text for r in t.collect()) == sorted(f"said {k}" for k in range(12)) and not [f for f in t.inputFiles() if f.endswith(".txt")]
+
+
+def test_yaml_events_come_from_the_c_parser():
+    import yaml
+
+    body = "a: &x [1, 0x1f, 1_000, 2.5, yes, ~, 2020-01-02, '7', \"q\\n\", plain text]\nb: *x\nc: {<<: {d: 1}, e: |\n  long\n  text\n}\n" .replace("{<<: {d: 1}, e: |\n  long\n  text\n}", "\n  <<: {d: 1}\n  e: |\n    long\n    text")
+    of = lambda kind: kind(body).get_single_data()
+    assert issubclass(files.yaml_loader(), yaml.cyaml.CParser) == yaml.__with_libyaml__
+    assert of(files.yaml_loader()) == of(yaml.SafeLoader) and of(files.yaml_loader())["c"] == {"d": 1, "e": "long\ntext\n"}
