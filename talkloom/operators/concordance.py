@@ -18,7 +18,8 @@ from talkloom.operators.records import SCOPE, gap_flags
 def inferred(records: DataFrame, verses: dict | None = None) -> DataFrame:
     """Primary references inferred where there are none, all mentions counted, gaps flagged."""
     empty = F.array().cast("array<string>")
-    r = records.withColumns({"_series": citations("series", verses=verses), "_title": citations("title", verses=verses), "_open": citations(F.array_join(opening_sentences("transcript_text"), "\n"), verses=verses)})
+    wanted = lambda c: citations(F.when(F.size("primary_refs") == 0, c), verses=verses)  # noqa: E731  (others are not read for it)
+    r = records.withColumns({"_series": wanted(F.col("series")), "_title": wanted(F.col("title")), "_open": wanted(F.array_join(opening_sentences("transcript_text"), "\n"))})
     found = specific_first(unique_values(refs("_series"), refs("_title"), refs("_open")))
     guess = (F.size("primary_refs") == 0) & (F.size("_guess") > 0)
     r = r.withColumn("_guess", found).withColumns(

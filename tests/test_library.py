@@ -274,3 +274,12 @@ def test_saved_pages_without_paragraphs_keep_open_references(spark, tmp_path):
     (tmp_path / "2026-07-20_Whole.htm").write_text("<title>A &amp</title><p>&lt;B &amp</p>")
     got = {r.title: r.transcript_text for r in files.html_pages(spark, str(tmp_path)).collect()}
     assert got == {"Cut short": 'Gest &&ampGest "x"', "Whole": "<B &"}
+
+
+def test_texts_with_primary_references_are_not_read_for_more(spark):
+    """Only counting reads them; what is inferred of the others stays."""
+    r = rec(spark, [("a", "1", "Mark 4", "Turn to John 3:16.", ["Luke 2"]), ("a", "2", "Mark 4", "Turn to John 3:16.", [])], "archive_id string, record_id string, title string, transcript_text string, primary_refs array<string>")
+    x = concordance.inferred(r)
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("find(CASE WHEN (size(primary_refs") == 2  # title and opening
+    got = {y.record_id: (y.primary_refs, sorted(y.mentioned_refs)) for y in x.collect()}
+    assert got["1"] == (["Luke 2"], ["John 3:16", "Luke 2", "Mark 4"]) and sorted(got["2"][0]) == ["John 3:16", "Mark 4"]
